@@ -16,8 +16,8 @@ _SLOT_BITS = 33
 _SLOT_MASK = (1 << _SLOT_BITS) - 1
 
 
-def with_position(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Add ``__pos``: 0-based position of every row under ``order``.
+def with_position(df: DataFrame, order: Sequence[Column], ascending: Sequence[bool] | None = None) -> DataFrame:
+    """Add ``__pos``: 0-based position of every row under ``order`` (nulls first going up, last going down).
 
     The rows are range-partitioned and sorted by the order plus a row tie-break, so even a
     run of equal keys spreads over tasks. ``monotonically_increasing_id`` then encodes
@@ -28,7 +28,8 @@ def with_position(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     tie = F.col(ROW_NO) if ROW_NO in df.columns else F.monotonically_increasing_id()
     names = [f"__o{i}" for i in range(len(order))]
     keyed = df.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)], tie.alias("__tie"))
-    sort_by = [*names, "__tie"]
+    up = ascending or [True] * len(order)
+    sort_by = [*[F.col(n).asc() if a else F.col(n).desc() for n, a in zip(names, up, strict=True)], F.col("__tie").asc()]
     ordered = (
         keyed.repartitionByRange(*sort_by)
         .sortWithinPartitions(*sort_by)

@@ -31,7 +31,7 @@ def build_session(
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
-    for key, value in {**SETTINGS, "spark.ui.enabled": "false", **(extra or {})}.items():
+    for key, value in {**SETTINGS, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **(extra or {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -51,14 +51,14 @@ def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def _decoded(lines: DataFrame) -> DataFrame:
     """SR-2: UTF-8, and Windows-1252 for each file that is not valid UTF-8 throughout."""
-    odd = [
-        r["__file"]
-        for r in lines.groupBy("__file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("odd")).where("odd").select("__file").collect()
-    ]
-    text = F.col("value")
-    if odd:
-        text = F.when(F.col("__file").isin(odd), _windows_1252(text.cast("binary"))).otherwise(text)
-    return lines.withColumn("value", text)
+    odd = lines.groupBy("__file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("__odd")).where("__odd")
+    found = odd.limit(BROADCAST_SPLITS + 1).count()
+    if not found:
+        return lines
+    # One row per odd file; broadcast only while that is few.
+    marked = lines.join(F.broadcast(odd) if found <= BROADCAST_SPLITS else odd, "__file", "left")
+    text = F.when(F.col("__odd"), _windows_1252(F.col("value").cast("binary"))).otherwise(F.col("value"))
+    return marked.withColumn("value", text).drop("__odd")
 
 
 def number_rows(placed: DataFrame, header_rows: int = 1) -> DataFrame:
