@@ -68,10 +68,10 @@ def coerce_int(c: Column) -> Column:
 def coerce_dtype(c: Column, dtype: str, source: T.DataType | None = None) -> Column:
     """FN-13: cast a cell to string, float or int; missing becomes null."""
     text = c if source is None or isinstance(source, T.StringType) else c.cast("string")
-    forms = {"string": strip, "float": coerce_float, "int": coerce_int}
+    forms = {"string": lambda t: F.nullif(strip(t), F.lit("")), "float": coerce_float, "int": coerce_int}
     if dtype not in forms:
         raise ValueError(f"Unsupported dtype: {dtype}")
-    return F.when(~is_blank(text), forms[dtype](text))
+    return forms[dtype](text)
 
 
 def grading_number(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -84,12 +84,10 @@ def grading_number(c: Column, dtype: T.DataType | None = None) -> Column:
 
 def format_calculated(d: Column) -> Column:
     """FN-15: whole numbers as integers, others with 15 significant digits."""
-    whole = d == F.floor(d)
-    digits = F.format_string("%.15g", d)
-    return (
-        F.when(whole & (F.abs(d) < F.lit(1e18)), d.try_cast("bigint").cast("string"))
-        .otherwise(F.regexp_replace(digits, r"\.?0+(e|$)", "$1"))
-    )
+    # try_cast to decimal also refuses NaN and infinities.
+    whole = d.try_cast("decimal(38,0)")
+    digits = F.regexp_replace(F.format_string("%.15g", d), r"^([^e]*?)\.?0+(e.*)?$", "$1$2")
+    return F.when(whole.cast("double") == d, whole.cast("string")).otherwise(digits)
 
 
 def infer_gold_text(c: Column) -> Column:

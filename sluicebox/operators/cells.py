@@ -94,9 +94,10 @@ def strict_cast_cells(df: DataFrame, column: str, dtype: str) -> Cells:
     """CL-12 as the reference semantics: one bad cell fails the whole action, when it runs."""
     kind = dtype_of(df, column)
     new = cast_cells(df, column, dtype)[column]
-    bad = new.isNull() & ~text.is_missing(_col(column), kind)
     message = F.concat(F.lit(f"Cannot cast a value of {column} to {dtype}: "), _col(column).cast("string"))
-    return {column: F.when(bad, F.raise_error(message).cast({"string": "string", "float": "double", "int": "bigint"}[dtype])).otherwise(new)}
+    result = {"string": "string", "float": "double", "int": "bigint"}[dtype]
+    failed = F.when(~text.is_missing(_col(column), kind), F.raise_error(message).cast(result))
+    return {column: F.coalesce(new, failed)}
 
 
 # --- DataFrame forms -------------------------------------------------------------------

@@ -153,7 +153,10 @@ def fill_forward(
     blocked = df.withColumn("__block", F.floor(F.col(ROW_NO) / F.lit(block_rows)))
 
     lasts = blocked.groupBy(*keys, "__block").agg(
-        *[F.max_by(held[c], F.when(held[c].isNotNull(), F.col(ROW_NO))).alias(f"__last{i}") for i, c in enumerate(columns)]
+        *[
+            F.max(F.when(~is_missing(_col(c), dtype_of(df, c)), F.struct(ROW_NO, _col(c).alias("v")))).getField("v").alias(f"__last{i}")
+            for i, c in enumerate(columns)
+        ]
     ).withColumn("__group", F.floor(F.col("__block") / F.lit(block_rows)))
     before = Window.partitionBy(*keys, "__group").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     groups = lasts.groupBy(*keys, "__group").agg(

@@ -56,7 +56,7 @@ def _col(name: str) -> Column:
 
 
 def _cells_long(df: DataFrame, names: Sequence[str], keep: Sequence[Column]) -> DataFrame:
-    """One row per cell: column name, text, and whether the column is held as text."""
+    """One row per cell: column name, text, and the kind of type the column has."""
     texts = set(text_columns(df))
     entries = [
         F.struct(
@@ -64,7 +64,6 @@ def _cells_long(df: DataFrame, names: Sequence[str], keep: Sequence[Column]) ->
             F.when(~text.is_missing(_col(c), dtype_of(df, c)), text.render_cell(_col(c), dtype_of(df, c))).alias("v")
             if c not in texts
             else _col(c).alias("v"),
-            F.lit(c in texts and not df.schema[c].metadata.get("converted", False)).alias("pure_text"),
             F.lit(_native_kind(dtype_of(df, c))).alias("kind"),
         )
         for c in names
@@ -86,30 +85,40 @@ def _native_kind(dtype: T.DataType) -> str:
     return "text"
 
 
+def _prepared(cells: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Strip and unformat each cell once; as columns of their own they are not recomputed per test."""
+    stripped = cells.select(*keep, "v", "kind", F.coalesce(text.strip(F.col("v")), F.lit("")).alias("s"))
+    return stripped.select("*", F.translate("s", ",$", "").alias("bare"), (F.col("kind") == "text").alias("is_text"))
+
+
 def _flags() -> dict[str, Column]:
-    v, kind = F.col("v"), F.col("kind")
-    is_text = kind == "text"
+    """Tests on a prepared cell."""
+    s, bare, kind, is_text = F.col("s"), F.col("bare"), F.col("kind"), F.col("is_text")
+    native_number = kind.isin("integer", "decimal") & (s != "")
     return {
-        "missing": text.is_blank(v),
-        "padded": is_text & text.is_padded(v),
-        "boolean": is_text & F.coalesce(text.fold_key(v).isin(*BOOLEAN_WORDS), F.lit(False)),
-        "number": F.when(is_text, numbers.numeric_text(v)).when(kind.isin("integer", "decimal"), v),
-        "loose_numeric": is_text & numbers.is_numeric_looking(v),
-        "leading_zero": is_text & numbers.has_leading_zero(v),
-        "layout": F.when(is_text, date_layout(v)).when(kind.isin("date", "datetime"), F.concat(F.lit("native_"), kind)),
-        "formula": is_text & text.looks_like_formula(v),
+        "missing": s == "",
+        "padded": is_text & F.coalesce(F.col("v") != s, F.lit(False)),
+        "boolean": is_text & F.lower(s).isin(*BOOLEAN_WORDS),
+        "numeric": (is_text & bare.rlike(numbers.DECIMAL_PATTERN.replace("$", "%?$"))) | native_number,
+        "integer": bare.rlike(numbers.INTEGER_PATTERN.replace("$", "%?$")) & (is_text | native_number),
+        "loose_numeric": is_text & bare.rlike(numbers.DECIMAL_PATTERN.replace("$", "%*$")),
+        "leading_zero": is_text & bare.rlike(numbers.LEADING_ZERO_PATTERN),
+        "layout": F.when(is_text, date_layout(s, stripped=True)).when(
+            kind.isin("date", "datetime") & (s != ""), F.concat(F.lit("native_"), kind)
+        ),
+        "formula": is_text & text.looks_like_formula(F.col("v")),
     }
 
 
 def _counter_columns() -> list[Column]:
-    layout, number = F.col("layout"), F.col("number")
+    layout = F.col("layout")
     counts = {
         "rows": F.count("*"),
         "missing": F.count_if("missing"),
         "padded": F.count_if("padded"),
         "boolean": F.count_if("boolean"),
-        "numeric": F.count("number"),
-        "integer": F.count_if(number.rlike(numbers.INTEGER_PATTERN)),
+        "numeric": F.count_if("numeric"),
+        "integer": F.count_if("integer"),
         "loose_numeric": F.count_if("loose_numeric"),
         "leading_zero": F.count_if("leading_zero"),
         "dated": F.count("layout"),
@@ -125,7 +134,8 @@ def block_counters(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     block = F.floor(F.col(ROW_NO) / F.lit(block_rows)) if ROW_NO in df.columns else F.lit(0).cast("bigint")
     cells = _cells_long(df, data_columns(df), [block.alias("block")])
     return (
-        cells.select("block", "name", *[c.alias(n) for n, c in _flags().items()])
+        _prepared(cells, ["block", "name"])
+        .select("block", "name", *[c.alias(n) for n, c in _flags().items()])
         .groupBy("block", "name")
         .agg(*_counter_columns())
     )
@@ -362,7 +372,8 @@ def _examples(
     ])
     order = Window.partitionBy("name", "hit").orderBy(ROW_NO)
     rows = (
-        cells.select(ROW_NO, "name", F.inline(hits))
+        _prepared(cells, [ROW_NO, "name"])
+        .select(ROW_NO, "name", F.inline(hits))
         .where("is_hit")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= EXAMPLES)

@@ -57,8 +57,9 @@ def keep_best(
     """CL-18: one survivor per business key.
 
     Ranked by filled completeness fields, then by the canonical timestamp to the minute
-    (missing ranks lowest), then by row text. ``max_by`` has a map-side stage, so a key held
-    by a third of the rows shrinks to one row per map task before the shuffle.
+    (missing ranks lowest), then by row text. The maximum has a map-side stage, so a key held
+    by a third of the rows shrinks to one row per map task before the shuffle. ``max`` of one
+    struct evaluates the ranking once per row; ``max_by`` would evaluate it several times.
     """
     fields = data_columns(df)
     rank: list[Column] = [count_present([(_col(c), dtype_of(df, c)) for c in completeness])]
@@ -68,10 +69,10 @@ def keep_best(
     if ROW_NO in df.columns:
         rank.append(-F.col(ROW_NO))
     best = df.groupBy(*[c.alias(f"__k{i}") for i, c in enumerate(key_columns(df, keys))]).agg(
-        F.max_by(F.struct(*[_col(c) for c in df.columns]), F.struct(*rank)).alias("__row")
+        F.max(F.struct(*rank, F.struct(*[_col(c) for c in df.columns]).alias("row"))).alias("__best")
     )
     return best.select(
-        *[F.col("__row").getField(f.name).alias(f.name, metadata=f.metadata) for f in df.schema.fields]
+        *[F.col("__best.row").getField(f.name).alias(f.name, metadata=f.metadata) for f in df.schema.fields]
     )
 
 

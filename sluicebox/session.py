@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution splits skewed join partitions and coalesces small ones;
-# UTC keeps timestamps equal on every executor.
+# UTC keeps timestamps equal on every executor. HotSpot leaves methods over 8000 bytes
+# uncompiled, so generated code beyond that is better split up than kept in one stage method.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 from sluicebox.table import ROW_NO
 
 
+SPREAD = ("orders", "lineitem", "events", "documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A file with a single row group is one task however many cores there are,
+    so a scan with fewer splits than cores is spread out; a large table never is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() * 2 <= cores:
+        return df.repartition(cores)
+    return df
 
 
 def _by(key: Column, n: int, cases: dict[int, Column], other: Column) -> Column:
