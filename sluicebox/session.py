@@ -32,8 +32,14 @@ def build_session(
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
+    # Call-site capture costs a JVM round trip per column expression.
+    quiet = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+    }
     builder = SparkSession.builder.master(master).appName(app_name)
-    for key, value in {**SETTINGS, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **(extra or {})}.items():
+    for key, value in {**SETTINGS, **quiet, **(extra or {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -1,0 +1,179 @@
+"""Workbook ingest (SR-3): the first visible sheet of every workbook of a folder, as rows.
+
+One workbook is one record, so a folder of many spreads over the cluster; Spark has no
+reader for the format, so unzipping one workbook is the only Python step here.
+"""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import re
+import zipfile
+from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..errors import TableError, invalid_file
+from ..session import stage
+from ..table import ROW_NO, with_display_names
+from .csv import IngestLimits, check_table, number_rows
+
+ROW_SCHEMA = "path string, sheet string, row_index bigint, cells array<string>, kinds array<string>, error string"
+BATCH_ROWS = 5000
+
+# Built-in number formats that show dates or times.
+_DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def _children(node, name: str) -> list:
+    return [n for n in node.iter() if _local(n.tag) == name]
+
+
+def _attribute(node, name: str) -> str | None:
+    return next((v for k, v in node.attrib.items() if _local(k) == name), None)
+
+
+def _text(node) -> str:
+    """Text of a string item: its runs, without phonetic hints."""
+    hints = {id(t) for r in _children(node, "rPh") for t in _children(r, "t")}
+    return "".join(t.text or "" for t in _children(node, "t") if id(t) not in hints)
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Cell style numbers that show a date or time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    custom = {
+        int(n.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", n.get("formatCode", ""))
+        for n in _children(root, "numFmt")
+    }
+    dated = {n for n, code in custom.items() if re.search(r"[dmyhs]", code, re.IGNORECASE)} | (_DATE_FORMATS - set(custom))
+    styles = next(iter(_children(root, "cellXfs")), None)
+    return {i for i, xf in enumerate(styles if styles is not None else ()) if int(xf.get("numFmtId", 0)) in dated}
+
+
+def _first_visible(book: zipfile.ZipFile) -> tuple[str, str, datetime]:
+    """Name and part of the first visible sheet, and the day zero of its dates."""
+    root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    targets = {n.get("Id"): n.get("Target") for n in _children(links, "Relationship")}
+    since_1904 = any(n.get("date1904") in ("1", "true") for n in _children(root, "workbookPr"))
+    zero = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30)
+    for sheet in _children(root, "sheet"):
+        if sheet.get("state", "visible") == "visible":
+            target = targets[_attribute(sheet, "id")]
+            part = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+            return sheet.get("name", ""), part, zero
+    raise ValueError("no visible sheet")
+
+
+def _column_index(reference: str) -> int:
+    n = 0
+    for letter in re.match(r"[A-Z]+", reference).group():
+        n = n * 26 + ord(letter) - 64
+    return n - 1
+
+
+def _cell(node, shared: list[str], dated: set[int], zero: datetime) -> tuple[str | None, str]:
+    """Text and kind of a cell; cached values, not formulas."""
+    kind = node.get("t", "n")
+    if kind == "inlineStr":
+        return _text(node), "text"
+    raw = next((v.text for v in _children(node, "v")), None)
+    if raw is None:
+        return None, "empty"
+    if kind == "s":
+        return shared[int(raw)], "text"
+    if kind == "b":
+        return ("True" if raw == "1" else "False"), "boolean"
+    if kind != "n":
+        return raw, "datetime" if kind == "d" else "text"
+    if int(node.get("s", 0)) in dated:
+        seconds = round(float(raw) * 86400)
+        return (zero + timedelta(seconds=seconds)).isoformat(), "datetime"
+    return (str(int(raw)), "integer") if re.fullmatch(r"[+-]?\d+", raw) else (repr(float(raw)), "decimal")
+
+
+def _rows(content: bytes) -> Iterator[tuple[str, int, list, list]]:
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        name, part, zero = _first_visible(book)
+        dated = _date_styles(book)
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = [_text(n) for n in _children(ElementTree.fromstring(book.read("xl/sharedStrings.xml")), "si")]
+        expected = 1
+        with book.open(part) as sheet:
+            for _, node in ElementTree.iterparse(sheet):
+                if _local(node.tag) != "row":
+                    continue
+                number = int(node.get("r", expected))
+                for blank in range(expected, number):
+                    yield name, blank - 1, [], []
+                cells: list[tuple[str | None, str]] = []
+                for c in (n for n in node if _local(n.tag) == "c"):
+                    at = _column_index(c.get("r")) if c.get("r") else len(cells)
+                    cells += [(None, "empty")] * (at - len(cells))
+                    cells.append(_cell(c, shared, dated, zero))
+                yield name, number - 1, [v for v, _ in cells], [k for _, k in cells]
+                expected = number + 1
+                node.clear()
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["path", "sheet", "row_index", "cells", "kinds", "error"]
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            held = []
+            try:
+                for sheet, index, cells, kinds in _rows(content):
+                    held.append((path, sheet, index, cells, kinds, None))
+                    if len(held) >= BATCH_ROWS:
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
+            except Exception as problem:  # noqa: BLE001 - any unreadable workbook becomes an error row
+                held.append((path, None, None, None, None, f"{type(problem).__name__}: {problem}"))
+            if held:
+                yield pd.DataFrame(held, columns=names)
+
+
+def workbook_rows(workbooks: DataFrame) -> DataFrame:
+    """Sheet rows of a DataFrame of (path, content); an unreadable workbook gives one row with ``error``."""
+    return workbooks.select("path", "content").mapInPandas(_parse, ROW_SCHEMA)
+
+
+def read_workbooks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return workbook_rows(spark.read.format("binaryFile").load(path))
+
+
+def workbook_table(rows: DataFrame, limits: IngestLimits | None = None) -> DataFrame:
+    """One table from the rows of workbooks that share a header: ``column_1..n`` text and row numbers.
+
+    Rows follow (path, sheet row); each workbook's first row is its header.
+    """
+    staged = stage(rows, "workbooks")
+    bad = staged.where("error IS NOT NULL").select("path", "error").limit(1).collect()
+    if bad:
+        raise invalid_file(f"Workbook cannot be read: {bad[0]['path']} ({bad[0]['error']})")
+    first = staged.orderBy("path", "row_index").limit(1).collect()
+    width = staged.agg(F.max(F.size("cells")).alias("n")).first()["n"]
+    if not first or not width or width < 1:
+        raise TableError("empty_table", "The workbooks hold no rows.")
+    headers = [c or "" for c in first[0]["cells"]] + [""] * (width - len(first[0]["cells"]))
+    names = [f"column_{i + 1}" for i in range(width)]
+    placed = staged.select(
+        *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)],
+        F.col("path").alias("__file"), F.lit(0).cast("bigint").alias("__start"), F.col("row_index").alias("__id"),
+    )
+    table = with_display_names(number_rows(placed), dict(zip(names, headers, strict=True)))
+    check_table(table, limits or IngestLimits())
+    return table.select(*names, ROW_NO)

@@ -216,3 +216,42 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         group.alias("category"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
     )
+
+
+BOOK_ROWS = 2000
+
+
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as workbooks of ``BOOK_ROWS`` keys each: (path, content)."""
+    o = table(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_orderkey") / BOOK_ROWS).alias("book"), "o_orderkey", "o_totalprice", "o_orderpriority",
+        F.datediff("o_orderdate", F.lit("1899-12-30")).alias("day"),
+    )
+    # Keys are unique, so a group never exceeds BOOK_ROWS rows.
+    return o.groupBy("book").applyInPandas(_workbook, "path string, content binary")
+
+
+def _workbook(pdf):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    pkg = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+    def inline(v) -> str:
+        return f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+
+    lines = ["<row>" + "".join(inline(h) for h in ("key", "total", "priority", "day")) + "</row>"]
+    for r in pdf.sort_values("o_orderkey").itertuples():
+        cells = f"<c><v>{r.o_orderkey}</v></c><c><v>{r.o_totalprice!r}</v></c>{inline(r.o_orderpriority)}<c s=\"1\"><v>{r.day}</v></c>"
+        lines.append(f"<row>{cells}</row>")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="old" state="hidden" r:id="a"/><sheet name="orders" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{pkg}"><Relationship Id="a" Target="worksheets/none.xml"/><Relationship Id="b" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    return pd.DataFrame({"path": [f"book-{int(pdf['book'].iloc[0]):010d}.xlsx"], "content": [buffer.getvalue()]})

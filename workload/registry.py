@@ -19,7 +19,7 @@ from sluicebox.plans.history import TablePlan, plan_metrics, step_reports
 from sluicebox.plans.suggest import suggestions
 from sluicebox.session import staging_path
 from sluicebox.sources import csv as csv_source
-from sluicebox.sources import export
+from sluicebox.sources import export, xlsx
 from sluicebox.table import ROW_NO, data_columns, from_frame, preview
 
 from . import messy
@@ -1110,6 +1110,16 @@ def pack_export(spark, sf):
     return spark.read.schema(schema).json(f"{path}/cleaned")
 
 
+@query(
+    "xlsx_workbooks",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS key, round(o_totalprice, 2) AS total, o_orderpriority AS priority,
+  strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS day, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no FROM orders""",
+)
+def xlsx_workbooks(spark, sf):
+    t = xlsx.workbook_table(xlsx.workbook_rows(messy.workbooks(spark, sf)))
+    return t.toDF("key", "total", "priority", "day", "row_no").withColumn("total", F.col("total").cast("double"))
+
+
 # --- Scalar functions (FN-*) ---------------------------------------------------------------
 
 
