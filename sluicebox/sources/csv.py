@@ -23,8 +23,11 @@ _LATIN_1 = "".join(chr(b) for b in range(0x80, 0xA0))
 _WINDOWS_1252 = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 
 # A quoted field still open at the end of a line that starts outside quotes.
-_OPEN_QUOTE = r'^(?:(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+)?+,)*+"(?:[^"]|"")*+$'
-_QUOTED = r'"(?:[^"]|"")*+"'
+_OPEN_QUOTE = r'^(?:(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+)?+,)*+"[^"]*+(?:""[^"]*+)*+$'
+# A line that starts inside quotes and never leaves them; and what it takes to leave them.
+_STAYS_INSIDE = r'^[^"]*+(?:""[^"]*+)*+$'
+_LEAVES = r'^[^"]*+(?:""[^"]*+)*+"[^,]*+,?'
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 
 
 @dataclass(frozen=True)
@@ -40,8 +43,8 @@ def _windows_1252(raw: Column) -> Column:
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Every physical line with where it stands: file, split start, and order within the task."""
-    return spark.read.text(path).select(
+    """Every physical line (a carriage return stays on it) with file, split start and order within the task."""
+    return spark.read.text(path, lineSep="\n").select(
         F.col("value"),
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
@@ -84,6 +87,90 @@ def number_rows(placed: DataFrame, header_rows: int = 1) -> DataFrame:
     ).drop("__place", "__file", "__start", "__first", "__before", "__base", "__id")
 
 
+def _without_return(line: Column) -> Column:
+    return F.regexp_replace(line, "\r$", "")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Join the physical lines of records that run over line ends, however the file was split.
+
+    Whether a line starts inside quotes depends on all lines before it. Each line is a map
+    from "starts outside / inside" to "ends outside / inside": it keeps the state, swaps it,
+    or fixes it. The state before a line is therefore the last fixed state, swapped once per
+    swapping line since. Running sums give that within a split; one row per split carries it
+    over the splits of a file. Only lines of records that do span lines are then grouped.
+    """
+    line = _without_return(F.col("value"))
+    quoted = F.col("value").contains('"')
+    from_outside = (quoted & line.rlike(_OPEN_QUOTE)).cast("int")
+    after = F.regexp_replace(line, _LEAVES, "")
+    from_inside = F.when(~quoted | line.rlike(_STAYS_INSIDE), 1).otherwise(after.rlike(_OPEN_QUOTE).cast("int"))
+    # Staged: the ids below must not be dealt out anew by a second read of the files.
+    mapped = stage(lines.select("*", from_outside.alias("__o"), from_inside.alias("__i")), "csv-lines")
+
+    swaps = ((F.col("__o") == 1) & (F.col("__i") == 0)).cast("int")
+    fixed = F.col("__o") == F.col("__i")
+    split = Window.partitionBy("__file", "__start").orderBy("__id")
+    so_far = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = split.rowsBetween(Window.unboundedPreceding, -1)
+    ran = mapped.withColumn("__swaps", F.sum(swaps).over(so_far)).withColumn(
+        "__fix", F.when(fixed, F.struct(F.col("__o").alias("state"), F.col("__swaps").alias("at")))
+    )
+
+    def state(start: Column, fix: Column, count: Column) -> Column:
+        return F.when(fix.isNull(), start + count).otherwise(fix["state"] + count - fix["at"]) % 2
+
+    # One row per split: its end state for either start state, then the state it really starts in.
+    ends = ran.groupBy("__file", "__start").agg(
+        F.max("__swaps").alias("count"), F.max(F.when(F.col("__fix").isNotNull(), F.struct("__id", "__fix"))).getField("__fix").alias("fix")
+    )
+    order = Window.partitionBy("__file").orderBy("__start")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        "__file", "__start", "count", "fix", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("total")
+    ).withColumn(
+        "seen", F.when(F.col("fix").isNotNull(), F.struct(
+            F.col("fix.state").alias("state"), (F.col("total") - F.col("count") + F.col("fix.at")).alias("at")))
+    )
+    zero = F.lit(0)
+    starts = ends.select(
+        "__file", "__start",
+        state(zero, F.last("seen", ignorenulls=True).over(before), F.coalesce(F.last("total").over(before), zero)).alias("__enters"),
+        state(zero, F.last("seen", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("total")).alias("leaves"),
+    )
+    last = starts.groupBy("__file").agg(F.max(F.struct("__start", "leaves")).getField("leaves").alias("leaves"))
+    if last.where("leaves = 1").limit(1).count():
+        raise invalid_file("A quoted field is never closed.")
+
+    inside = ran.join(starts.drop("leaves"), ["__file", "__start"]).withColumn(
+        "__inside",
+        state(F.col("__enters"), F.last("__fix", ignorenulls=True).over(earlier), F.coalesce(F.last("__swaps").over(earlier), zero)),
+    )
+    open_after = F.when(F.col("__inside") == 0, F.col("__o")).otherwise(F.col("__i"))
+    # __rank: place of a record's first line among the first lines of its split.
+    rank = F.sum((F.col("__inside") == 0).cast("bigint")).over(so_far) - 1
+    placed = inside.select("value", "__file", "__start", "__id", "__inside", open_after.alias("__open")).withColumn("__rank", rank)
+    single = placed.where("__inside = 0 AND __open = 0").select(
+        _without_return(F.col("value")).alias("value"), "__file", "__start", F.col("__rank").alias("__id")
+    )
+
+    # Lines of spanning records only. Their first line may lie in an earlier split.
+    spanning = placed.where("__inside = 1 OR __open = 1").withColumn(
+        "__head", F.last(F.when(F.col("__inside") == 0, F.struct("__start", "__rank")), ignorenulls=True).over(so_far)
+    )
+    heads = spanning.groupBy("__file", "__start").agg(
+        F.max(F.when(F.col("__inside") == 0, F.struct("__start", "__rank"))).alias("h")
+    ).select("__file", "__start", F.last("h", ignorenulls=True).over(before).alias("__carried"))
+    headed = spanning.join(heads, ["__file", "__start"]).withColumn("__head", F.coalesce("__head", "__carried"))
+    # A group is the lines of one record.
+    parts = F.array_sort(F.collect_list(F.struct("__start", "__id", "value")))
+    joined = headed.groupBy("__file", F.col("__head.__start").alias("h_start"), F.col("__head.__rank").alias("h_rank")).agg(parts.alias("parts"))
+    text = _without_return(F.array_join(F.transform("parts", lambda x: x["value"]), "\n"))
+    return single.unionByName(
+        joined.select(text.alias("value"), "__file", F.col("h_start").alias("__start"), F.col("h_rank").alias("__id"))
+    )
+
+
 def _header(lines: DataFrame) -> list[str]:
     first = lines.orderBy("__file", "__start", "__id").limit(1).collect()
     if not first:
@@ -99,15 +186,18 @@ def read_csv(
     """SR-1: comma-separated text, every cell text, first record the headers.
 
     Lines are read splittably and parsed with ``from_csv``, which keeps blank lines as rows.
-    Only when some quoted field runs over a line end are files parsed whole instead. Short
-    rows are padded; a row longer than the header is an error. The parsed table is staged
-    once, so row numbers rest on stored ids and every later pass reads columns.
+    Lines of a record that runs over line ends are joined first, if there is any. Short rows
+    are padded; a row longer than the header is an error. The parsed table is staged once, so
+    row numbers rest on stored ids and every later pass reads columns.
     """
     lines = _decoded(_lines(spark, path))
-    spanning = lines.where(F.col("value").contains('"') & F.col("value").rlike(_OPEN_QUOTE)).limit(1).count()
-    if spanning:
-        return _read_whole_files(spark, path, lines, limits)
-    headers = _header(lines)
+    line = _without_return(F.col("value"))
+    if lines.where(F.col("value").contains('"') & line.rlike(_OPEN_QUOTE)).limit(1).count():
+        records = stage(_records(lines), "csv-records")
+    else:
+        # No line that starts outside quotes ends inside, so every line starts outside.
+        records = lines.withColumn("value", line)
+    headers = _header(records)
     names = [f"column_{i + 1}" for i in range(len(headers))]
     schema = ", ".join(f"{n} string" for n in [*names, "__bad"])
     options = {
@@ -115,7 +205,7 @@ def read_csv(
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1",
         "maxColumns": str(max(len(headers) + 1, 20480)),
     }
-    parsed = lines.select(F.from_csv("value", schema, options).alias("r"), "value", "__file", "__start", "__id")
+    parsed = records.select(F.from_csv("value", schema, options).alias("r"), "value", "__file", "__start", "__id")
     fields = F.size(F.split(F.regexp_replace("value", _QUOTED, ""), ","))
     placed = parsed.select(
         *[F.coalesce(F.col(f"r.{n}"), F.lit("")).alias(n) for n in names],
@@ -125,35 +215,6 @@ def read_csv(
     return _finish(stage(placed, "csv"), headers, limits)
 
 
-def _read_whole_files(
-    spark: SparkSession, path: str | Sequence[str], lines: DataFrame, limits: IngestLimits | None
-) -> DataFrame:
-    """Records that run over lines: each file is parsed as a whole by the CSV reader."""
-    odd = lines.where(~F.is_valid_utf8("value")).limit(1).count()
-    if odd:
-        raise invalid_file("A file with quoted line breaks must be UTF-8.")
-    width = spark.read.csv(path, header=False, multiLine=True, escape='"', inferSchema=False).columns
-    names = [f"column_{i + 1}" for i in range(len(width))]
-    schema = ", ".join(f"{n} string" for n in [*names, "__bad"])
-    raw = spark.read.csv(
-        path, schema=schema, header=False, multiLine=True, escape='"', columnNameOfCorruptRecord="__bad",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxCharsPerColumn=-1,
-    )
-    fields = F.size(F.split(F.regexp_replace("__bad", _QUOTED, ""), ","))
-    placed = raw.select(
-        *[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names],
-        (F.col("__bad").isNotNull() & (fields > len(names))).alias("__long"),
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().alias("__id"),
-    )
-    staged = stage(placed, "csv")
-    first = staged.orderBy("__file", "__start", "__id").limit(1).collect()
-    if not first:
-        raise TableError("empty_table", "The file holds no rows.")
-    return _finish(staged, [first[0][n].lstrip(_BOM) for n in names], limits)
-
-
 def _finish(staged: DataFrame, headers: list[str], limits: IngestLimits | None) -> DataFrame:
     if staged.where("__long").limit(1).count():
         raise invalid_file("A row has more fields than the header.")

@@ -59,6 +59,41 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert rows(t) == [("one\ntwo", "x"), ("y", 'p "q"\n\nr')]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_line_breaks_over_many_splits(spark, tmp_path, end):
+    """The rows of Python's own reader, whatever the split size."""
+    import csv as pycsv
+    import io
+    import random
+
+    rng = random.Random(7)
+    words = ["a", "b c", 'say "x"', "one\ntwo", "p\n\nq, r", "", '"', 'z"\n"z', 'x,"\n,"y', "long " * 30]
+    buffer = io.StringIO()
+    out = pycsv.writer(buffer, lineterminator=end)
+    out.writerow(["k", "v", "w"])
+    for i in range(300):
+        out.writerow([i, rng.choice(words), rng.choice(words)])
+    buffer.write(f'x,5" pipe,{end}')
+    payload = buffer.getvalue()
+    want = [tuple(r) for r in pycsv.reader(io.StringIO(payload, newline=""))][1:]
+    path = write(tmp_path, payload.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            t = csv.read_csv(spark, path)
+            assert rows(t) == want
+            assert column(t, ROW_NO) == list(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_unclosed_quote(spark, tmp_path):
+    with pytest.raises(TableError) as e:
+        csv.read_csv(spark, write(tmp_path, b'a,b\n1,"open\n2,x\n'))
+    assert e.value.code == "invalid_file"
+
+
 def test_bad_tables(spark, tmp_path):
     cases = {b"a,b\n": "empty_table", b"a,b\n,\n , \n": "empty_table", b"": "empty_table", b"a,b\n1,2,3\n": "invalid_file", b"a,b\n1,2,\n": "invalid_file"}
     for i, (payload, code) in enumerate(cases.items()):
