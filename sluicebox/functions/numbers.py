@@ -31,8 +31,12 @@ def numeric_text(c: Column) -> Column:
     return F.when(bare.rlike(DECIMAL_PATTERN), bare)
 
 
-def numeric_value(c: Column) -> Column:
-    return numeric_text(c).try_cast("double")
+def numeric_value(c: Column, dtype: T.DataType | None = None) -> Column:
+    """FN-9 as a number; a column that already holds numbers is taken as it is."""
+    if isinstance(dtype, T.NumericType):
+        number = c.cast("double")
+        return F.when(~F.isnan(number), number)
+    return numeric_text(c if dtype is None or isinstance(dtype, T.StringType) else c.cast("string")).try_cast("double")
 
 
 def is_numeric_looking(c: Column) -> Column:

@@ -121,8 +121,8 @@ def replace_values_from(
     """CL-4 with the mapping as a table.
 
     The side is broadcast only when a count shows it is small. Beyond that it is joined by
-    shuffle against the *distinct* folded values, so a hot value is one row in the join, and
-    the answer is brought back the same way.
+    shuffle; it has one row per folded value, so adaptive execution can split a hot value of
+    the left side over several tasks.
     """
     require_columns(df, [column])
     clean = (
@@ -162,9 +162,9 @@ def cast_dtype(df: DataFrame, column: str, dtype: str, strict: bool = False) ->
 def numeric_counts(df: DataFrame, column: str) -> DataFrame:
     """CL-13 facts in one pass: convertible, unresolved and fractional cells."""
     require_columns(df, [column])
-    cell = _col(column).cast("string")
-    number = numbers.numeric_value(cell)
-    present = ~text.is_blank(cell)
+    dtype = dtype_of(df, column)
+    number = numbers.numeric_value(_col(column), dtype)
+    present = ~text.is_missing(_col(column), dtype)
     return df.agg(
         F.count_if(number.isNotNull()).alias("convertible"),
         F.count_if(present & number.isNull()).alias("unresolved"),
@@ -177,12 +177,12 @@ def converted(df: DataFrame, column: str, target: str, typed: bool) -> Cells:
     if target not in ("integer", "decimal"):
         raise invalid_action(f"Unknown target type: {target}")
     require_columns(df, [column])
-    number = numbers.numeric_value(_col(column).cast("string"))
+    number = numbers.numeric_value(_col(column), dtype_of(df, column))
     kind = "bigint" if target == "integer" else "double"
     if typed:
         return {column: number.try_cast(kind)}
     as_text = number.try_cast("bigint").cast("string") if target == "integer" else text.render_double(number)
-    return {column: F.coalesce(as_text, _col(column))}
+    return {column: F.coalesce(as_text, _col(column).cast("string"))}
 
 
 def convert_numeric(df: DataFrame, column: str, target: str) -> DataFrame:
@@ -199,3 +199,9 @@ def convert_numeric(df: DataFrame, column: str, target: str) -> DataFrame:
 
 def is_number(df: DataFrame, column: str) -> bool:
     return isinstance(dtype_of(df, column), T.NumericType)
+
+
+def has_target_type(df: DataFrame, column: str, target: str) -> bool:
+    """The column already is what ``convert_numeric`` would make of it."""
+    dtype = dtype_of(df, column)
+    return isinstance(dtype, T.IntegralType) if target == "integer" else isinstance(dtype, T.FractionalType)

@@ -29,7 +29,7 @@ def _numeric_stats(df: DataFrame, column: str) -> DataFrame:
     dtype = dtype_of(df, column)
     present = ~is_missing(cell, dtype)
     return df.select(
-        F.when(present, numeric_value(cell.cast("string"))).alias("v"),
+        F.when(present, numeric_value(cell, dtype)).alias("v"),
         present.alias("present"),
     )
 

@@ -239,14 +239,14 @@ class ConvertNumeric(Action):
         return cell_ops.convert_numeric(df, self.column_id, self.target_type)
 
     def row_counts(self, df):
-        cell = _col(self.column_id).cast("string")
-        number = numbers.numeric_value(cell)
-        same_type = cell_ops.is_number(df, self.column_id)
-        changed = F.lit(0) if same_type else number.isNotNull().cast("int")
-        return changed, (~text.is_blank(cell) & number.isNull()).cast("int")
+        cell, dtype = _col(self.column_id), dtype_of(df, self.column_id)
+        number = numbers.numeric_value(cell, dtype)
+        done = cell_ops.has_target_type(df, self.column_id, self.target_type)
+        changed = F.lit(0) if done else number.isNotNull().cast("int")
+        return changed, (~text.is_missing(cell, dtype) & number.isNull()).cast("int")
 
     def samples(self, df):
-        number = numbers.numeric_value(_col(self.column_id).cast("string"))
+        number = numbers.numeric_value(_col(self.column_id), dtype_of(df, self.column_id))
         shown = number.try_cast("bigint").cast("string") if self.target_type == "integer" else text.render_double(number)
         return (
             df.where(number.isNotNull())

@@ -65,6 +65,19 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/sluicebox/{label}-{uuid.uuid4().hex}"
 
 
+_STAGED: list[str] = []
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete the tables this process has staged; call it once their results are written out."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    released = 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        released += bool(path.getFileSystem(conf).delete(path, True))
+    return released
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -74,4 +87,5 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = staging_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -113,6 +113,27 @@ def test_convert_numeric(table):
     assert column(cells.convert_numeric(whole, "column_1", "integer"), "column_1") == [12, 3, None]
 
 
+def test_convert_number_columns(spark):
+    df = spark.createDataFrame([(12345678.5, 3, 0), (None, None, 1)], f"d double, i bigint, {ROW_NO} bigint")
+    assert column(A.ConvertNumeric("d").apply(df), "d") == [12345678.5, None]
+    assert A.ConvertNumeric("d").metrics(df).first()["affected_count"] == 0
+    assert column(A.ConvertNumeric("i").apply(df), "i") == [3.0, None]
+    assert A.ConvertNumeric("i").metrics(df).first()["affected_count"] == 1
+    assert column(fills.fill_missing_with(df, "d", "median"), "d") == [12345678.5, 12345678.5]
+    with pytest.raises(TableError):
+        A.ConvertNumeric("d", "integer").apply(df)
+
+
+def test_release_staged(spark):
+    from sluicebox import release_staged
+
+    release_staged(spark)
+    placed = with_position(spark.range(5).toDF("n"), [F.col("n")])
+    assert placed.count() == 5 and release_staged(spark) == 1
+    with pytest.raises(Exception, match="(?i)not|exist"):
+        placed.count()
+
+
 def test_standardize_dates(table):
     t = table(["d"], [("03/04/2026",), ("2026-05-06",), ("later",), ("",)])
     action = A.StandardizeDate("column_1", "day_first")
