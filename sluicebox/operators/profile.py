@@ -276,8 +276,10 @@ class Profile:
         return self.source.sparkSession.createDataFrame(rows, "code string, title string, message string, affected_count bigint")
 
 
-def profile_table(df: DataFrame, block_rows: int = BLOCK_ROWS, with_duplicates: bool = True) -> Profile:
-    """PR-9: descriptors and all issues of a table."""
+def profile_table(
+    df: DataFrame, block_rows: int = BLOCK_ROWS, with_duplicates: bool = True, with_examples: bool = True
+) -> Profile:
+    """PR-9: descriptors and all issues of a table; the flags leave out the passes behind PR-3 and PR-10."""
     names = data_columns(df)
     blocks = block_counters(df, block_rows).persist()
     try:
@@ -300,12 +302,12 @@ def profile_table(df: DataFrame, block_rows: int = BLOCK_ROWS, with_duplicates:
             "dated": profile.inconsistent_date_columns(),
         }
         pairs = [(c, hit) for hit, columns in wanted.items() for c in columns]
-        if ROW_NO in df.columns and pairs:
+        if with_examples and ROW_NO in df.columns and pairs:
             profile.examples = _examples(df, pairs, _first_blocks(blocks, pairs), block_rows)
     finally:
         blocks.unpersist()
     if with_duplicates:
-        profile.duplicate_count, profile.duplicate_examples = _duplicates(df)
+        profile.duplicate_count, profile.duplicate_examples = _duplicates(df, with_examples)
     return profile
 
 
@@ -397,9 +399,9 @@ def repeated_row_numbers(df: DataFrame) -> DataFrame:
     return df.select(ROW_NO).join(firsts, ROW_NO, "left_anti")
 
 
-def _duplicates(df: DataFrame) -> tuple[int, list[int]]:
+def _duplicates(df: DataFrame, with_examples: bool) -> tuple[int, list[int]]:
     count = duplicate_rows(df).first()["duplicate_count"]
-    if not count or ROW_NO not in df.columns:
+    if not count or not with_examples or ROW_NO not in df.columns:
         return count, []
     first = repeated_row_numbers(df).orderBy(ROW_NO).limit(EXAMPLES).collect()
     return count, [r[ROW_NO] + FIRST_ROW_NUMBER for r in first]

@@ -20,6 +20,7 @@ from sluicebox.plans.suggest import suggestions
 from sluicebox.session import staging_path
 from sluicebox.sources import csv as csv_source
 from sluicebox.sources import export, xlsx
+from sluicebox.streaming import clean_stream
 from sluicebox.table import ROW_NO, data_columns, from_frame, preview
 
 from . import messy
@@ -399,6 +400,52 @@ def trim_samples(spark, sf):
     )
 
 
+@query(
+    "dedup_samples",
+    f"""SELECT row_number, order_id FROM (SELECT _row_no + 2 AS row_number, order_id FROM {_O}
+  QUALIFY row_number() OVER (PARTITION BY {', '.join(UPLOAD_COLUMNS)} ORDER BY _row_no) > 1) ORDER BY row_number LIMIT 5""",
+    (_O,),
+)
+def dedup_samples(spark, sf):
+    s = A.DropDuplicates("first").samples(messy.messy_orders(spark, sf))
+    return s.select("row_number", F.col("before")["order_id"].alias("order_id"))
+
+
+@query(
+    "preview_unresolved",
+    f"""SELECT action, {s_count('_row_no % 14 <> 0')} AS affected_count, {s_count('_row_no % 14 = 0')} AS unresolved_count,
+  CAST({s_count('_row_no % 14 = 0')} AS VARCHAR) || ' values could not be read and stay as they are.' AS warning
+FROM {_O}, (VALUES ('convert_numeric'), ('standardize_date')) v(action) GROUP BY action""",
+    (_O,),
+)
+def preview_unresolved(spark, sf):
+    o = messy.messy_orders(spark, sf).select(
+        *[F.when(F.col(ROW_NO) % 14 == 0, "n/a").otherwise(F.col(c)).alias(c) for c in ("amount", "order_date")], ROW_NO
+    )
+    out = None
+    for action in (A.ConvertNumeric("amount", "decimal"), A.StandardizeDate("order_date", "month_first", "DD/MM/YYYY")):
+        part = A.preview_change(o, action).select(
+            F.lit(action.kind).alias("action"), "affected_count", "unresolved_count", "warning"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "stream_clean",
+    f"SELECT c_custkey, {s_title('trim(c_name)')} AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer",
+)
+def stream_clean(spark, sf):
+    schema = table(spark, sf, "customer").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf)
+    steps = [A.TrimWhitespace(("c_name",)), A.NormalizeCase("title", "c_name"), A.NormalizeCase("lower", "c_mktsegment")]
+    cleaned = clean_stream(stream.select("c_custkey", "c_name", "c_mktsegment"), steps)
+    out, mark = staging_path(spark, "stream"), staging_path(spark, "stream-log")
+    run = cleaned.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query(
     "normalize_case",
     f"SELECT customer_id, {s_title('trim(full_name)')} AS full_name, lower(trim(email)) AS email, upper(trim(customer_segment)) AS customer_segment FROM messy_customers",
@@ -675,7 +722,7 @@ def infer_types(spark, sf):
     makers = {"messy_orders": messy.messy_orders, "messy_events": messy.messy_events, "messy_customers": messy.messy_customers}
     out = None
     for name, make in makers.items():
-        p = profile.profile_table(make(spark, sf), with_duplicates=False).columns()
+        p = profile.profile_table(make(spark, sf), with_duplicates=False, with_examples=False).columns()
         part = p.select(F.lit(name).alias("source"), "id", "inferred_type")
         out = part if out is None else out.unionByName(part)
     return out
