@@ -46,8 +46,12 @@ def build_session(
     return builder.getOrCreate()
 
 
+_local_root: str | None = None
+
+
 def staging_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; where unset, a temporary one in local mode only."""
+    global _local_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -56,9 +60,9 @@ def staging_root(spark: SparkSession) -> str:
             "Set spark.checkpoint.dir to a folder every executor can reach; "
             "staged tables must outlive a lost executor."
         )
-    root = tempfile.mkdtemp(prefix="sluicebox-stage-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if _local_root is None:
+        _local_root = tempfile.mkdtemp(prefix="sluicebox-stage-")
+    return _local_root
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
