@@ -129,7 +129,9 @@ def render_double(c: Column) -> Column:
 def render_cell(c: Column, dtype: T.DataType) -> Column:
     """FN-16: text of a cell for CSV and JSON outputs; timestamps in ISO form, missing as null."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+    if isinstance(dtype, T.BooleanType):
+        return F.initcap(c.cast("string"))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), render_double(c))
     return c.cast("string")

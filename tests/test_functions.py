@@ -44,6 +44,12 @@ def test_render_double(spark):
     ]
 
 
+def test_render_cells(spark):
+    df = spark.sql("SELECT timestamp'2024-01-05 10:00:00' a, timestamp_ntz'2024-01-05 10:00:00.25' b, true c, date'2024-01-05' d, 7L e, CAST('NaN' AS DOUBLE) f")
+    shown = df.select(*[text.render_cell(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
+    assert tuple(shown) == ("2024-01-05T10:00:00", "2024-01-05T10:00:00.250000", "True", "2024-01-05", "7", None)
+
+
 def test_stable_json_sorts_names_and_keeps_nulls(spark):
     df = spark.createDataFrame([("x", None)], "b string, a string")
     assert df.select(text.stable_json([("b", F.col("b")), ("a", F.col("a"))])).first()[0] == '{"a":null,"b":"x"}'
