@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,23 +45,10 @@ def build_session(
     return builder.getOrCreate()
 
 
-_local_root: str | None = None
-
-
 def staging_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset, a temporary one in local mode only."""
-    global _local_root
+    """The folder named by ``spark.checkpoint.dir``; where unset, one in the session's warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(
-            "Set spark.checkpoint.dir to a folder every executor can reach; "
-            "staged tables must outlive a lost executor."
-        )
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="sluicebox-stage-")
-    return _local_root
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
