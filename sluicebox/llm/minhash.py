@@ -5,11 +5,10 @@ comes first in its own fixed random order of all bins (optimal densification), s
 with a probability equal to their resemblance. 51 bands of five bins are the buckets: a pair at resemblance
 0.75 shares none with a probability of 1e-6.
 
-In each bucket only the links of a centre to the other members are candidates. They are confirmed on
-the full sets. While a bucket still holds members of different components, further centres are
-taken in it, from its smallest component first and twice as many each round, until every pair of different
-components in it was decided. So no link is lost to the star shape, and a bucket of copies of one text, however
-large, ends after one round.
+In each bucket only the links of a centre, a member drawn by hash, to the other members are candidates, and they
+are confirmed on the full sets. A bucket of copies of one text is then one component, however large it is. Where a bucket
+still holds several components, each member is tested against the larger ones in blocks, on the full sets, so that no link is lost to
+the star shape; only confirmed links leave a block.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, ascii_words, fold, pick, shingle_set, stage
@@ -27,6 +26,8 @@ from .components import components
 
 BANDS, ROWS, WIDTH = 51, 5, 5
 BINS = BANDS * ROWS
+#: Shingles on either side of a tile.
+TILE = 1 << 20
 _STEP = 2**64 // BINS
 
 
@@ -93,6 +94,75 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(sized).where((100 + share) * both >= share * n).select("a", "b")
 
 
+def _tile(rows: pa.Table, share: int) -> Iterator[tuple[int, int]]:
+    """Links of the outsiders to the members of one tile."""
+    inside = rows.column("member").to_numpy(zero_copy_only=False)
+    nodes, shingles = rows.column("node").to_pylist(), rows.column("shingles").combine_chunks()
+    ends = shingles.offsets.to_numpy() - shingles.offsets[0].as_py()
+    sizes, (_, codes) = np.diff(ends), np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+    members = np.flatnonzero(inside)
+    own = np.concatenate([codes[ends[i] : ends[i + 1]] for i in members]) if len(members) else codes[:0]
+    starts = np.concatenate([[0], np.cumsum(sizes[members])[:-1]]).astype(np.int64)
+    mark = np.zeros(len(codes) + 1, np.int64)
+    for i in np.flatnonzero(~inside) if len(own) else []:
+        mark[codes[ends[i] : ends[i + 1]]] = 1
+        both = np.add.reduceat(mark[own], starts)
+        mark[codes[ends[i] : ends[i + 1]]] = 0
+        for j in members[(100 + share) * both >= share * (sizes[i] + sizes[members])]:
+            yield nodes[i], nodes[j]
+
+
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The links between different components that meet in a bucket.
+
+    A node is tested against every node of the larger components in its buckets, once for each. Both sides of a
+    component are cut by hash into parts of about ``TILE`` shingles, so a tile has a bounded size whatever the component's.
+    """
+    placed = stage(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    placed = stage(placed.join(mixed, "bucket", "left_semi"), "mixed")
+    nodes = stage(
+        placed.select("node", "label").distinct().select("label").distinct()
+        .join(labels.select("node", "label").union(placed.where("node = label").select("node", "label")).distinct(), "label")
+        .join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node"), "nodes",
+    )
+    sizes = stage(nodes.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "sizes")
+    there = placed.select("bucket", "label").distinct().join(sizes, "label").select("bucket", F.col("label").alias("target"), F.col("size").alias("target_size"))
+    here = stage(placed.join(sizes.select("label", "size"), "label"), "here")
+    larger = (F.col("target_size") > F.col("size")) | ((F.col("target_size") == F.col("size")) & (F.col("target") > F.col("label")))
+    tests = stage(here.join(stage(there, "there"), "bucket").where(larger).select("node", "target").distinct(), "tests")
+    tests = tests.join(nodes.select("node", "n"), "node")
+    cuts = stage(
+        tests.groupBy(F.col("target").alias("label")).agg(F.sum("n").alias("asked")).join(sizes, "label")
+        .select("label", F.ceil(F.col("weight") / TILE).alias("parts"), F.ceil(F.col("asked") / TILE).alias("blocks"), "weight", "asked"), "cuts",
+    )
+    total = cuts.agg(F.sum(F.col("weight") * F.col("blocks") + F.col("asked") * F.col("parts"))).first()[0] or 0
+    groups = 1 + total // (2 * TILE)
+
+    def dealt(rows: DataFrame, own: str, other: str, member: bool) -> DataFrame:
+        cut = rows.withColumn(own[:-1], F.pmod(F.xxhash64("node"), F.col(own)))
+        cut = cut.withColumn(other[:-1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return cut.select("label", "part", "block", F.lit(member).alias("member"), "node")
+
+    sides = dealt(nodes.select("node", "label").join(cuts, "label"), "parts", "blocks", True).union(
+        dealt(tests.select("node", F.col("target").alias("label")).join(cuts, "label"), "blocks", "parts", False)
+    )
+    tile = F.xxhash64("label", "part", "block")
+    sides = stage(sides, "sides").join(sets, "node").select(F.pmod(tile, F.lit(groups)).alias("group"), tile.alias("tile"), "member", "node", "shingles")
+
+    def run(rows: pa.Table) -> pa.Table:
+        found = []
+        rows = rows.sort_by("tile")
+        starts = np.flatnonzero(np.diff(rows.column("tile").to_numpy(), prepend=0)) if rows.num_rows else []
+        for at, end in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            found += _tile(rows.slice(at, end - at), share)
+        kind = rows.schema.field("node").type
+        return pa.table({"a": pa.array([min(x) for x in found], kind), "b": pa.array([max(x) for x in found], kind)})
+
+    kind = dict(sets.dtypes)["node"]
+    return sides.groupBy("group").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_links): the class of near copies of every row of ``docs``.
 
@@ -110,40 +180,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(sketches.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node")).where("node is not null"), "classes")
     # One row of each class of equal sets stands for it; the key (digest, id) spreads a large class.
     members = sketches.join(classes.withColumn("id", F.col("node")), ["digest", "id"]).select("node", F.explode("bands").alias("bucket"))
-    shared = stage(members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "buckets")
-    members = stage(members.join(shared, "bucket").select("bucket", "node", "low").distinct(), "members")
+    drawn = F.min_by("node", F.xxhash64("bucket", "node")).alias("centre")
+    shared = members.groupBy("bucket").agg(drawn, F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket", "centre")
+    members = stage(members.join(stage(shared, "buckets"), "bucket").distinct(), "members")
     nodes = stage(members.select("node").distinct(), "nodes")
     texts = source.where("text is not null").join(nodes, F.col("id") == F.col("node"), "left_semi")
     sets = stage(texts.mapInArrow(_sets, f"node {dict(source.dtypes)['id']}, shingles array<long>"), "sets")
-
-    def ordered(a: str, b: str) -> list:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    tested = stage(members.where("node <> low").select(*ordered("node", "low")).distinct(), "pairs")
-    links = stage(_confirmed(tested, sets, share).distinct(), "links")
+    pairs = members.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    links = stage(_confirmed(stage(pairs.distinct(), "pairs"), sets, share).distinct(), "links")
+    more = stage(_across(members.select("bucket", "node"), components(links), sets, share).distinct(), "links")
+    links = stage(links.union(more).distinct(), "links")
     labels = components(links)
-    # The first centres are decided in their buckets; what is left may need more.
-    left, centres = stage(members.where("node <> low").select("bucket", "node"), "left"), 1
-    while True:
-        placed = left.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        placed = stage(placed.join(mixed, "bucket", "left_semi"), "mixed")
-        if placed.isEmpty():
-            break
-        sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "label", "node"))
-        chosen = placed.join(sizes, ["bucket", "label"]).withColumn("rank", rank).where(F.col("rank") <= centres)
-        chosen = stage(chosen.select("bucket", F.col("node").alias("centre"), F.col("label").alias("own")), "centres")
-        fresh = placed.join(chosen, "bucket").where("label <> own").select(*ordered("node", "centre")).distinct()
-        fresh = stage(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stage(_confirmed(fresh, sets, share).distinct(), "links")
-        tested = tested.union(fresh)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-        left = stage(placed.join(chosen.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti").select("bucket", "node"), "left")
-        centres *= 2
-
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     named = stage(
         classes.join(labels, "node", "left").join(degree, "node", "left")

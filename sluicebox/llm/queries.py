@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staging_path
 from .bpe import decode, encode
 from .common import prepare, table
+from .fingerprint import as_text, edited_likeness
 from .minhash import near_duplicates
+from .neighbours import nearest
 from .packing import pack, token_pieces
+from .warc import read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +76,55 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256")
     )
     return decode(tokens, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query(
+    "op5_warc",
+    """
+    WITH payloads AS (
+      SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h FROM pages
+    ), tops AS (SELECT p, max(page_id) AS top FROM payloads GROUP BY p)
+    SELECT page_id, octet_length(encode(p)) AS payload_bytes,
+      array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * g + 1, 5) AS BIGINT) >> s) & 31 AS INT) + 1, 1)
+        FOR s IN [15, 10, 5, 0]], '') FOR g IN range(8)], '') AS payload_digest,
+      CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+    FROM payloads JOIN tops USING (p)
+    """,
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to web archives and read back through the index."""
+    index = write_archives(table(spark, sf_dir, "pages"), staging_path(spark, "warc"))
+    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_fingerprint")
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    found = edited_likeness(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text(F.col("prints")).alias("fingerprint"), as_text(F.col("edited_prints")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+@query(
+    "op7_neighbours",
+    """
+    WITH v AS (
+      SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding)
+        AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+    ), ranked AS (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where(F.col("vec_id") % 100 == 0), vectors)
