@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,27 @@ def _characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Recent:
+    """What was found for short strings lately: a full new half becomes the old half, so memory stays bounded."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.new[key] = found
+        return found
+
+    def add(self, key: str, value: bytes) -> bytes:
+        if len(key) <= 64:
+            if len(self.new) >= self.limit:
+                self.old = dict(self.new)
+                self.new.clear()  # the same dict, as a running loop may hold on to it
+            self.new[key] = value
+        return value
+
+
 class ByteBPE:
     """A vocabulary file of the byte-level kind, ready to encode and decode."""
 
@@ -63,8 +85,8 @@ class ByteBPE:
         self.bytes_of |= {i: text.encode() for text, i in self.special.items()}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.remembered = remembered
-        self.chunk_ids: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.chunk_ids, self.word_ids = Recent(remembered), Recent(remembered)
+        self.fits: dict[int, bool] = {}
         self.edge: dict[tuple[int, int], list[tuple[int, int]]] = {}
         # Only tokens that BPE makes of their own bytes can stand in an encoding.
         self.whole = {i for i in self.ids.values() if i not in self.split or self._crossing(*self.split[i]) == self.split[i]}
@@ -103,47 +125,45 @@ class ByteBPE:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE of the bytes of a and b gives [a, b]."""
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) >= 4 * self.remembered:
-                self.fits.clear()
-            known = self.fits[a, b] = self._crossing(a, b) is None
+        if len(self.fits) >= 4 * self.remembered:
+            self.fits.clear()
+        known = self.fits[a << 32 | b] = self._crossing(a, b) is None
         return known
 
     def piece(self, data: bytes) -> list[int]:
         """The ids of one word: the last token of every prefix, then back from the end."""
         if (known := self.ids.get(data)) in self.whole:
             return [known]
-        last, length = [-1] * (len(data) + 1), [0] * (len(data) + 1)
+        last, fits = [-1] * (len(data) + 1), self.fits
         for end, (token, size) in self.automaton.iter(data.decode("latin-1")):
             end += 1
             if last[end] < 0:
-                start = end - size
-                if start == 0 or (last[start] >= 0 and self.compatible(last[start], token)):
-                    last[end], length[end] = token, size
+                if start := end - size:
+                    fit = fits.get(last[start] << 32 | token)
+                    if not (self.compatible(last[start], token) if fit is None else fit):
+                        continue
+                last[end] = token
         out, at = [], len(data)
         while at:
             out.append(last[at])
-            at -= length[at]
+            at -= len(self.bytes_of[last[at]])
         return out[::-1]
 
+    def _word(self, word: str) -> bytes:
+        return array("I", self.piece(word.encode("utf-8", "replace"))).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
-        ids = [i for word in self.words.findall(chunk) for i in self.piece(word.encode("utf-8", "replace"))]
-        found = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self.chunk_ids) >= self.remembered:
-                self.chunk_ids.clear()
-            self.chunk_ids[chunk] = found
-        return found
+        return b"".join([self.word_ids.get(w) or self.word_ids.add(w, self._word(w)) for w in self.words.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        known, out = self.chunk_ids.get, []
+        new, out = self.chunk_ids.new, []
+        known = new.get
         for part in self.special_at.split(text) if self.special_at else [text]:
             if part in self.special:
                 out.append(np.uint32(self.special[part]).tobytes())
             else:
-                out.extend([known(c) or self._chunk(c) for c in self.chunks.findall(part)])
+                out.extend([known(c) or self.chunk_ids.get(c) or self.chunk_ids.add(c, self._chunk(c)) for c in self.chunks.findall(part)])
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SPACES
+from .bpe import SPACES, Recent
 from .common import pick, stage
 
 CAPACITY = 4096
@@ -45,28 +45,20 @@ class WordTokenizer:
     def __init__(self, path: str, remembered: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.tokenizer, self.recent = Tokenizer.from_file(path), Recent(remembered)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _run(self, run: str) -> bytes:
-        found = self._library(run)
-        if len(run) <= 64:
-            if len(self.known) >= self.remembered:
-                self.known.clear()
-            self.known[run] = found
-        return found
-
     def encode(self, text: str) -> bytes:
         if self.whole.search(text):
             return self._library(text)
-        known = self.known.get
+        recent, library = self.recent, self._library
+        known = recent.new.get
         # str.split() takes the same white space, as the controls it also takes are excluded above.
-        return b"".join([known(r) or self._run(r) for r in text.split()])
+        return b"".join([known(r) or recent.get(r) or recent.add(r, library(r)) for r in text.split()])
 
 
 @lru_cache(maxsize=2)
