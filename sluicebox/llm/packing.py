@@ -49,16 +49,48 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def _library(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if self.whole.search(text):
-            return self._library(text)
-        recent, library = self.recent, self._library
-        known = recent.new.get
-        # str.split() takes the same white space, as the controls it also takes are excluded above.
-        return b"".join([known(r) or recent.get(r) or recent.add(r, library(r)) for r in text.split()])
+    def _learn(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of many runs by few calls; a token belongs to the run in which it starts."""
+        for at in range(0, len(runs), 1000):
+            part = runs[at : at + 1000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            lasts = np.cumsum([len(r) + 1 for r in part])
+            ends = np.searchsorted([start for start, _ in found.offsets], lasts) * 4
+            data, start = np.array(found.ids, "<u4").tobytes(), 0
+            for run, end in zip(part, ends.tolist(), strict=True):
+                yield run, self.recent.add(run, data[start:end])
+                start = end
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, a few million characters at a time."""
+        part, size = [], 0
+        for text in texts:
+            part.append(text or "")
+            size += len(part[-1])
+            if size > 2_000_000:
+                yield from self._some(part)
+                part, size = [], 0
+        yield from self._some(part)
+
+    def _some(self, texts: list[str]) -> Iterator[bytes]:
+        # str.split() takes the same white space, as the controls it also takes are excluded here.
+        split = [None if self.whole.search(t) else t.split() for t in texts]
+        recent = self.recent.new
+        here = {r: None for runs in split if runs for r in runs if r not in recent}
+        here = {r: self.recent.get(r) for r in here}
+        here |= self._learn([r for r, ids in here.items() if ids is None])
+        known, late = recent.get, here.get
+        for text, runs in zip(texts, split, strict=True):
+            if runs is None:
+                yield self._whole(text)
+                continue
+            try:
+                yield b"".join([known(r) or late(r) for r in runs])
+            except TypeError:  # a run that was known when this part began has been forgotten since
+                yield self._whole(text)
 
 
 @lru_cache(maxsize=2)
@@ -78,8 +110,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: in
         tokenizer = load(vocabulary)
         for batch in batches:
             rows, pieces, ids = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                data = (tokenizer.encode(text) if text else b"") + end
+            for i, data in enumerate(tokenizer.encode_all(batch.column("text").to_pylist())):
+                data += end
                 cuts = [data[at : at + size] for at in range(0, len(data), size)] if len(data) > size else [data]
                 rows += [i] * len(cuts)
                 pieces += range(len(cuts))
