@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_path
@@ -15,6 +15,8 @@ from .fingerprint import as_text, edited_likeness
 from .minhash import near_duplicates
 from .neighbours import nearest
 from .packing import pack, token_pieces
+from .quality import quality_scores
+from .toxicity import toxicity_scores, train_model
 from .warc import read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +130,24 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every vector whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
+def taught(modulus: int, held_out: int, id_col: str = "id") -> Column:
+    """Whether a row's label may be learned from: the CRC-32 of its id as text leaves another remainder than ``held_out``."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus != held_out
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = toxicity_scores(docs, train_model(docs, labels, taught(4, 2)))
+    return scores.select("doc_id", (~taught(4, 2, "doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = quality_scores(docs, labels, taught(5, 0, "doc_id"))
+    return scores.select("doc_id", (~taught(5, 0, "doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
