@@ -15,6 +15,7 @@ from .fingerprint import as_text, edited_likeness
 from .minhash import near_duplicates
 from .neighbours import nearest
 from .packing import pack, token_pieces
+from .pii import pseudonymised
 from .quality import quality_scores
 from .toxicity import toxicity_scores, train_model
 from .warc import read_records, write_archives
@@ -151,3 +152,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scores = quality_scores(docs, labels, taught(5, 0, "doc_id"))
     return scores.select("doc_id", (~taught(5, 0, "doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms."""
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
