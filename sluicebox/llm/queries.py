@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,6 +13,7 @@ from ..session import staging_path
 from .bpe import decode, encode
 from .common import prepare, table
 from .fingerprint import as_text, edited_likeness
+from .licenses import CONTAINED, PARTS, SEQUENCES, scan
 from .minhash import near_duplicates
 from .neighbours import nearest
 from .packing import pack, token_pieces
@@ -158,3 +160,36 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms."""
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"('{part}', '{name}')" for part, name in PARTS.items())
+    rule = {
+        r: " OR ".join(f"regexp_matches(known, '{',' + ',(?:.*,)?'.join(re.escape(i) for i in way) + ','}')" for way in ways) for r, ways in SEQUENCES.items()
+    }
+    names = ", ".join(f"CASE WHEN ({rule[r]}){''.join(f' AND NOT ({rule[o]})' for o in CONTAINED[r])} THEN '{r}' END" for r in SEQUENCES)
+    return rf"""
+    WITH known(part, name) AS (VALUES {known}
+    ), flowing AS (
+      SELECT doc_id, unnest(string_split(regexp_replace(lower(coalesce(text, '')), '[.!?;:]+(\s+|$)', chr(1), 'g'), chr(1))) AS s,
+        generate_subscripts(string_split(regexp_replace(lower(coalesce(text, '')), '[.!?;:]+(\s+|$)', chr(1), 'g'), chr(1)), 1) AS i
+      FROM documents
+    ), whole AS (
+      SELECT doc_id, i, s, name FROM flowing LEFT JOIN known ON part = trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))
+    ), lines AS (
+      SELECT doc_id, i, unnest(string_split(s, chr(10))) AS line, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM whole WHERE name IS NULL
+    ), found AS (
+      SELECT doc_id, i, 0 AS j, name FROM whole WHERE name IS NOT NULL
+      UNION ALL SELECT doc_id, i, j, known.name FROM lines JOIN known ON part = trim(regexp_replace(line, '[^a-z0-9]+', ' ', 'g'))
+    ), joined AS (
+      SELECT d.doc_id, coalesce(sentences, '') AS sentences, ',' || coalesce(sentences, '') || ',' AS known
+      FROM documents d LEFT JOIN (SELECT doc_id, string_agg(name, ',' ORDER BY i, j) AS sentences FROM found GROUP BY doc_id) f USING (doc_id)
+    )
+    SELECT doc_id, sentences, concat_ws(',', {names}) AS licenses FROM joined
+    """
+
+
+@query("op10_licenses", _license_sql())
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence sentences and licences of every document."""
+    return scan(table(spark, sf_dir, "documents"))
