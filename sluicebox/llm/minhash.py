@@ -7,8 +7,8 @@ with a probability equal to their resemblance. 51 bands of five bins are the buc
 
 In each bucket only the links of a centre, a member drawn by hash, to the other members are candidates, and they
 are confirmed on the full sets. A bucket of copies of one text is then one component, however large it is. Where a bucket
-still holds several components, each member is tested against the larger ones in blocks, on the full sets, so that no link is lost to
-the star shape; only confirmed links leave a block.
+still holds several components, its nodes outside the largest are tested against that one and each other in tiles, on the full sets, so that no
+link is lost to the star shape; only confirmed links leave a tile.
 """
 
 from __future__ import annotations
@@ -109,33 +109,30 @@ def _tile(rows: pa.Table, share: int) -> Iterator[tuple[int, int]]:
         both = np.add.reduceat(mark[own], starts)
         mark[codes[ends[i] : ends[i + 1]]] = 0
         for j in members[(100 + share) * both >= share * (sizes[i] + sizes[members])]:
-            yield nodes[i], nodes[j]
+            if nodes[i] != nodes[j]:
+                yield nodes[i], nodes[j]
 
 
 def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The links between different components that meet in a bucket.
 
-    A node is tested against every node of the larger components in its buckets, once for each. Both sides of a
-    component are cut by hash into parts of about ``TILE`` shingles, so a tile has a bounded size whatever the component's.
+    Every node of a bucket outside its largest component is an outsider of that component. Outsiders of a component are tested against its
+    nodes and against each other, which covers every pair of different components in the bucket with one row for each node in it.
+    Both sides are cut by hash into parts of about ``TILE`` shingles, so a tile has a bounded size whatever the component's.
     """
-    placed = stage(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    placed = stage(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    nodes = stage(
-        placed.select("node", "label").distinct().select("label").distinct()
-        .join(labels.select("node", "label").union(placed.where("node = label").select("node", "label")).distinct(), "label")
-        .join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node"), "nodes",
-    )
-    sizes = stage(nodes.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "sizes")
-    there = placed.select("bucket", "label").distinct().join(sizes, "label").select("bucket", F.col("label").alias("target"), F.col("size").alias("target_size"))
-    here = stage(placed.join(sizes.select("label", "size"), "label"), "here")
-    larger = (F.col("target_size") > F.col("size")) | ((F.col("target_size") == F.col("size")) & (F.col("target") > F.col("label")))
-    tests = stage(here.join(stage(there, "there"), "bucket").where(larger).select("node", "target").distinct(), "tests")
-    tests = tests.join(nodes.select("node", "n"), "node")
-    cuts = stage(
-        tests.groupBy(F.col("target").alias("label")).agg(F.sum("n").alias("asked")).join(sizes, "label")
-        .select("label", F.ceil(F.col("weight") / TILE).alias("parts"), F.ceil(F.col("asked") / TILE).alias("blocks"), "weight", "asked"), "cuts",
-    )
+    placed = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    counts = labels.groupBy("label").agg(F.count("*").alias("size"))
+    placed = stage(placed.join(counts, "label", "left").select("bucket", "node", "label", F.coalesce("size", F.lit(1)).alias("size")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.max_by("label", "size").alias("target"), F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = stage(mixed.where("x < y").select("bucket", "target"), "mixed")
+    tests = stage(placed.join(mixed, "bucket").where("label <> target").select("node", F.col("target").alias("label")).distinct(), "tests")
+    size = sets.select("node", F.size("shingles").cast("long").alias("n"))
+    own = labels.union(placed.where("node = label").select("node", "label")).distinct().join(tests.select("label").distinct(), "label")
+    nodes = stage(own.select("node", "label").union(tests.select("node", "label")).distinct().join(size, "node"), "nodes")
+    weight = nodes.groupBy("label").agg(F.sum("n").alias("weight"))
+    asked = tests.join(size, "node").groupBy("label").agg(F.sum("n").alias("asked"))
+    cuts = weight.join(asked, "label").select("label", F.ceil(F.col("weight") / TILE).alias("parts"), F.ceil(F.col("asked") / TILE).alias("blocks"), "weight", "asked")
+    cuts = stage(cuts, "cuts")
     total = cuts.agg(F.sum(F.col("weight") * F.col("blocks") + F.col("asked") * F.col("parts"))).first()[0] or 0
     groups = 1 + total // (2 * TILE)
 
@@ -145,7 +142,7 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, share: int)
         return cut.select("label", "part", "block", F.lit(member).alias("member"), "node")
 
     sides = dealt(nodes.select("node", "label").join(cuts, "label"), "parts", "blocks", True).union(
-        dealt(tests.select("node", F.col("target").alias("label")).join(cuts, "label"), "blocks", "parts", False)
+        dealt(tests.join(cuts, "label"), "blocks", "parts", False)
     )
     tile = F.xxhash64("label", "part", "block")
     sides = stage(sides, "sides").join(sets, "node").select(F.pmod(tile, F.lit(groups)).alias("group"), tile.alias("tile"), "member", "node", "shingles")

@@ -51,8 +51,8 @@ def statistics(text: str | None, hashes: WordHashes) -> np.ndarray:
     return out
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, stats array<float>) of every row; a null or blank text has zeros."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, row, stats array<float>) of every row; a null or blank text has zeros. ``row`` is the column ``row_col``, or the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -60,10 +60,11 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found = [statistics(t, hashes) for t in batch.column("text").to_pylist()]
             values = pa.array(np.concatenate(found) if found else np.empty(0, np.float32))
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * STATISTICS)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, values)], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.ListArray.from_arrays(ends, values)], ["doc_id", "row", "stats"])
 
-    source = pick(docs, id=id_col, text=text_col)
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['id']}, stats array<float>")
+    source = pick(docs, id=id_col, row=row_col or id_col, text=text_col)
+    kinds = dict(source.dtypes)
+    return source.mapInArrow(run, f"doc_id {kinds['id']}, row {kinds['row']}, stats array<float>")
 
 
 def _numbers(batch: pa.RecordBatch) -> np.ndarray:
@@ -157,18 +158,21 @@ def fit(labelled: DataFrame, seed: int = 7) -> QualityModel:
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, teach: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(doc_id, score): how likely label 1 is for every row of ``docs``, learned from the rows of ``labels`` where ``teach`` holds.
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, teach: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None
+) -> DataFrame:
+    """(doc_id, row, score): how likely label 1 is for every row of ``docs``, learned from the rows of ``labels`` where ``teach`` holds.
 
     Null labels, ids without a text and texts without a label teach nothing. Blank and null texts get a score like any other.
-    Repeated rows get equal scores. ``teach`` is a condition on the labels' ``doc_id``.
+    Repeated rows get equal scores; ``row`` is the column ``row_col``, or the id. ``teach`` is a condition on the labels' ``doc_id``.
     """
-    stats = stage(document_statistics(docs, id_col, text_col), "statistics")
+    stats = stage(document_statistics(docs, id_col, text_col, row_col), "statistics")
     known = pick(labels, doc_id=id_col, label=label_col).where(teach).where("label IN (0, 1)")
     model = fit(stats.join(known, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_numbers(batch)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(model.score(_numbers(batch)))], ["doc_id", "row", "score"])
 
-    return stats.mapInArrow(run, f"doc_id {dict(stats.dtypes)['doc_id']}, score double")
+    kinds = dict(stats.dtypes)
+    return stats.mapInArrow(run, f"doc_id {kinds['doc_id']}, row {kinds['row']}, score double")

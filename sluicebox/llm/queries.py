@@ -153,7 +153,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scores = quality_scores(docs, labels, taught(5, 0, "doc_id"))
-    return scores.select("doc_id", (~taught(5, 0, "doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return scores.drop("row").select("doc_id", (~taught(5, 0, "doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 @query("op8_pii")
