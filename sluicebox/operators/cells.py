@@ -6,7 +6,9 @@ and the same expressions serve a streaming DataFrame.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +16,10 @@ from pyspark.sql import types as T
 
 from ..errors import TableError, invalid_action
 from ..functions import dates, numbers, text
+from ..session import stage
 from ..table import dtype_of, replace_columns, require_columns, text_columns
 
 Cells = dict[str, Column]
-MAP_LITERAL_LIMIT = 500
 
 
 def _col(name: str) -> Column:
@@ -43,16 +45,22 @@ def cased(df: DataFrame, mode: str, columns: Sequence[str] | None = None) -> Cel
 
 
 def replaced(df: DataFrame, column: str, mapping: Mapping[str, str]) -> Cells:
-    """CL-4 with a mapping small enough to be a literal."""
+    """CL-4 with the mapping as a literal of any size.
+
+    The folded values are dealt into small maps by checksum, so a look-up costs the same however many there are.
+    """
     if not mapping:
         raise invalid_action("Replacements are required.")
     if not _texts(df, [column]):
         return {}
     folded = {key.strip().lower(): value for key, value in mapping.items()}
-    if len(folded) > MAP_LITERAL_LIMIT:
-        raise invalid_action("Use replace_values_from for a mapping this large.")
-    lookup = F.create_map(*[F.lit(x) for pair in folded.items() for x in pair])
-    return {column: F.coalesce(F.try_element_at(lookup, text.fold_key(_col(column))), _col(column))}
+    parts: list[list[Column]] = [[] for _ in range(1 + len(folded) // 4)]
+    for key, value in folded.items():
+        parts[zlib.crc32(key.encode()) % len(parts)] += [F.lit(key), F.lit(value)]
+    maps = F.array(*[F.create_map(*p).cast("map<string,string>") for p in parts])
+    key = text.fold_key(_col(column))
+    own = F.element_at(maps, (F.crc32(key.cast("binary")) % len(parts) + 1).cast("int"))
+    return {column: F.coalesce(F.try_element_at(own, key), _col(column))}
 
 
 def canonical_dates(df: DataFrame, columns: Mapping[str, bool]) -> Cells:
@@ -73,17 +81,44 @@ def free_dates(
     return {column: F.coalesce(dates.format_free_date(cell, day_first, output_format, two_digit_last_year), cell)}
 
 
+def fill_type(dtype: T.DataType, value: str) -> T.DataType:
+    """What a column of ``dtype`` becomes when ``value`` goes into it: whole numbers widen to doubles, and text makes numbers text."""
+    if not isinstance(dtype, T.NumericType):
+        return dtype
+    try:
+        number = float(value)
+    except ValueError:
+        return T.StringType()
+    whole = number.is_integer() and abs(number) < 2**63
+    return dtype if isinstance(dtype, (T.FractionalType, T.DecimalType)) or whole else T.DoubleType()
+
+
 def filled(df: DataFrame, columns: Sequence[str], value: Column | str) -> Cells:
-    """CL-7: the same value into every missing cell."""
+    """CL-7: the same value into every missing cell. A column's type widens where a literal value asks for it."""
     require_columns(df, columns)
     out = {}
     for c in columns:
         dtype = dtype_of(df, c)
-        new = value if isinstance(value, Column) else F.lit(value)
-        out[c] = F.when(text.is_missing(_col(c), dtype), new.cast(dtype)).otherwise(_col(c))
+        if isinstance(value, Column):
+            new, kept = value.cast(dtype), _col(c)
+        else:
+            kind = fill_type(dtype, value)
+            number = isinstance(dtype, T.NumericType) and isinstance(kind, T.NumericType)
+            plain = F.lit(int(Decimal(value)) if isinstance(kind, T.IntegralType) else float(value)) if number else F.lit(value)
+            new = plain.cast(kind)
+            kept = text.render_cell(_col(c), dtype) if kind != dtype and isinstance(kind, T.StringType) else _col(c).cast(kind)
+        out[c] = F.when(text.is_missing(_col(c), dtype), new).otherwise(kept)
     return out
 
 
+def fill_marks(df: DataFrame, columns: Sequence[str], value: Column | str) -> dict[str, dict]:
+    """Header metadata of number columns that a fill turns to text."""
+    if isinstance(value, Column):
+        return {}
+    text_now = [c for c in columns if isinstance(dtype_of(df, c), T.NumericType) and isinstance(fill_type(dtype_of(df, c), value), T.StringType)]
+    return {c: {"converted": True} for c in text_now}
+
+
 def cast_cells(df: DataFrame, column: str, dtype: str) -> Cells:
     """CL-12, lenient: a cell that is no number becomes null."""
     require_columns(df, [column])
@@ -115,14 +150,11 @@ def replace_values(df: DataFrame, column: str, mapping: Mapping[str, str]) -> Da
     return replace_columns(df, replaced(df, column, mapping))
 
 
-def replace_values_from(
-    df: DataFrame, column: str, mapping: DataFrame, key: str, value: str, broadcast_rows: int = 100_000
-) -> DataFrame:
+def replace_values_from(df: DataFrame, column: str, mapping: DataFrame, key: str, value: str) -> DataFrame:
     """CL-4 with the mapping as a table.
 
-    The side is broadcast only when a count shows it is small. Beyond that it is joined by
-    shuffle; it has one row per folded value, so adaptive execution can split a hot value of
-    the left side over several tasks.
+    The mapping has one row per folded value and is staged, so that both sides of the join are plain shuffles: adaptive
+    execution then broadcasts it if its bytes are few, and else splits a hot value of the left side over several tasks.
     """
     require_columns(df, [column])
     clean = (
@@ -131,10 +163,7 @@ def replace_values_from(
         .agg(F.max("__value").alias("__value"))
     )
     keyed = df.withColumn("__key", text.fold_key(_col(column)))
-    if mapping.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        joined = keyed.join(F.broadcast(clean), "__key", "left")
-    else:
-        joined = keyed.join(clean, "__key", "left")
+    joined = keyed.join(stage(clean, "mapping"), "__key", "left")
     return replace_columns(
         joined, {column: F.coalesce(F.col("__value"), _col(column))}
     ).select(*[_col(c) for c in df.columns])
@@ -151,7 +180,7 @@ def standardize_free_dates(
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
-    return replace_columns(df, filled(df, columns, value))
+    return replace_columns(df, filled(df, columns, value), fill_marks(df, columns, value))
 
 
 def cast_dtype(df: DataFrame, column: str, dtype: str, strict: bool = False) -> DataFrame:

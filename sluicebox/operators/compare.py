@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import grading_number
 from ..functions.text import stable_json, stringify
+from ..session import stage
 from ..table import ROW_NO, data_columns, dtype_of, require_row_no
 from .columns import align_columns
 from .positions import POSITION, with_position
@@ -150,9 +151,9 @@ def keyed_diff(current: DataFrame, baseline: DataFrame, keys: Sequence[str], rem
     """CM-6: each current row against the baseline row of the same key.
 
     Result: the key columns as text, ``status`` (new, changed, unchanged, removed) and the
-    changed columns. The baseline is reduced to its last row per key first, so the join is
-    many-to-one and a hot key in ``current`` is split by adaptive execution; removed keys
-    come from an anti join against distinct keys.
+    changed columns. The baseline is reduced to its last row per key and staged first, so the join is
+    many-to-one between two plain shuffles, and adaptive execution splits a hot key of ``current``. Removed
+    keys come from an anti join of the staged keys.
     """
     columns = data_columns(current)
     shared = [c for c in columns if c in data_columns(baseline)]
@@ -168,7 +169,7 @@ def keyed_diff(current: DataFrame, baseline: DataFrame, keys: Sequence[str], rem
     base = keyed(baseline, shared, "b")
     row = F.struct(*[f"b_{i}" for i in range(len(shared))])
     pick = F.max_by(row, F.col(ROW_NO)) if ROW_NO in base.columns else F.max(row)
-    base = base.groupBy(*names).agg(pick.alias("__base"))
+    base = stage(base.groupBy(*names).agg(pick.alias("__base")), "baseline")
     joined = left.join(base, names, "left")
     tests = []
     for i, c in enumerate(columns):

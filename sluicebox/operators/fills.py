@@ -6,17 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import invalid_action
 from ..functions.numbers import format_calculated, numeric_value
 from ..functions.text import is_missing
 from ..table import ROW_NO, dtype_of, replace_columns, require_columns, require_row_no
-from .cells import filled
+from .cells import fill_marks, filled
 
 STRATEGIES = ("explicit", "mean", "median", "most_common")
-MEDIAN_EXACT_LIMIT = 200_000
 _NOT_NUMERIC = "A mean or median fill needs a column of numbers."
-MEDIAN_ACCURACY = 20_000
+#: Parts into which a round of the median search cuts its bracket.
+CUTS = 64
 FILL_BLOCK_ROWS = 1 << 18
 
 
@@ -57,76 +58,61 @@ def most_common_value(df: DataFrame, column: str) -> DataFrame:
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:
-    """CL-9: the exact median of the numbers in a column.
+    """CL-9: the exact median of the numbers in a column, with a state of constant size.
 
-    ``percentile`` keeps every distinct value in one buffer, so it is used only on a bracket
-    that is known to be small. Wider data is narrowed first: each pass asks for approximate
-    quantiles just around the middle, counts what lies below and inside them, and keeps the
-    bracket only if it provably holds the middle ranks.
+    A bracket [low, high] of values is known to hold the wanted rank. Each round cuts it at approximate quantiles, which
+    are values of the column, counts the parts, and goes on with the smallest and largest value of the part that holds the rank. The
+    values at both ends are parts of their own, so every round gets on, and no buffer of values is ever kept.
     """
     values = _numeric_stats(df, column)
     total = values.agg(
-        F.count("v").alias("n"),
-        F.count_if(F.col("present")).alias("present"),
-        F.approx_count_distinct("v").alias("distinct"),
-        F.percentile_approx("v", F.array(F.lit(0.5 - 2 / MEDIAN_ACCURACY), F.lit(0.5 + 2 / MEDIAN_ACCURACY)), MEDIAN_ACCURACY).alias("q"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
+        F.count("v").alias("n"), F.count_if(F.col("present")).alias("present"), F.min("v").alias("low"), F.max("v").alias("high")
     ).first()
     if not total["n"] or total["n"] != total["present"]:
         raise invalid_action(_NOT_NUMERIC)
-    n = total["n"]
-    ranks = ((n - 1) // 2, n // 2)
-    below, distinct, inside = 0, total["distinct"], values
-    lo, hi, quantiles = total["lo"], total["hi"], total["q"]
-    held = n
-    while distinct > MEDIAN_EXACT_LIMIT and lo < hi:
-        new_lo, new_hi = quantiles
-        # The wanted ranks relative to the bracket move the quantile fractions.
-        in_new = F.col("v").between(new_lo, new_hi)
-        step = inside.agg(
-            F.count_if(F.col("v") < new_lo).alias("below"),
-            F.count_if(in_new).alias("held"),
-            F.approx_count_distinct(F.when(in_new, F.col("v"))).alias("distinct"),
-        ).first()
-        start = below + step["below"]
-        if not (start <= ranks[0] and ranks[1] < start + step["held"]) or (new_lo, new_hi) == (lo, hi):
-            break
-        below, held, distinct, lo, hi = start, step["held"], step["distinct"], new_lo, new_hi
-        inside = values.where(F.col("v").between(lo, hi))
-        middle = (ranks[0] - below + 0.5) / held
-        fractions = [max(0.0, middle - 2 / MEDIAN_ACCURACY), min(1.0, middle + 2 / MEDIAN_ACCURACY)]
-        quantiles = inside.agg(
-            F.percentile_approx("v", F.array(*[F.lit(f) for f in fractions]), MEDIAN_ACCURACY).alias("q")
-        ).first()["q"]
-    if lo == hi:
-        return float(lo)
-    # At this point one buffer holds the distinct values of the bracket only.
-    span = max(held - 1, 1)
-    picks = inside.agg(
-        *[F.percentile("v", F.lit((r - below) / span)).alias(f"p{i}") for i, r in enumerate(ranks)]
-    ).first()
-    return float((picks["p0"] + picks["p1"]) / 2)
-
-
-def fill_value(df: DataFrame, column: str, strategy: str, value: str | None = None) -> Column:
-    """The replacement for CL-7..10 as an expression; mean and most-common stay lazy scalar subqueries."""
+    rank = (total["n"] - 1) // 2
+    low, high, before = total["low"], total["high"], 0
+    while low < high:
+        inside = values.where(F.col("v").between(low, high))
+        fractions = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+        cuts = sorted(set(inside.agg(F.percentile_approx("v", fractions, 100 * CUTS)).first()[0]) | {high})
+        part = (F.col("v") > low).cast("int")
+        for cut in cuts:
+            part = part + (F.col("v") >= cut).cast("int")
+        counts = inside.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for r in sorted(counts.collect(), key=lambda r: r["part"]):
+            if rank < before + r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            before += r["n"]
+    if total["n"] % 2:
+        return float(low)
+    after = values.agg(F.count_if(F.col("v") <= low).alias("n"), F.min(F.when(F.col("v") > low, F.col("v"))).alias("next")).first()
+    return float(low if after["n"] > rank + 1 else (low + after["next"]) / 2)
+
+
+def fill_value(df: DataFrame, column: str, strategy: str, value: str | None = None) -> Column | str:
+    """The replacement for CL-7..10. It is a lazy scalar subquery for a mean or most common value of text, and a literal text where
+    the type of a number column depends on it."""
     require_columns(df, [column])
     if strategy not in STRATEGIES:
         raise invalid_action(f"Unknown fill strategy: {strategy}")
     if strategy == "explicit":
         if value is None or not str(value).strip():
             raise invalid_action("The fill value must not be blank.")
-        return F.lit(value)
-    if strategy == "mean":
-        return mean_value(df, column).scalar()
+        return str(value)
     if strategy == "median":
-        return format_calculated(F.lit(exact_median(df, column)))
-    return most_common_value(df, column).scalar()
+        found = df.sparkSession.range(1).select(format_calculated(F.lit(exact_median(df, column))))
+        return found.first()[0]
+    if strategy == "most_common":
+        return most_common_value(df, column).scalar()
+    mean = mean_value(df, column)
+    return mean.first()["fill"] if isinstance(dtype_of(df, column), T.NumericType) else mean.scalar()
 
 
 def fill_missing_with(df: DataFrame, column: str, strategy: str, value: str | None = None) -> DataFrame:
-    return replace_columns(df, filled(df, [column], fill_value(df, column, strategy, value)))
+    new = fill_value(df, column, strategy, value)
+    return replace_columns(df, filled(df, [column], new), fill_marks(df, [column], new))
 
 
 def fill_forward(
@@ -198,5 +184,3 @@ def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Dat
         test = left[f"`{k}`"].eqNullSafe(renamed[f"__r{i}"])
         match = test if match is None else match & test
     return left.join(renamed, match, "left").drop(*[f"__r{i}" for i in range(len(on))])
-
-

@@ -32,7 +32,6 @@ from .rows import duplicate_groups, key_columns
 
 EXAMPLES = 5
 BLOCK_ROWS = 1 << 16
-MAX_RANGES = 64
 
 # Words read as booleans.
 BOOLEAN_WORDS = ("true", "false", "yes", "no")
@@ -340,7 +339,7 @@ def _first_blocks(blocks: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[i
 
 
 def _in_blocks(blocks: Sequence[int], block_rows: int) -> Column:
-    """A row-number predicate: merged ranges the scan can prune on, or a set test within outer bounds."""
+    """A row-number predicate the scan can prune on: merged ranges, at most five blocks for each column and kind of hit."""
     ranges: list[list[int]] = []
     for b in blocks:
         if ranges and ranges[-1][1] == b - 1:
@@ -348,9 +347,6 @@ def _in_blocks(blocks: Sequence[int], block_rows: int) -> Column:
         else:
             ranges.append([b, b])
     row = F.col(ROW_NO)
-    if len(ranges) > MAX_RANGES:
-        bounds = row.between(blocks[0] * block_rows, (blocks[-1] + 1) * block_rows - 1)
-        return bounds & F.floor(row / F.lit(block_rows)).isin(list(blocks))
     test = F.lit(False)
     for first, last in ranges:
         test = test | row.between(first * block_rows, (last + 1) * block_rows - 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import invalid_action
 from ..functions.dates import canonical_date
-from ..functions.text import count_present, stable_json, stringify
+from ..functions.text import count_present, render_cell, stable_json, stringify
 from ..table import ROW_NO, data_columns, dtype_of, require_columns, require_row_no
 
 
@@ -17,7 +17,6 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-
 def drop_duplicates(df: DataFrame, keep: str = "first") -> DataFrame:
     """CL-17: one row per distinct content, the first or last by source row.
 
@@ -82,7 +81,7 @@ def sort_rows(df: DataFrame, columns: Sequence[str], ascending: bool = True) ->
     The row number also spreads a run of equal keys over several range partitions.
     """
     require_columns(df, columns)
-    texts = [F.coalesce(_col(c).cast("string"), F.lit("")) for c in columns]
+    texts = [F.coalesce(render_cell(_col(c), dtype_of(df, c)), F.lit("")) for c in columns]
     order = [t.asc() if ascending else t.desc() for t in texts]
     if ROW_NO in df.columns:
         order.append(F.col(ROW_NO).asc())

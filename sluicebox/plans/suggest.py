@@ -1,8 +1,10 @@
-"""GV-3: turn detected issues into typed actions."""
+"""GV-3: turn detected issues into typed actions, by one rule for each type of issue."""
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,7 +22,9 @@ from .actions import (
     TrimWhitespace,
 )
 
-SUGGESTION_SCHEMA = "suggestion_id string, issue_type string, confidence string, action_type string, action string"
+SUGGESTION_SCHEMA = (
+    "suggestion_id string, issue_type string, confidence string, action_type string, action string, title string, rationale string"
+)
 
 
 @dataclass(frozen=True)
@@ -28,62 +32,68 @@ class Suggestion:
     issue_type: str
     action: Action
     confidence: str
+    title: str
+    rationale: str
+
+    @property
+    def action_json(self) -> str:
+        return json.dumps(self.action.to_dict(), sort_keys=True)
 
     @property
     def suggestion_id(self) -> str:
-        fields = self.action.to_dict()
-        words = [self.issue_type, fields["type"]]
-        for name in ("column_id", "column_ids", "keep", "strategy", "target_type"):
-            value = fields.get(name)
-            words += list(value) if isinstance(value, tuple) else [value] if value else []
-        return "-".join(words)
+        """A digest of what is suggested, equal wherever the same is suggested."""
+        return hashlib.sha256(f"{self.issue_type}\n{self.action_json}".encode()).hexdigest()[:16]
 
 
-def suggest(profile: Profile) -> list[Suggestion]:
-    """One suggestion per issue type (one per column for numbers held as text).
-
-    Works on the profile's counters alone: no further pass over the data.
-    """
-    inferred = profile.inferred
-    out: list[Suggestion] = []
-    for kind, *_, columns, _ in profile.issue_rows():
-        if kind == "whitespace":
-            out.append(Suggestion(kind, TrimWhitespace(tuple(columns)), "high"))
-        elif kind == "duplicate_rows":
-            out.append(Suggestion(kind, DropDuplicates("first"), "high"))
-        elif kind == "numeric_text":
-            out += [Suggestion(kind, ConvertNumeric(c, "decimal"), "high") for c in columns]
-        elif kind == "empty_columns":
-            out.append(Suggestion(kind, DropEmptyColumns(tuple(columns)), "high"))
-        elif kind == "inconsistent_dates":
-            out.append(Suggestion(kind, StandardizeDate(columns[0]), "medium"))
-        elif kind == "missing_values":
-            usable = [c for c in columns if inferred[c] != "empty"]
-            if usable:
-                strategy = "median" if inferred[usable[0]] in ("integer", "decimal") else "most_common"
-                out.append(Suggestion(kind, FillMissing(usable[0], strategy), "medium"))
-        elif kind == "messy_column_names":
-            action = _first_rename(profile, columns)
-            if action:
-                out.append(Suggestion(kind, action, "medium"))
-    return out
-
-
-def _first_rename(profile: Profile, columns: list[str]) -> RenameColumn | None:
-    places = list(profile.headers)
-    taken = {fold_header(h) for h in profile.headers.values() if h.strip()}
+@dataclass(frozen=True)
+class Rule:
+    """How an issue type is answered: the actions for its columns, and what a reader is told."""
+
+    actions: Callable[[Profile, list[str]], Iterator[Action]]
+    confidence: str
+    title: str
+    rationale: str
+
+
+def _fill(profile: Profile, columns: list[str]) -> Iterator[Action]:
+    held = [(c, profile.inferred[c]) for c in columns if profile.inferred[c] != "empty"]
+    for column, kind in held[:1]:
+        yield FillMissing(column, "median" if kind in ("integer", "decimal") else "most_common")
+
+
+def _rename(profile: Profile, columns: list[str]) -> Iterator[Action]:
+    """The first header whose clean form differs; other headers' names are taken."""
+    names = list(profile.headers)
     for c in columns:
-        header = profile.headers[c]
-        others = taken - {fold_header(header)}
-        candidate = clean_header(header, places.index(c), others)
-        if candidate != header:
-            return RenameColumn(c, candidate)
-    return None
+        own = fold_header(profile.headers[c])
+        taken = {fold_header(h) for h in profile.headers.values()} - {own, ""}
+        new = clean_header(profile.headers[c], names.index(c), taken)
+        if new != profile.headers[c]:
+            yield RenameColumn(c, new)
+            return
 
 
-def suggestions(profile: Profile) -> DataFrame:
-    rows = [
-        (s.suggestion_id, s.issue_type, s.confidence, s.action.kind, json.dumps(s.action.to_dict(), sort_keys=True))
-        for s in suggest(profile)
+RULES = {
+    "whitespace": Rule(lambda p, c: iter([TrimWhitespace(tuple(c))]), "high", "Trim white space", "Padding makes equal values differ."),
+    "duplicate_rows": Rule(lambda p, c: iter([DropDuplicates("first")]), "high", "Drop repeated rows", "Whole rows occur more than once; the first of each stays."),
+    "numeric_text": Rule(lambda p, c: (ConvertNumeric(x, "decimal") for x in c), "high", "Convert to numbers", "Every present cell reads as a number."),
+    "empty_columns": Rule(lambda p, c: iter([DropEmptyColumns(tuple(c))]), "high", "Drop empty columns", "No row has a value there."),
+    "inconsistent_dates": Rule(lambda p, c: iter([StandardizeDate(c[0])]), "medium", "Use one date layout", "Dates of one column are written in several layouts."),
+    "missing_values": Rule(_fill, "medium", "Fill missing cells", "The median suits numbers, the most common value suits text."),
+    "messy_column_names": Rule(_rename, "medium", "Rename the column", "Its name is blank, padded, repeated or unreadable."),
+}
+
+
+def suggest(profile: Profile) -> list[Suggestion]:
+    """What the rules answer to the profile's issues, from its counters alone: no further pass over the data."""
+    return [
+        Suggestion(kind, action, rule.confidence, rule.title, rule.rationale)
+        for kind, *_, columns, _ in profile.issue_rows()
+        if (rule := RULES.get(kind))
+        for action in rule.actions(profile, list(columns))
     ]
+
+
+def suggestions(profile: Profile) -> DataFrame:
+    rows = [(s.suggestion_id, s.issue_type, s.confidence, s.action.kind, s.action_json, s.title, s.rationale) for s in suggest(profile)]
     return profile.source.sparkSession.createDataFrame(rows, SUGGESTION_SCHEMA)

@@ -15,8 +15,8 @@ from ..functions.text import is_blank
 from ..session import stage
 from ..table import ROW_NO, data_columns, with_display_names
 
-BROADCAST_SPLITS = 200_000
 _BOM = "﻿"
+_MARK = "\x02"
 
 # The characters Windows-1252 puts where Latin-1 has control codes 0x80..0x9F, from the codec itself.
 _LATIN_1 = "".join(chr(b) for b in range(0x80, 0xA0))
@@ -27,7 +27,6 @@ _OPEN_QUOTE = r'^(?:(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+)?+,)*+"[^"]*+(?:
 # A line that starts inside quotes and never leaves them; and what it takes to leave them.
 _STAYS_INSIDE = r'^[^"]*+(?:""[^"]*+)*+$'
 _LEAVES = r'^[^"]*+(?:""[^"]*+)*+"[^,]*+,?'
-_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 
 
 @dataclass(frozen=True)
@@ -55,11 +54,11 @@ def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def _decoded(lines: DataFrame) -> DataFrame:
     """SR-2: UTF-8, and Windows-1252 for each file that is not valid UTF-8 throughout."""
     odd = lines.groupBy("__file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("__odd")).where("__odd")
-    found = odd.limit(BROADCAST_SPLITS + 1).count()
-    if not found:
+    odd = stage(odd, "csv-encodings")
+    if odd.isEmpty():
         return lines
-    # One row per odd file; broadcast only while that is few.
-    marked = lines.join(F.broadcast(odd) if found <= BROADCAST_SPLITS else odd, "__file", "left")
+    # One row per odd file: adaptive execution broadcasts it where its bytes are few.
+    marked = lines.join(odd, "__file", "left")
     text = F.when(F.col("__odd"), _windows_1252(F.col("value").cast("binary"))).otherwise(F.col("value"))
     return marked.withColumn("value", text).drop("__odd")
 
@@ -78,8 +77,6 @@ def number_rows(placed: DataFrame, header_rows: int = 1) -> DataFrame:
     by_file = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("__file", F.coalesce(F.sum("__rows").over(by_file), F.lit(0)).alias("__base"))
     offsets = splits.join(files, "__file").select("__file", "__start", "__first", "__before", "__base")
-    if offsets.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     joined = placed.join(offsets, ["__file", "__start"])
     place = F.col("__before") + F.col("__id") - F.col("__first")
     return joined.withColumn("__place", place).where(F.col("__place") >= header_rows).withColumn(
@@ -171,11 +168,17 @@ def _records(lines: DataFrame) -> DataFrame:
     )
 
 
-def _header(lines: DataFrame) -> list[str]:
-    first = lines.orderBy("__file", "__start", "__id").limit(1).collect()
-    if not first:
+def _header(records: DataFrame) -> list[str]:
+    """The headers; every file must begin with the same ones. A file's first record is that with the smallest id of its first split."""
+    first = F.min_by(F.regexp_replace("value", f"^{_BOM}", ""), "__id").alias("line")
+    firsts = records.where("__start = 0").groupBy("__file").agg(first)
+    found = firsts.orderBy("__file").limit(1).collect()
+    if not found:
         raise TableError("empty_table", "The file holds no rows.")
-    return next(pycsv.reader([first[0]["value"].lstrip(_BOM)]), [""]) or [""]
+    other = firsts.where(F.col("line") != found[0]["line"]).limit(1).collect()
+    if other:
+        raise invalid_file(f"The headers of {other[0]['__file']} are not those of {found[0]['__file']}.")
+    return next(pycsv.reader([found[0]["line"]]), [""]) or [""]
 
 
 def read_csv(
@@ -206,10 +209,12 @@ def read_csv(
         "maxColumns": str(max(len(headers) + 1, 20480)),
     }
     parsed = records.select(F.from_csv("value", schema, options).alias("r"), "value", "__file", "__start", "__id")
-    fields = F.size(F.split(F.regexp_replace("value", _QUOTED, ""), ","))
+    # A record that the parser reports is parsed again with a mark as its last field: in a long one the mark is out of reach.
+    marked = F.from_csv(F.concat("value", F.lit(f",{_MARK}")), schema, options)
+    reached = F.exists(F.array(*[marked[n] for n in names]), lambda x: x.eqNullSafe(F.lit(_MARK)))
     placed = parsed.select(
         *[F.coalesce(F.col(f"r.{n}"), F.lit("")).alias(n) for n in names],
-        (F.col("r.__bad").isNotNull() & (fields > len(names))).alias("__long"),
+        F.when(F.col("r.__bad").isNotNull(), ~reached).otherwise(False).alias("__long"),
         "__file", "__start", "__id",
     )
     return _finish(stage(placed, "csv"), headers, limits)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import TableError
 from ..functions.text import render_cell
+from ..operators.compare import clamp_score, match_ratio
 from ..operators.validate import Validation
 from ..plans.rulepack import RulePack, rollup, run_checks
 from ..table import ROW_NO, data_columns, display_names, dtype_of
@@ -54,17 +57,26 @@ def write_validated_bundle(
     return path
 
 
+def quality_index(df: DataFrame, gold: DataFrame, keys: Sequence[str] | None, numeric: Sequence[str] = ()) -> float:
+    """CM-8 of a cleaned table against the rows it should have."""
+    columns = data_columns(gold)
+    return match_ratio(df, gold, columns, keys, numeric).select(clamp_score(F.col("ratio")).alias("score")).first()["score"]
+
+
 def export_pack(
     df: DataFrame, pack: RulePack, audit: DataFrame, root: str, score: float | None = None, destination: str | None = None
 ) -> str:
-    """SK-3: cleaned table, quality report and audit log; only when every check passes."""
+    """SK-3: cleaned table, quality report and audit log; only when every check passes.
+
+    The table is JSON with nulls kept, and its schema lies beside it, since JSON has neither the order nor the types of columns.
+    """
     checks = run_checks(df, pack).persist()
     try:
         outcome = rollup(checks).first()
         if not outcome["export_ready"]:
             raise TableError("validation_failed", "Every check must pass before export.")
         target = f"{root}/{destination or pack.export_destination}"
-        df.drop(ROW_NO).write.mode("errorifexists").json(f"{target}/cleaned")
+        write_export(df.drop(ROW_NO), target)
         report = df.sparkSession.createDataFrame(
             [(pack.name, pack.source_system, None if score is None else round(score, 6), outcome["validation_status"])],
             "rule_pack string, source_system string, quality_index double, validation_status string",
@@ -81,7 +93,18 @@ def publish(spark, exported: str | None, table: str, mode: str = "errorifexists"
     """SK-4: promote an exported table to a catalog table; nothing exported, nothing published."""
     if not exported:
         raise TableError("not_exported", "Export the cleaned table before publishing it.")
-    spark.read.json(f"{exported}/cleaned").write.mode(mode).saveAsTable(table)
+    read_export(spark, exported).write.mode(mode).saveAsTable(table)
+
+
+def write_export(table: DataFrame, target: str) -> None:
+    table.write.mode("errorifexists").option("ignoreNullFields", False).json(f"{target}/cleaned")
+    table.sparkSession.createDataFrame([(table.schema.json(),)], "schema string").coalesce(1).write.text(f"{target}/cleaned_schema")
+
+
+def read_export(spark, exported: str) -> DataFrame:
+    """An exported table with the columns, order and types it was written with."""
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{exported}/cleaned_schema").first()["value"]))
+    return spark.read.schema(schema).json(f"{exported}/cleaned")
 
 
 def plan_json(actions) -> str:

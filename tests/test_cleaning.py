@@ -1,8 +1,10 @@
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
 from sluicebox.errors import TableError
-from sluicebox.operators import cells, columns, fills, rows
+from sluicebox.operators import cells, columns, compare, fills, rows
 from sluicebox.operators.positions import POSITION, with_position
 from sluicebox.plans import actions as A
 from sluicebox.table import ROW_NO, display_names, preview
@@ -43,19 +45,6 @@ def test_fill_errors(table):
         fills.fill_missing_with(t, "column_1", "explicit", "  ")
 
 
-def test_median_brackets_large_data(spark, monkeypatch):
-    monkeypatch.setattr(fills, "MEDIAN_EXACT_LIMIT", 50)
-    monkeypatch.setattr(fills, "MEDIAN_ACCURACY", 100)
-    for n in (4001, 4000):
-        values = [((i * 7919) % n) / 8 for i in range(n)]
-        df = spark.createDataFrame([(str(v), i) for i, v in enumerate(values)], f"v string, {ROW_NO} bigint")
-        ordered = sorted(values)
-        want = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
-        assert fills.exact_median(df, "v") == want
-    skewed = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "7").otherwise(F.col("id").cast("string")).alias("v"), F.col("id").alias(ROW_NO))
-    assert fills.exact_median(skewed, "v") == 7.0
-
-
 def test_forward_fill_equals_global_window(spark):
     n = 3000
     rows_ = [(str(i) if i % 7 == 3 and not 500 < i < 1900 else ("" if i % 2 else None), f"k{i % 3}", i) for i in range(n)]
@@ -166,8 +155,7 @@ def test_replace_values(spark, table):
     t = table(["s"], [(" VIP ",), ("vip",), (" other ",), (None,)])
     assert column(cells.replace_values(t, "column_1", {" Vip": "V"}), "column_1") == ["V", "V", " other ", None]
     side = spark.createDataFrame([("VIP ", "V")], "k string, v string")
-    for limit in (10, 0):
-        assert column(cells.replace_values_from(t, "column_1", side, "k", "v", broadcast_rows=limit), "column_1") == ["V", "V", " other ", None]
+    assert column(cells.replace_values_from(t, "column_1", side, "k", "v"), "column_1") == ["V", "V", " other ", None]
 
 
 def test_strict_cast_fails_on_one_bad_cell(table):
@@ -199,3 +187,50 @@ def test_align_and_preview(table):
     out = columns.align_columns(t, ["column_2", "new"])
     assert out.columns == ["column_2", "new", ROW_NO] and column(out, "new") == [None, None]
     assert [r["row_number"] for r in preview(t, 1).collect()] == [2]
+
+
+def final_plan(df):
+    """The adaptive plan after it ran."""
+    df.write.format("noop").mode("overwrite").save()
+    out = df._jdf.queryExecution()
+    df.collect()
+    return out.executedPlan().toString()
+
+
+@pytest.mark.parametrize("form", ["diff", "replace"])
+def test_a_hot_key_is_split(spark, form):
+    """One key on nine of ten rows: the final plan splits its partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        key = F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).cast("string")
+        pad = F.sha2(F.col("id").cast("string"), 256)
+        left = spark.range(0, 40_000, 1, 8).select(key.alias("k"), pad.alias("v"), F.col("id").alias(ROW_NO))
+        right = spark.range(0, 40_000, 1, 8).select(F.col("id").cast("string").alias("k"), pad.alias("v"), F.col("id").alias(ROW_NO))
+        df = compare.keyed_diff(left, right, ["k"], removed=False) if form == "diff" else cells.replace_values_from(left, "k", right, "k", "v")
+        assert "skew=true" in final_plan(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_fills_widen_number_columns(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1), (None, 2)], f"n bigint, {ROW_NO} bigint")
+    values = lambda d: [r["n"] for r in d.orderBy(ROW_NO).collect()]
+    assert values(fills.fill_missing_with(df, "n", "mean")) == [1.0, 2.0, 1.5]
+    assert values(fills.fill_missing_with(df, "n", "median")) == [1.0, 2.0, 1.5]
+    assert values(fills.fill_missing_with(df, "n", "explicit", "7")) == [1, 2, 7]
+    as_text = fills.fill_missing_with(df, "n", "explicit", "none")
+    assert values(as_text) == ["1", "2", "none"] and as_text.schema["n"].metadata["converted"]
+
+
+@pytest.mark.parametrize("numbers", [[3.0], [1.0, 2.0], [5.0] * 50 + [1.0, 9.0], [float(i % 977) ** 3 for i in range(3000)], [1e300, -1e300, 0.0, 1e-300]])
+def test_median_is_exact(spark, numbers):
+    df = spark.createDataFrame([(x,) for x in numbers], "n double")
+    assert fills.exact_median(df, "n") == statistics.median(numbers)

@@ -168,46 +168,14 @@ def test_pack_export_and_publish(spark, tmp_path):
     assert spark.table("published_orders").where(F.col("order_date") == "2024-01-20").count() == 1
 
 
-def _book(sheets, shared=(), styles="", rows_xml=""):
-    import io
-    import zipfile
-
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        tags = "".join(f'<sheet name="{n}" state="{s}" r:id="r{i}"/>' for i, (n, s) in enumerate(sheets))
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{tags}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets)))
-        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
-        items = "".join(f"<si>{x}</si>" for x in shared)
-        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{items}</sst>')
-        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}">{styles}</styleSheet>')
-        for i in range(len(sheets)):
-            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{rows_xml}</sheetData></worksheet>')
-    return buffer.getvalue()
-
-
-def test_workbook(spark, tmp_path):
-    from sluicebox.sources import xlsx
-
-    payload = _book(
-        [("h", "hidden"), ("main", "visible")],
-        ["<t>name</t>", "<r><t>va</t></r><r><t>lue</t></r><rPh><t>x</t></rPh>"],
-        '<numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs>',
-        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
-        '<row r="2"><c r="A2"><v>5</v></c><c r="B2"><f>1/4</f><v>0.25</v></c><c r="C2" t="b"><v>1</v></c></row>'
-        '<row r="4"><c r="C4" s="1"><v>45000.5</v></c></row>',
-    )
-    (tmp_path / "a.xlsx").write_bytes(payload)
-    raw = xlsx.read_workbooks(spark, str(tmp_path / "a.xlsx"))
-    kinds = {r["row_index"]: r["kinds"] for r in raw.collect()}
-    assert kinds[1] == ["integer", "decimal", "boolean"] and kinds[2] == [] and raw.first()["sheet"] == "main"
-    t = xlsx.workbook_table(raw)
-    assert list(display_names(t).values()) == ["name", "", "value"]
-    assert rows(t) == [("5", "0.25", "True"), ("", "", ""), ("", "", "2023-03-15T12:00:00")]
-    for name, bad in {"b": b"nope", "c": _book([("h", "hidden")])}.items():
-        (tmp_path / f"{name}.xlsx").write_bytes(bad)
-        with pytest.raises(TableError) as e:
-            xlsx.workbook_table(xlsx.read_workbooks(spark, str(tmp_path / f"{name}.xlsx")))
-        assert e.value.code == "invalid_file"
+def test_a_field_that_only_looks_quoted_is_not_lost(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h1,h2\nx,a"b,c"d\n')
+    with pytest.raises(TableError, match="more fields"):
+        csv.read_csv(spark, str(tmp_path / "a.csv"))
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n3,4\n")
+    with pytest.raises(TableError, match="b.csv"):
+        csv.read_csv(spark, str(tmp_path))

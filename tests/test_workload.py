@@ -8,29 +8,27 @@ import pytest
 import __spark_entry__ as entry
 from check_oracle import TABLES, cell
 from sluicebox.session import staging_root
+from workload import registry
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.SQL) == set(registry.QUERIES)
 
 
-def test_staging_needs_a_shared_folder_on_a_cluster():
+def test_staging_is_in_a_shared_folder():
     class Session:
         class conf:
             @staticmethod
-            def get(_, default):
-                return default
+            def get(name, default=None):
+                return settings.get(name, default)
 
-        class sparkContext:
-            master = "yarn"
-
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        staging_root(Session)
-    Session.sparkContext.master = "local[2]"
-    assert os.path.isdir(staging_root(Session)) and staging_root(Session) == staging_root(Session)
+    settings = {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}
+    assert staging_root(Session) == "hdfs://x/warehouse/_staged"
+    settings["spark.checkpoint.dir"] = "hdfs://x/check/"
+    assert staging_root(Session) == "hdfs://x/check"
 
 
 @needs_data

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluicebox.functions import dates, numbers, text
 from sluicebox.operators import cells, columns, compare, fills, profile, rows, validate
@@ -19,7 +20,7 @@ from sluicebox.plans.history import TablePlan, plan_metrics, step_reports
 from sluicebox.plans.suggest import suggestions
 from sluicebox.session import staging_path
 from sluicebox.sources import csv as csv_source
-from sluicebox.sources import export, xlsx
+from sluicebox.sources import export
 from sluicebox.streaming import clean_stream
 from sluicebox.table import ROW_NO, data_columns, from_frame, preview
 
@@ -468,6 +469,16 @@ def replace_values(spark, sf):
     return o.select(F.col(ROW_NO).alias("row_no"), "status")
 
 
+@query(
+    "replace_values_many",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey < 10000 THEN 'even ' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS key FROM orders",
+)
+def replace_values_many(spark, sf):
+    """A literal mapping of 5,000 entries."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("key"))
+    return cells.replace_values(o, "key", {str(k): f"even {k}" for k in range(0, 10_000, 2)})
+
+
 @query(
     "replace_values_lookup",
     f"""SELECT m._row_no AS row_no, coalesce(CAST(c.c_mktsegment AS VARCHAR), m.customer_name) AS customer_name
@@ -579,6 +590,29 @@ def fill_mean(spark, sf):
     return out.select("event_id", F.when(F.col("before") == "", shown).otherwise(F.col("value_text")).alias("value_text"))
 
 
+def _numbers_with_gaps(spark, sf):
+    e = messy.messy_events(spark, sf).select("event_id", F.col("value_text").try_cast("double").alias("v"))
+    return e.select("event_id", F.floor("v").alias("v"))
+
+
+_GAPS = "(SELECT event_id, CAST(floor(TRY_CAST(value_text AS DOUBLE)) AS BIGINT) AS v FROM messy_events)"
+
+
+@query("fill_mean_bigint", f"SELECT event_id, round(coalesce(v, (SELECT avg(v) FROM {_GAPS})), 6) AS v FROM {_GAPS}", (_EV,))
+def fill_mean_bigint(spark, sf):
+    return fills.fill_missing_with(_numbers_with_gaps(spark, sf), "v", "mean").select("event_id", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+@query("fill_median_bigint", f"SELECT event_id, CAST(coalesce(v, (SELECT median(v) FROM {_GAPS})) AS DOUBLE) AS v FROM {_GAPS}", (_EV,))
+def fill_median_bigint(spark, sf):
+    return fills.fill_missing_with(_numbers_with_gaps(spark, sf), "v", "median").select("event_id", F.col("v").cast("double").alias("v"))
+
+
+@query("fill_explicit_number", f"SELECT event_id, coalesce(CAST(v AS VARCHAR), 'n/a') AS v FROM {_GAPS}", (_EV,))
+def fill_explicit_number(spark, sf):
+    return fills.fill_missing_with(_numbers_with_gaps(spark, sf), "v", "explicit", "n/a")
+
+
 @query(
     "fill_forward",
     "SELECT event_id, coalesce(last_value(nullif(value_text, '') IGNORE NULLS) OVER (ORDER BY _row_no), '') AS value_text FROM messy_events",
@@ -673,6 +707,19 @@ def sort_text_order(spark, sf):
     return placed.select(F.col(POSITION).alias("place"), "order_id")
 
 
+@query(
+    "sort_numbers",
+    "SELECT row_number() OVER (ORDER BY CAST(l_orderkey * 1234567.5 AS DECIMAL(18,1))::VARCHAR, l_orderkey) - 1 AS place, l_orderkey "
+    "FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey > 10)",
+)
+def sort_numbers(spark, sf):
+    """Doubles beyond 1e7 in the order of their text, which is not that of Spark's own exponent form."""
+    keys = table(spark, sf, "lineitem").select("l_orderkey").where("l_orderkey > 10").distinct()
+    o = keys.select("l_orderkey", (F.col("l_orderkey") * 1234567.5).alias("number"), F.col("l_orderkey").alias(ROW_NO))
+    order = text.render_cell(F.col("number"), T.DoubleType())
+    return with_position(rows.sort_rows(o, ["number"]), [order]).select(F.col(POSITION).alias("place"), "l_orderkey")
+
+
 @query(
     "preview_rows",
     f"SELECT _row_no + 2 AS row_number, {_ALL} FROM {_O} ORDER BY _row_no LIMIT 20", (_O,),
@@ -916,16 +963,16 @@ def upload_rollup(spark, sf):
 @query(
     "suggest_fixes",
     f"""SELECT * FROM (
-  SELECT 'missing_values' AS issue_type, 'fill_missing' AS action_type, 'missing_values-fill_missing-column_6-most_common' AS suggestion_id WHERE (SELECT {s_count(s_missing('city'))} FROM {_O}) > 0
-  UNION ALL SELECT 'duplicate_rows', 'drop_duplicates', 'duplicate_rows-drop_duplicates-first' WHERE (SELECT count(*) FROM {_O}) > (SELECT count(*) FROM (SELECT DISTINCT {_ALL} FROM {_O}))
-  UNION ALL SELECT 'whitespace', 'trim_whitespace', 'whitespace-trim_whitespace-column_3-column_4-column_6-column_7' WHERE (SELECT {s_count('status <> trim(status)')} FROM {_O}) > 0
-  UNION ALL SELECT 'messy_column_names', 'rename_column', 'messy_column_names-rename_column-column_1'
-  UNION ALL SELECT 'numeric_text', 'convert_numeric', 'numeric_text-convert_numeric-column_4-decimal' WHERE (SELECT {s_count(s_numeric('amount'))} * 1.0 / count(*) FROM {_O}) >= 0.8
-  UNION ALL SELECT 'inconsistent_dates', 'standardize_date', 'inconsistent_dates-standardize_date-column_5' WHERE (SELECT count(DISTINCT {s_layout('order_date')}) FROM {_O}) >= 2)""",
+  SELECT 'missing_values' AS issue_type, '{{"column_id": "column_6", "strategy": "most_common", "type": "fill_missing", "value": null}}' AS action, 'Fill missing cells' AS title WHERE (SELECT {s_count(s_missing('city'))} FROM {_O}) > 0
+  UNION ALL SELECT 'duplicate_rows', '{{"keep": "first", "type": "drop_duplicates"}}', 'Drop repeated rows' WHERE (SELECT count(*) FROM {_O}) > (SELECT count(*) FROM (SELECT DISTINCT {_ALL} FROM {_O}))
+  UNION ALL SELECT 'whitespace', '{{"column_ids": ["column_3", "column_4", "column_6", "column_7"], "type": "trim_whitespace"}}', 'Trim white space' WHERE (SELECT {s_count('status <> trim(status)')} FROM {_O}) > 0
+  UNION ALL SELECT 'messy_column_names', '{{"column_id": "column_1", "new_name": "order_id", "type": "rename_column"}}', 'Rename the column'
+  UNION ALL SELECT 'numeric_text', '{{"column_id": "column_4", "target_type": "decimal", "type": "convert_numeric"}}', 'Convert to numbers' WHERE (SELECT {s_count(s_numeric('amount'))} * 1.0 / count(*) FROM {_O}) >= 0.8
+  UNION ALL SELECT 'inconsistent_dates', '{{"column_id": "column_5", "date_order": "day_first", "output_format": "YYYY-MM-DD", "type": "standardize_date"}}', 'Use one date layout' WHERE (SELECT count(DISTINCT {s_layout('order_date')}) FROM {_O}) >= 2)""",
     (_O,),
 )
 def suggest_fixes(spark, sf):
-    return suggestions(profile.profile_table(_uploaded_orders(spark, sf))).select("issue_type", "action_type", "suggestion_id")
+    return suggestions(profile.profile_table(_uploaded_orders(spark, sf))).select("issue_type", "action", "title")
 
 
 # --- Compare (CM-1..8) ---------------------------------------------------------------------
@@ -1153,18 +1200,25 @@ def pack_export(spark, sf):
     clean = rulepack.clean(o, packs.ORDERS)
     audit = plan_metrics(o, rulepack.compile_pack(packs.ORDERS, data_columns(o)))
     path = export.export_pack(clean, packs.ORDERS, audit, staging_path(spark, "pack-export"))
-    schema = clean.drop(ROW_NO).schema
-    return spark.read.schema(schema).json(f"{path}/cleaned")
+    return export.read_export(spark, path)
 
 
 @query(
-    "xlsx_workbooks",
-    """SELECT CAST(o_orderkey AS VARCHAR) AS key, round(o_totalprice, 2) AS total, o_orderpriority AS priority,
-  strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS day, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no FROM orders""",
+    "publish_table",
+    "SELECT order_id, customer_name, status, amount, order_date, city, state, CAST(NULL AS VARCHAR) AS approved_by FROM clean_orders",
+    (_O,), CLEAN_ORDERS_SQL,
 )
-def xlsx_workbooks(spark, sf):
-    t = xlsx.workbook_table(xlsx.workbook_rows(messy.workbooks(spark, sf)))
-    return t.toDF("key", "total", "priority", "day", "row_no").withColumn("total", F.col("total").cast("double"))
+def publish_table(spark, sf):
+    """Columns out of name order, one of them null throughout, through an export and a catalog table."""
+    o = messy.messy_orders(spark, sf)
+    clean = rulepack.clean(o, packs.ORDERS).withColumn("approved_by", F.lit(None).cast("string"))
+    target = staging_path(spark, "publish")
+    export.write_export(clean.drop(ROW_NO), target)
+    export.publish(spark, target, "published_orders", "overwrite")
+    back = spark.table("published_orders")
+    if back.columns != data_columns(clean):
+        raise ValueError(f"columns are out of order: {back.columns}")
+    return back
 
 
 # --- Scalar functions (FN-*) ---------------------------------------------------------------
