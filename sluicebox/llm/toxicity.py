@@ -186,7 +186,12 @@ def train_model(docs: DataFrame, labels: DataFrame, teach: Column, id_col: str =
         model.shift = float(np.log(odds))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(texts.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    trained = texts.repartition(1).mapInArrow(run, "model binary").first()
+    if trained:
+        return pickle.loads(trained["model"])
+    model = ToxicityModel()  # nothing was taught: every score is one half
+    model.out[:] = 0
+    return model
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
