@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SPACES, Recent
 from .common import pick, stage
 
 CAPACITY = 4096
@@ -39,20 +38,22 @@ class WordTokenizer:
     or special tokens that a run could hide go to the library whole.
     """
 
-    runs = re.compile(f"[^{SPACES}]+")
     whole = re.compile(r"[\x1c-\x1f]|<\|")
 
     def __init__(self, path: str, remembered: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.recent = Tokenizer.from_file(path), Recent(remembered)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _learn(self, runs: list[str]) -> None:
         """The ids of many runs by few calls; a token belongs to the run in which it starts."""
         for at in range(0, len(runs), 1000):
             part = runs[at : at + 1000]
@@ -61,8 +62,9 @@ class WordTokenizer:
             ends = np.searchsorted([start for start, _ in found.offsets], lasts) * 4
             data, start = np.array(found.ids, "<u4").tobytes(), 0
             for run, end in zip(part, ends.tolist(), strict=True):
-                yield run, self.recent.add(run, data[start:end])
+                self.known[run] = data[start:end]
                 start = end
+            self.held += int(lasts[-1])
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, a few million characters at a time."""
@@ -76,21 +78,18 @@ class WordTokenizer:
         yield from self._some(part)
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
+        # What was found goes to an older half when it is much, and from there back when it occurs again: memory stays bounded.
+        if len(self.known) > self.remembered or self.held > 40 * self.remembered:
+            self.before, self.known, self.held = self.known, {}, 0
         # str.split() takes the same white space, as the controls it also takes are excluded here.
         split = [None if self.whole.search(t) else t.split() for t in texts]
-        recent = self.recent.new
-        here = {r: None for runs in split if runs for r in runs if r not in recent}
-        here = {r: self.recent.get(r) for r in here}
-        here |= self._learn([r for r, ids in here.items() if ids is None])
-        known, late = recent.get, here.get
+        new = set().union(*[set(runs).difference(self.known) for runs in split if runs])
+        for run in new.intersection(self.before):
+            self.known[run] = self.before[run]
+        self._learn(sorted(new.difference(self.before)))
+        ids = self.known.__getitem__
         for text, runs in zip(texts, split, strict=True):
-            if runs is None:
-                yield self._whole(text)
-                continue
-            try:
-                yield b"".join([known(r) or late(r) for r in runs])
-            except TypeError:  # a run that was known when this part began has been forgotten since
-                yield self._whole(text)
+            yield self._whole(text) if runs is None else b"".join(map(ids, runs))
 
 
 @lru_cache(maxsize=2)
