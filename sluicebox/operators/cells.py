@@ -214,14 +214,20 @@ def converted(df: DataFrame, column: str, target: str, typed: bool) -> Cells:
     return {column: F.coalesce(as_text, _col(column).cast("string"))}
 
 
-def convert_numeric(df: DataFrame, column: str, target: str) -> DataFrame:
-    """CL-13. One counting pass decides whether the column can become a number column."""
+def can_be_typed(df: DataFrame, column: str, target: str) -> bool:
+    """Whether every present cell converts, by one counting pass; an error for fractions in an integer column."""
     facts = numeric_counts(df, column).first()
     if target == "integer" and facts["fractional"]:
         raise TableError(
             "invalid_action", f"Column {column} holds fractions and cannot become an integer column."
         )
-    typed = facts["unresolved"] == 0
+    return facts["unresolved"] == 0
+
+
+def convert_numeric(df: DataFrame, column: str, target: str, typed: bool | None = None) -> DataFrame:
+    """CL-13. A counting pass decides whether the column can become a number column, unless ``typed`` says so."""
+    if typed is None:
+        typed = can_be_typed(df, column, target)
     marks = {} if typed else {column: {"converted": True}}
     return replace_columns(df, converted(df, column, target, typed), marks)
 

@@ -35,11 +35,13 @@ def rename_header(df: DataFrame, column: str, new_name: str) -> DataFrame:
     return with_display_names(df, {column: name})
 
 
-def drop_empty_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """CL-16: drop columns that one pass proves empty."""
+def drop_empty_columns(df: DataFrame, columns: Sequence[str], proved: bool = False) -> DataFrame:
+    """CL-16: drop columns that one pass proves empty, unless they are proved already."""
     require_columns(df, columns)
     if len(columns) >= len(data_columns(df)):
         raise invalid_action("A table keeps at least one column.")
+    if proved:
+        return df.drop(*columns)
     held = df.agg(
         *[F.count_if(~is_missing(F.col(f"`{c}`"), dtype_of(df, c))).alias(c) for c in columns]
     ).first()

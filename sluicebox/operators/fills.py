@@ -110,6 +110,16 @@ def fill_value(df: DataFrame, column: str, strategy: str, value: str | None = No
     return mean.first()["fill"] if isinstance(dtype_of(df, column), T.NumericType) else mean.scalar()
 
 
+def fill_text(df: DataFrame, column: str, strategy: str) -> str | None:
+    """The mean, median or most common value as text, by a job now; None where there is no value."""
+    if strategy == "most_common":
+        require_columns(df, [column])
+        found = most_common_value(df, column).first()
+        return None if found is None or found["fill"] is None else str(found["fill"])
+    new = fill_value(df, column, strategy)
+    return new if isinstance(new, str) else mean_value(df, column).first()["fill"]
+
+
 def fill_missing_with(df: DataFrame, column: str, strategy: str, value: str | None = None) -> DataFrame:
     new = fill_value(df, column, strategy, value)
     return replace_columns(df, filled(df, [column], new), fill_marks(df, [column], new))

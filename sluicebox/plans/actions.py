@@ -8,7 +8,7 @@ a whole chain of such actions are one projection and one aggregate, with no join
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from typing import ClassVar
 
@@ -38,6 +38,14 @@ def _add(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0))
 
 
+Learned = tuple | None
+
+
+def _learned():
+    """A field for a fact about the data that an action has looked up; no part of what the action is."""
+    return field(default=None, compare=False, repr=False)
+
+
 @dataclass(frozen=True)
 class Action:
     kind: ClassVar[str] = ""
@@ -51,6 +59,10 @@ class Action:
     def summary(self) -> str:
         return self.kind.replace("_", " ")
 
+    def resolved(self, df: DataFrame) -> Action:
+        """The action with what it must learn from ``df`` written down, so that replaying it runs no job."""
+        return self
+
     def cells(self, df: DataFrame) -> dict[str, Column] | None:
         """New cell expressions of a row-local action; None for any other."""
         return None
@@ -119,7 +131,7 @@ class Action:
         )
 
     def to_dict(self) -> dict:
-        return {"type": self.kind, **asdict(self)}
+        return {"type": self.kind, **{k: v for k, v in asdict(self).items() if k != "learned"}}
 
 
 def _constant_metrics(action: Action, df: DataFrame, affected: int) -> DataFrame:
@@ -178,12 +190,27 @@ class FillMissing(Action):
     column_id: str = ""
     strategy: str = "explicit"
     value: str | None = None
+    learned: Learned = _learned()
 
     def columns(self, df):
         return [self.column_id]
 
+    def resolved(self, df):
+        if self.strategy == "explicit" or self.learned is not None:
+            return self
+        return replace(self, learned=(fills.fill_text(df, self.column_id, self.strategy),))
+
+    def _fill(self, df):
+        if self.learned is None:
+            return fills.fill_value(df, self.column_id, self.strategy, self.value)
+        return F.lit(None) if self.learned[0] is None else self.learned[0]
+
     def cells(self, df):
-        return cell_ops.filled(df, [self.column_id], fills.fill_value(df, self.column_id, self.strategy, self.value))
+        return cell_ops.filled(df, [self.column_id], self._fill(df))
+
+    def apply(self, df):
+        new = self._fill(df)
+        return replace_columns(df, cell_ops.filled(df, [self.column_id], new), cell_ops.fill_marks(df, [self.column_id], new))
 
     def row_counts(self, df):
         return text.is_missing(_col(self.column_id), dtype_of(df, self.column_id)).cast("int"), F.lit(0)
@@ -228,15 +255,19 @@ class ConvertNumeric(Action):
     risk: ClassVar[str] = "high"
     column_id: str = ""
     target_type: str = "decimal"
+    learned: Learned = _learned()
 
     def columns(self, df):
         return [self.column_id]
 
+    def resolved(self, df):
+        return self if self.learned is not None else replace(self, learned=(cell_ops.can_be_typed(df, self.column_id, self.target_type),))
+
     def cells(self, df):
         return None
 
     def apply(self, df):
-        return cell_ops.convert_numeric(df, self.column_id, self.target_type)
+        return cell_ops.convert_numeric(df, self.column_id, self.target_type, None if self.learned is None else self.learned[0])
 
     def row_counts(self, df):
         cell, dtype = _col(self.column_id), dtype_of(df, self.column_id)
@@ -268,12 +299,18 @@ class DropEmptyColumns(Action):
     unit: ClassVar[str] = "columns"
     risk: ClassVar[str] = "high"
     column_ids: tuple[str, ...] = ()
+    learned: Learned = _learned()
 
     def columns(self, df):
         return list(self.column_ids)
 
+    def resolved(self, df):
+        if self.learned is None:
+            column_ops.drop_empty_columns(df, list(self.column_ids))  # proves that they are empty
+        return replace(self, learned=(True,))
+
     def apply(self, df):
-        return column_ops.drop_empty_columns(df, list(self.column_ids))
+        return column_ops.drop_empty_columns(df, list(self.column_ids), proved=self.learned is not None)
 
     def metrics(self, df):
         return _constant_metrics(self, df, len(self.column_ids))

@@ -33,7 +33,9 @@ class TablePlan:
         return apply_plan(self.source, self.actions[:steps])
 
     def add(self, action: Action) -> TablePlan:
-        return TablePlan(self.source, (*self.actions, action), self.revision + 1)
+        """A plan with one more step. What the step must learn from the data is learned here, once: replays and audits
+        build their tables without running a job."""
+        return TablePlan(self.source, (*self.actions, action.resolved(self.current())), self.revision + 1)
 
     def undo(self) -> TablePlan:
         if not self.actions:

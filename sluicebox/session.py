@@ -52,7 +52,10 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/sluicebox/{label}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; ``release_staged`` deletes it."""
+    path = f"{staging_root(spark)}/sluicebox/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 _STAGED: list[str] = []
@@ -77,5 +80,4 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = staging_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -203,3 +203,23 @@ def test_stream_gives_the_same_cells(spark, tmp_path):
     assert got == sorted(tuple(r) for r in A.apply_plan(t, steps).collect()) == [("a", "2024-01-20"), ("b", "x")]
     with pytest.raises(TableError):
         clean_stream(stream, [A.DropDuplicates()])
+
+
+def test_replay_runs_no_job(table, spark):
+    """Five steps that had to look at the data: replaying, undoing and building the audit start nothing."""
+    t = table(["a", "b", "c", "d"], [("1", " x", "", "5"), ("3", "y ", "", ""), ("", "y ", "", "7"), ("3", "y ", "", "")])
+    plan = TablePlan(t)
+    for step in (A.ConvertNumeric("column_1", "integer"), A.FillMissing("column_4", "mean"), A.DropEmptyColumns(("column_3",)), A.FillMissing("column_1", "median"), A.TrimWhitespace(("column_2",))):
+        plan = plan.add(step)
+    context = spark.sparkContext
+    context.setJobGroup("replay", "replay")
+    try:
+        now, before, audit = plan.current(), plan.undo().current(), plan.audit()
+        assert list(context.statusTracker().getJobIdsForGroup("replay")) == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    rows = [tuple(r)[:3] for r in now.orderBy(ROW_NO).collect()]
+    assert rows == [(1, "x", "5"), (3, "y", "6"), (3, "y", "7"), (3, "y", "6")]
+    assert [r["column_2"] for r in before.orderBy(ROW_NO).collect()] == [" x", "y ", "y ", "y "]
+    assert [r["affected_count"] for r in audit.orderBy("change_id").collect()] == [3, 2, 1, 1, 4]
+    assert all("learned" not in a.to_dict() for a in plan.actions)
