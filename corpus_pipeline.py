@@ -27,6 +27,7 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated quality is at least ``LEAST_QUALITY``; learned from all labels."""
+    prepare(spark)
     rows = _with_row(docs)
     scores = quality_scores(rows, table(spark, sf_dir, "labels"), F.lit(True), row_col="__row")
     kept = scores.where(F.col("score") >= LEAST_QUALITY).select(F.col("row").alias("__row"))
@@ -35,6 +36,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's threshold."""
+    prepare(spark)
     labels = table(spark, sf_dir, "labels")
     rows = _with_row(docs)
     model = train_model(rows, labels, F.lit(True))
@@ -50,6 +52,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the smallest id, and of repeated rows of this id the first; null ids come last."""
+    prepare(spark)
     rows = _with_row(docs)
     classes = near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
@@ -59,12 +62,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms; n_chars follows the text."""
+    prepare(spark)
     new = pseudonymised(docs, count_col=None)
     return new.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else new
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
+    prepare(spark)
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
@@ -82,7 +87,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
