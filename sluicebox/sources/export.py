@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +10,8 @@ from pyspark.sql import types as T
 
 from ..errors import TableError
 from ..functions.text import render_cell
-from ..operators.compare import clamp_score, match_ratio
 from ..operators.validate import Validation
-from ..plans.rulepack import RulePack, rollup, run_checks
+from ..plans.rulepack import RulePack, grade, rollup, run_checks
 from ..table import ROW_NO, data_columns, display_names, dtype_of
 
 _BOM = "﻿"
@@ -57,17 +55,13 @@ def write_validated_bundle(
     return path
 
 
-def quality_index(df: DataFrame, gold: DataFrame, keys: Sequence[str] | None, numeric: Sequence[str] = ()) -> float:
-    """CM-8 of a cleaned table against the rows it should have."""
-    columns = data_columns(gold)
-    return match_ratio(df, gold, columns, keys, numeric).select(clamp_score(F.col("ratio")).alias("score")).first()["score"]
-
-
 def export_pack(
-    df: DataFrame, pack: RulePack, audit: DataFrame, root: str, score: float | None = None, destination: str | None = None
+    df: DataFrame, pack: RulePack, audit: DataFrame, root: str, score: float | None = None, destination: str | None = None,
+    gold: DataFrame | None = None,
 ) -> str:
     """SK-3: cleaned table, quality report and audit log; only when every check passes.
 
+    The report's quality index is ``score``, or that of the table against ``gold``, the rows it should have (CM-8).
     The table is JSON with nulls kept, and its schema lies beside it, since JSON has neither the order nor the types of columns.
     """
     checks = run_checks(df, pack).persist()
@@ -76,6 +70,8 @@ def export_pack(
         if not outcome["export_ready"]:
             raise TableError("validation_failed", "Every check must pass before export.")
         target = f"{root}/{destination or pack.export_destination}"
+        if gold is not None:
+            score = grade(df, gold, pack).first()["score"]
         write_export(df.drop(ROW_NO), target)
         report = df.sparkSession.createDataFrame(
             [(pack.name, pack.source_system, None if score is None else round(score, 6), outcome["validation_status"])],

@@ -1203,6 +1203,19 @@ def pack_export(spark, sf):
     return export.read_export(spark, path)
 
 
+@query(
+    "pack_report",
+    f"""SELECT round(least(greatest(sum({_SAME}) / (count(*) * 7.0), 0.01), 0.99), 6) AS quality_index FROM a FULL JOIN b USING (p)""",
+    (_O,), _EXPECTED_SQL + "," + _POSITIONAL,
+)
+def pack_report(spark, sf):
+    """The quality index that the export writes beside the table."""
+    o = messy.messy_orders(spark, sf)
+    audit = plan_metrics(o, rulepack.compile_pack(packs.ORDERS, data_columns(o)))
+    path = export.export_pack(_clean_orders(spark, sf), packs.ORDERS, audit, staging_path(spark, "pack-report"), gold=_expected_orders(spark, sf))
+    return spark.read.json(f"{path}/quality_report").select("quality_index")
+
+
 @query(
     "publish_table",
     "SELECT order_id, customer_name, status, amount, order_date, city, state, CAST(NULL AS VARCHAR) AS approved_by FROM clean_orders",
