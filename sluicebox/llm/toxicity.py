@@ -4,8 +4,8 @@ A word's embedding is the mean of hashed embeddings of the word and of its first
 near each other. Filters over one, two and three words, the largest answer of each over the whole text, and one linear layer give the score.
 Only the places of the largest answers carry gradients, so training is a forward pass and a few hundred updates for each text.
 
-``SAMPLE`` bounds the labelled rows of each class that one task trains on; they are drawn by hash. Scores and thresholds cover
-all rows. Thresholds are calibrated for each language on counts of all taught rows by score.
+``SAMPLE`` bounds the labelled rows of each class that one task trains on; they are drawn by hash, from the languages in turn. Scores and thresholds
+cover all rows. Thresholds are calibrated for each language on counts of all taught rows by score.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pick, stage
@@ -170,12 +170,22 @@ class Scorer:
         return 1 / (1 + np.exp(-(self.model.logits(best).astype(float) + self.model.shift)))
 
 
-def train_model(docs: DataFrame, labels: DataFrame, teach: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Train in one task on at most ``sample`` labelled rows of each class, drawn by a hash of their ids; shares of the classes are put right after."""
-    known = stage(pick(labels, id=id_col, label=label_col).where(teach).where("label IN (0, 1)"), "taught")
+def train_model(
+    docs: DataFrame, labels: DataFrame, teach: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, lang_col: str = "lang"
+) -> ToxicityModel:
+    """Train in one task on at most ``sample`` labelled rows of each class; shares of the classes are put right after.
+
+    Each class takes its rows from the languages in turn (a null one is a language too), within a language by a hash of their ids, so that a rare language is
+    drawn as far as it goes. Without ``lang_col`` all rows are of one language. Only rows with a document are drawn.
+    """
+    known = pick(labels, id=id_col, label=label_col).where(teach).where("label IN (0, 1)").distinct()
+    lang = F.min(lang_col if lang_col in docs.columns else F.lit(None).cast("string")).alias("lang")
+    known = stage(known.join(docs.groupBy(F.col(f"`{id_col}`").alias("id")).agg(lang), "id"), "taught")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    drawn = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
-    chosen = stage(drawn[0].union(drawn[1]), "sample")
+    turn = F.row_number().over(Window.partitionBy("label", "lang").orderBy(F.xxhash64("id"), "id"))
+    turns = known.withColumn("turn", turn).where(F.col("turn") <= sample)
+    drawn = [turns.where(F.col("label") == y).orderBy("turn", F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    chosen = stage(drawn[0].union(drawn[1]).select("id", "label"), "sample")
     texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("id", "text", "label")
     odds = (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1) * (min(counts.get(0, 0), sample) + 1) / (min(counts.get(1, 0), sample) + 1)
 
@@ -211,8 +221,9 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 def language_thresholds(scored: DataFrame, fallback: float = 0.5) -> dict[str | None, float]:
     """The score from which a row of each language counts as toxic, from (lang, score, label) rows.
 
-    The best F1 over all rows of the language, by counts in ``LEVELS`` levels of score; of equally good levels the one nearest to one half. A language
-    without a row of label 1 gets ``fallback``.
+    The best F1 over all rows of the language, by counts in ``LEVELS`` levels of score; of equally good levels the one nearest to one half. Only levels
+    that separate are taken: at least half of the language's rows from it on have label 1, and a larger share than of all its rows. A language
+    without such a level gets ``fallback``.
     """
     level = F.least(F.floor(F.col("score") * LEVELS), F.lit(LEVELS - 1)).cast("int").alias("level")
     counts = scored.groupBy("lang", level).agg(F.sum(F.col("label").cast("long")).alias("bad"), F.count("*").alias("n")).collect()
@@ -223,7 +234,8 @@ def language_thresholds(scored: DataFrame, fallback: float = 0.5) -> dict[str |
             if r["lang"] == lang:
                 bad[r["level"]], n[r["level"]] = r["bad"], r["n"]
         hit, taken = bad[::-1].cumsum()[::-1], n[::-1].cumsum()[::-1]
-        f1 = 2 * hit / np.maximum(taken + bad.sum(), 1)
-        best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-        out[lang] = float(best[np.argmin(np.abs(best / LEVELS - 0.5))] / LEVELS) if bad.sum() else fallback
+        separates = (2 * hit >= taken) & (hit * n.sum() > bad.sum() * taken)
+        f1 = np.where(separates, 2 * hit / np.maximum(taken + bad.sum(), 1), -1)
+        best = np.flatnonzero(separates & (f1 >= f1.max() - 1e-12))
+        out[lang] = float(best[np.argmin(np.abs(best / LEVELS - 0.5))] / LEVELS) if len(best) else fallback
     return out

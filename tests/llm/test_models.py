@@ -54,6 +54,32 @@ def test_thresholds_are_of_each_language(spark):
     assert 0.68 < found["a"] <= 0.70 and 0.18 < found["b"] <= 0.20 and found[None] == 0.5
 
 
+def test_thresholds_need_a_level_that_separates(spark):
+    rows = [("missed", 0.001, 0)] * 500 + [("missed", 0.001, 1)] * 2 + [("low", 0.001, 0)] * 300 + [("low", 0.012, 0)] * 200 + [("low", 0.012, 1)] * 3
+    rows += [("most", 0.001, 0)] * 2 + [("most", 0.001, 1)] * 5 + [(None, 0.001, 0)] * 9 + [(None, 0.001, 1), (None, 0.8, 1)]
+    found = language_thresholds(spark.createDataFrame(rows, "lang string, score double, label int"))
+    assert found["missed"] == found["low"] == found["most"] == 0.5 and 0.001 < found[None] <= 0.8
+
+
+def test_every_language_is_drawn(spark):
+    docs = spark.createDataFrame([(i, "rude" if i % 2 else "kind", "en") for i in range(400)] + [(i, "böse" if i % 2 else "lieb", None) for i in range(400, 420)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    scores = {r.doc_id: r.score for r in toxicity_scores(docs, train_model(docs, labels, F.lit(True), sample=20)).collect()}
+    assert all((scores[i] > 0.5) == (i % 2 == 1) for i in range(420))
+
+
+def test_a_language_whose_toxic_rows_are_missed_stays(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame(
+        [(i, "filthy awful slurs" if i % 4 == 0 else "a pleasant plain day", "en") for i in range(200)] + [(i, "ein ganz normaler satz", "xx") for i in range(200, 300)],
+        "doc_id long, text string, lang string",
+    )
+    docs.select("doc_id", F.when(F.col("lang") == "en", F.col("doc_id") % 4 == 0).otherwise(F.col("doc_id") < 202).cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["lang"]: r["count"] for r in P.not_toxic(spark, docs, str(tmp_path)).groupBy("lang").count().collect()}
+    assert kept == {"en": 150, "xx": 100}
+
+
 def test_a_long_text_is_scored_whole():
     from sluicebox.llm.toxicity import Scorer
 
