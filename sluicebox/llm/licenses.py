@@ -88,18 +88,30 @@ CONTAINED = {
 _FLOW = "\x01"
 
 
+#: Known parts over whole lines, however they are wrapped; the longest one that begins at a line comes first.
+_WRAPPED = r"(?m)^(?:" + "|".join(p.replace(" ", r"[ \n]") for p in sorted(PARTS, key=len, reverse=True)) + ")$"
+
+
 def identifiers(text: Column) -> Column:
-    """Known sentences of a text in order, as ``,a,b,``. A line break ends a sentence; a sentence may also run over line breaks."""
+    """Known sentences of a text in order, as ``,a,b,``. A line break, also a blank line, ends a sentence; a sentence may also run over line breaks.
+
+    Where a run of lines is a known sentence, single lines of it that are known too are named before it.
+    """
     ended = F.regexp_replace(F.lower(text), _ENDS, _FLOW)
 
     known = F.create_map(*[F.lit(x) for item in PARTS.items() for x in item])
     flowing = F.split(ended, _FLOW)
 
+    def of_run(run: Column) -> Column:
+        lines = F.when(run.contains("\n"), F.split(run, "\n")).otherwise(F.array().cast("array<string>"))
+        return F.filter(F.transform(F.concat(lines, F.array(F.translate(run, "\n", " "))), lambda x: F.element_at(known, x)), lambda x: x.isNotNull())
+
     def of_one(sentence: Column) -> Column:
         whole = F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
-        lines = F.transform(F.split(sentence, "\n"), lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
+        lines = F.regexp_replace(F.regexp_replace(sentence, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
         hit = F.element_at(known, whole)
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(F.filter(F.transform(lines, lambda x: F.element_at(known, x)), lambda x: x.isNotNull()))
+        runs = F.regexp_extract_all(F.trim(lines), F.lit(_WRAPPED), 0)
+        return F.when(hit.isNotNull(), F.array(hit)).otherwise(F.flatten(F.transform(runs, of_run)))
 
     return F.concat(F.lit(","), F.concat_ws(",", F.flatten(F.transform(flowing, of_one))), F.lit(","))
 

@@ -153,6 +153,63 @@ def test_licences(spark, odd, empty):
     assert {(r.sentences, r.licenses) for r in scan(odd).collect()} == {("", "")} and scan(odd).count() == len(TEXTS) and scan(empty).count() == 0
 
 
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2024 X
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+""",
+    "ISC": """ISC License
+
+Copyright (c) 2024 X
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.
+""",
+    "Apache-2.0": """   Copyright 2024 X
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+}
+
+
+def test_original_notices_with_their_line_breaks(spark):
+    forms = {"plain": lambda t: t, "dos": lambda t: t.replace("\n", "\r\n"), "comment": lambda t: "".join(f" * {line}\n" for line in t.split("\n")), "doubled": lambda t: t.replace("\n", "\n\n")}
+    rows = [(f"{name}/{form}", f"A title\n{change(text)}") for name, text in NOTICES.items() for form, change in forms.items()]
+    rows.append(("Apache-2.0/ref", "Title\nLicensed under the Apache License, Version 2.0\n(the \"License\");"))
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {i: r.licenses for i, r in got.items()} == {i: i.split("/")[0] for i, _ in rows}
+    assert got["MIT/plain"].sentences == "mit-1,mit-2,warranty-1" and got["Apache-2.0/ref"].sentences == "apache-ref,apache-1"
+
+
 @pytest.mark.parametrize("name", ["op5_warc", "op10_licenses"])
 def test_query_equals_sql(spark, name):
     from .sql import compare
