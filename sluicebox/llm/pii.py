@@ -17,6 +17,18 @@ ROUNDS = 8
 
 # The layouts of what is looked for. A run is entered at its start only, so a long run is scanned once.
 _BETWEEN = r"[ .*#%&$!\-]{0,5}"
+# Single separators of phone numbers; two kinds of no-break space are among them.
+_GAP = "[ .\\-/\u00a0\u202f]"
+# National phone numbers: three, three and four digits; French pairs; two Spanish and two German layouts.
+_NATIONAL = "|".join([
+    r"[0-9]{3}[\-. ][0-9]{3}[\-. ][0-9]{4}",
+    rf"0[1-9](?:{_GAP}[0-9]{{2}}){{4}}",
+    rf"[6-9][0-9]{{2}}(?:{_GAP}[0-9]{{2}}){{3}}",
+    rf"[89][0-9]{_GAP}[0-9]{{3}}(?:{_GAP}[0-9]{{2}}){{2}}",
+    r"0[1-9][0-9]{1,3}[ /\-][0-9]{5,8}",
+    r"0[1-9][0-9]{1,3}[ /\-][0-9]{2,4}[ \-][0-9]{2,5}",
+])
+_ABROAD = rf"\+[0-9]{{1,3}}{_BETWEEN}\(?[0-9]{{2,4}}\)?{_BETWEEN}[0-9]{{3,4}}{_BETWEEN}[0-9]{{3,4}}"
 PATTERN = "|".join([
     r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,24}",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -29,9 +41,14 @@ PATTERN = "|".join([
     r"(?<![0-9\-/.])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])",
     r"(?<![0-9\-/.])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
     r"(?<![0-9\-/.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9.])",
-    rf"(?<![0-9+])\+[0-9]{{1,3}}{_BETWEEN}\(?[0-9]{{2,4}}\)?{_BETWEEN}[0-9]{{3,4}}{_BETWEEN}[0-9]{{3,4}}(?![0-9])",
+    # After +1 ten digits and after +33 and +34 nine; others are taken with a short last group, in any single-spaced grouping, up to 15 digits.
+    rf"(?<![0-9+])\+1{_BETWEEN}\(?[0-9]{{3}}\)?{_BETWEEN}[0-9]{{3}}{_BETWEEN}[0-9]{{4}}(?![0-9])",
+    rf"(?<![0-9+])\+3[34](?:{_GAP}?[0-9]){{9}}(?![0-9])",
+    rf"(?<![0-9+]){_ABROAD}(?![0-9]|{_GAP}[0-9]{{1,3}}(?![0-9]))",
+    rf"(?<![0-9+])\+[0-9](?:{_GAP}?\(?[0-9]\)?){{7,14}}(?![0-9])",
+    rf"(?<![0-9+]){_ABROAD}(?![0-9])",
     r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}(?![0-9])",
-    r"(?<![0-9.\-])[0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4}(?![0-9.\-])",
+    rf"(?<![0-9.\-])(?:{_NATIONAL})(?![0-9]|[.\-][0-9])",
 ])
 # Days are permuted in blocks of 2^16 that begin here: the first from it on lasts to 2099.
 FIRST_DAY = "1920-08-01"
@@ -192,7 +209,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(value.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), _date(value, "dd.MM.yyyy", key))
         .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _security_number(value, key))
         .when(value.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"), _address(value, key))
-        .when(value.rlike(r"^\+|^\(|^[0-9]{3}[.\-][0-9]{3}[.\-]"), _phone(value, key))
+        .when(value.rlike(rf"^\+|^\(|^(?:{_NATIONAL})$"), _phone(value, key))
         .otherwise(_card(value, key))
     )
 

@@ -153,6 +153,24 @@ def test_licences(spark, odd, empty):
     assert {(r.sentences, r.licenses) for r in scan(odd).collect()} == {("", "")} and scan(odd).count() == len(TEXTS) and scan(empty).count() == 0
 
 
+def test_phone_layouts(spark):
+    found = [
+        "+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33 (0)1 23 45 67 89", "+33\u00a06\u00a012\u00a034\u00a056\u00a078", "+34 912 34 56 78", "+34 91 234 56 78", "+49 89 636 48018", "+49 (0)89 636-48018",
+        "+49 30 123456 78", "+41 44 668 18 00", "+91 98765 43210", "+44 20 7946 0958", "+1 (017) 555-7713", "555 123 4567", "555-123-4567", "(555) 123-4567", "06 12 34 56 78", "01.23.45.67.89",
+        "612 34 56 78", "91 234 56 78", "0171 1234567", "089 636 48018", "030/1234567",
+    ]
+    stays = ["+12 345", "+1234567890123456", "1 234 567", "2.555.123.4567", "12 34 56 78", "0.123456"]
+    texts = [f"Call {v}. Or {v}, 2024 times" for v in found] + [f"Call {v}, x" for v in stays] + ["+33 1 23 45 67 89 2024 x"]
+    got = {r.doc_id: r for r in pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, value in enumerate(found):
+        layout = re.sub(r"\d", r"\\d", re.escape(value))
+        code = re.match(r"\+\d+", value)
+        m = re.fullmatch(rf"Call ({layout})\. Or ({layout}), 2024 times", got[i].text)
+        assert m and m[1] == m[2] != value and got[i].n_replaced == 2 and (not code or m[1].startswith(code[0])), (value, got[i].text)
+    assert [got[len(found) + i].text for i in range(len(stays))] == texts[len(found) : -1]
+    assert re.fullmatch(r"\+33 \d( \d\d){4} 2024 x", got[len(texts) - 1].text) and got[len(texts) - 1].n_replaced == 1
+
+
 NOTICES = {
     "MIT": """MIT License
 
