@@ -75,6 +75,8 @@ def normalised(sentence: str) -> list[str]:
     return [p for p in (re.sub("[^a-z0-9]+", " ", part).strip() for part in parts) if p]
 
 
+#: Every part holds one of these words or is the 2.0 that mpl-1 is cut at, so that other texts need no sentences.
+MAY = r"(?i)licen[sc]e|copyright|redistribut|permission|rights|domain|warrant|software|(?<![a-z0-9])2[^a-z0-9]+0(?![a-z0-9])"
 #: Identifier of every part; a sentence that is cut has its number after a dot from the second part on.
 PARTS = {part: name if i == 0 else f"{name}.{i}" for name, text in SENTENCES.items() for i, part in enumerate(normalised(text))}
 #: The identifiers that a rule asks for, with those of all parts.
@@ -130,8 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     A null or empty text has neither. Repeated rows each give a row.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
-    # Every known sentence holds one of these words, so that other texts need no sentences.
-    may = F.col("text").rlike("(?i)licen[sc]e|copyright|redistribut|permission|rights|domain|warrant|software")
+    may = F.col("text").rlike(MAY)
     known = F.when(may, identifiers(F.col("text"))).otherwise(F.lit(",,"))
     found = rows.select("doc_id", known.alias("known"))
     matched = found.select("doc_id", "known", *[_matches(F.col("known"), r).alias(r) for r in RULES])

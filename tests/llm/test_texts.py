@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sluicebox.llm import bpe, packing
-from sluicebox.llm.licenses import SENTENCES, scan
+from sluicebox.llm.licenses import MAY, PARTS, SENTENCES, scan
 from sluicebox.llm.pii import pseudonymised
 from sluicebox.llm.warc import read_records, write_archives
 
@@ -228,6 +228,20 @@ def test_original_notices_with_their_line_breaks(spark):
     assert got["MIT/plain"].sentences == "mit-1,mit-2,warranty-1" and got["Apache-2.0/ref"].sentences == "apache-ref,apache-1"
 
 
+def test_every_part_passes_the_prefilter(spark):
+    import duckdb
+
+    from sluicebox.llm.queries import SQL
+
+    assert [p for p in PARTS if not re.search(MAY, p)] == []
+    rows = [(i, t) for i, t in enumerate([*PARTS, "2.0", "Release notes.\n2.0\nNew: x", "see 12.05"])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.sentences, r.licenses) for r in got) == sorted(con.execute(SQL["op10_licenses"]).fetchall())
+
+
 @pytest.mark.parametrize("name", ["op5_warc", "op10_licenses"])
 def test_query_equals_sql(spark, name):
     from .sql import compare
