@@ -177,6 +177,9 @@ def train_model(
 
     Each class takes its rows from the languages in turn (a null one is a language too), within a language by a hash of their ids, so that a rare language is
     drawn as far as it goes. Without ``lang_col`` all rows are of one language. Only rows with a document are drawn.
+
+    Of rows that share an id one text is taken, so the task holds at most ``2 * sample`` texts, as words: 16 bytes for each word beside the distinct
+    words, so at most ``32 * sample`` bytes for each word of the longest text.
     """
     known = pick(labels, id=id_col, label=label_col).where(teach).where("label IN (0, 1)").distinct()
     lang = F.min(lang_col if lang_col in docs.columns else F.lit(None).cast("string")).alias("lang")
@@ -186,11 +189,12 @@ def train_model(
     turns = known.withColumn("turn", turn).where(F.col("turn") <= sample)
     drawn = [turns.where(F.col("label") == y).orderBy("turn", F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     chosen = stage(drawn[0].union(drawn[1]).select("id", "label"), "sample")
-    texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("id", "text", "label")
+    texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     odds = (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1) * (min(counts.get(0, 0), sample) + 1) / (min(counts.get(1, 0), sample) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((r["id"], words(r["text"]), int(r["label"])) for b in batches for r in b.to_pylist()), key=lambda r: r[0])
+        same: dict[bytes, bytes] = {}  # one object for each distinct word
+        rows = sorted(((r["id"], [same.setdefault(w, w) for w in words(r["text"])], int(r["label"])) for b in batches for r in b.to_pylist()), key=lambda r: (r[0], r[2]))
         model = ToxicityModel()
         model.train([r[1] for r in rows], [r[2] for r in rows])
         model.shift = float(np.log(odds))

@@ -68,6 +68,16 @@ def test_every_language_is_drawn(spark):
     assert all((scores[i] > 0.5) == (i % 2 == 1) for i in range(420))
 
 
+def test_one_text_of_each_drawn_id(spark, monkeypatch):
+    rows = [(1, f"rude {i}", "en") for i in range(3000)] + [(i, "kind", "en") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 12)] + [(1, 1)] * 5, "doc_id long, toxic int")
+    sent, into_one = [], type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda df, *a: (sent.append(df.count()), into_one(df, *a))[1])
+    model = train_model(docs, labels, F.lit(True))
+    assert sent == [11] and model.shift == pytest.approx(0)
+
+
 def test_a_language_whose_toxic_rows_are_missed_stays(spark, tmp_path):
     import corpus_pipeline as P
 
