@@ -15,7 +15,7 @@ from sluicebox.llm.minhash import near_duplicates
 from sluicebox.llm.packing import pack, token_pieces
 from sluicebox.llm.pii import pseudonymised
 from sluicebox.llm.quality import quality_scores
-from sluicebox.llm.toxicity import language_thresholds, toxicity_scores, train_model
+from sluicebox.llm.toxicity import language_thresholds, threshold_of, toxicity_scores, train_model
 
 LEAST_QUALITY = 0.3
 
@@ -43,9 +43,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scores = stage(toxicity_scores(rows, model, id_col="__row").withColumnRenamed("doc_id", "__row"), "toxicity")
     known = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").alias("label"))
     least = language_thresholds(rows.select("__row", "doc_id", "lang").join(known, "doc_id").join(scores, "__row").select("lang", "score", "label"))
-    limit = F.lit(0.5)
-    for lang, value in least.items():
-        limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(limit)
+    limit = threshold_of(F.col("lang"), least)
     clean = rows.select("__row", "lang").join(scores, "__row").where(F.col("score") < limit).select("__row")
     return rows.join(clean, "__row", "left_semi").select(*docs.columns)
 

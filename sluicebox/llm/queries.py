@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import staging_path
 from .bpe import decode, encode
-from .common import prepare, table
+from .common import prepare, stage, table
 from .fingerprint import as_text, edited_likeness
 from .licenses import CONTAINED, PARTS, SEQUENCES, scan
 from .minhash import near_duplicates
@@ -19,7 +19,7 @@ from .neighbours import nearest
 from .packing import pack, token_pieces
 from .pii import pseudonymised
 from .quality import quality_scores
-from .toxicity import toxicity_scores, train_model
+from .toxicity import language_thresholds, threshold_of, toxicity_scores, train_model
 from .warc import read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,10 +142,15 @@ def taught(modulus: int, held_out: int, id_col: str = "id") -> Column:
 
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's toxicity."""
+    """Every document's toxicity, by the fixed threshold and by that of its language, which is calibrated on the rows that may be learned from."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scores = toxicity_scores(docs, train_model(docs, labels, taught(4, 2)))
-    return scores.select("doc_id", (~taught(4, 2, "doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    scores = stage(toxicity_scores(docs, train_model(docs, labels, taught(4, 2)), keep=("lang",)), "toxicity")
+    known = labels.where(taught(4, 2, "doc_id")).where("toxic IN (0, 1)").select("doc_id", F.col("toxic").alias("label")).distinct()
+    limit = threshold_of(F.col("lang"), language_thresholds(scores.join(known, "doc_id")))
+    return scores.select(
+        "doc_id", (~taught(4, 2, "doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        limit.alias("threshold"), F.when(F.col("score") >= limit, 1).otherwise(0).alias("calibrated"),
+    )
 
 
 @query("op9_quality")

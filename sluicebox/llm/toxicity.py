@@ -208,18 +208,20 @@ def train_model(
     return model
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row, from its whole text; a null or empty text gets the score of no words."""
+def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score) of every row, from its whole text, and the columns ``keep`` as they are; a null or empty text gets the score of no words."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(pickle.dumps(model))  # of fixed size: BUCKETS embeddings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(shared.value))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scorer.scores(batch.column("text").to_pylist()))], ["doc_id", "score"])
+            kept = [batch.column(f"keep{i}") for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scorer.scores(batch.column("text").to_pylist())), *kept], ["doc_id", "score", *keep])
 
-    source = pick(docs, id=id_col, text=text_col)
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['id']}, score double")
+    source = pick(docs, id=id_col, text=text_col, **{f"keep{i}": c for i, c in enumerate(keep)})
+    types = dict(source.dtypes)
+    return source.mapInArrow(run, ", ".join([f"doc_id {types['id']}", "score double", *(f"`{c}` {types[f'keep{i}']}" for i, c in enumerate(keep))]))
 
 
 def language_thresholds(scored: DataFrame, fallback: float = 0.5) -> dict[str | None, float]:
@@ -243,3 +245,11 @@ def language_thresholds(scored: DataFrame, fallback: float = 0.5) -> dict[str |
         best = np.flatnonzero(separates & (f1 >= f1.max() - 1e-12))
         out[lang] = float(best[np.argmin(np.abs(best / LEVELS - 0.5))] / LEVELS) if len(best) else fallback
     return out
+
+
+def threshold_of(lang: Column, thresholds: dict[str | None, float], fallback: float = 0.5) -> Column:
+    """The threshold of a row's language, ``fallback`` for one without labels."""
+    limit = F.lit(fallback)
+    for known, value in thresholds.items():
+        limit = F.when(lang.eqNullSafe(F.lit(known)), F.lit(value)).otherwise(limit)
+    return limit

@@ -68,6 +68,16 @@ def test_every_language_is_drawn(spark):
     assert all((scores[i] > 0.5) == (i % 2 == 1) for i in range(420))
 
 
+def test_query_decides_by_language(spark):
+    small = "/root/testdata/sf0.01"
+    rows = QUERIES["op3_toxicity"](spark, small).join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    labelled = rows.join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id")
+    want = language_thresholds(labelled.where("NOT held_out AND toxic IN (0, 1)").select("lang", "score", F.col("toxic").alias("label")))
+    got = rows.collect()
+    assert {r.lang: r.threshold for r in got} == {r.lang: want.get(r.lang, 0.5) for r in got}
+    assert all(r.calibrated == int(r.score >= r.threshold) for r in got)
+
+
 def test_one_text_of_each_drawn_id(spark, monkeypatch):
     rows = [(1, f"rude {i}", "en") for i in range(3000)] + [(i, "kind", "en") for i in range(2, 12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
