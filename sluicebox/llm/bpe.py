@@ -30,7 +30,7 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{
 _NEVER = 1 << 60
 
 
-def _characters() -> dict[str, int]:
+def byte_characters() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary file."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = (b for b in range(256) if b not in shown)
@@ -68,7 +68,7 @@ class ByteBPE:
     def __init__(self, path: str, remembered: int = 200_000):
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
-        of = _characters()
+        of = byte_characters()
         raw = {token: bytes(of[c] for c in token) for token in parts["model"]["vocab"]}
         self.ids = {raw[token]: i for token, i in parts["model"]["vocab"].items()}
         self.bytes_of = {i: b for b, i in self.ids.items()}

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_path
+from .alignment import align
 from .bpe import decode, encode
 from .common import prepare, stage, table
 from .fingerprint import as_text, edited_likeness
+from .language import languages, learn
 from .licenses import CONTAINED, PARTS, SEQUENCES, scan
 from .minhash import near_duplicates
 from .neighbours import nearest
@@ -21,6 +23,7 @@ from .pii import pseudonymised
 from .quality import quality_scores
 from .toxicity import language_thresholds, threshold_of, toxicity_scores, train_model
 from .warc import read_records, write_archives
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -140,6 +143,11 @@ def taught(modulus: int, held_out: int, id_col: str = "id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus != held_out
 
 
+def is_held_out(modulus: int, remainder: int, id_col: str = "doc_id") -> Column:
+    """Whether an id leaves ``remainder``; a null id leaves none, and nothing is learned from its row either."""
+    return F.coalesce(~taught(modulus, remainder, id_col), F.lit(False)).alias("held_out")
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, by the fixed threshold and by that of its language, which is calibrated on the rows that may be learned from."""
@@ -148,7 +156,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = labels.where(taught(4, 2, "doc_id")).where("toxic IN (0, 1)").select("doc_id", F.col("toxic").alias("label")).distinct()
     limit = threshold_of(F.col("lang"), language_thresholds(scores.join(known, "doc_id")))
     return scores.select(
-        "doc_id", (~taught(4, 2, "doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        "doc_id", is_held_out(4, 2), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
         limit.alias("threshold"), F.when(F.col("score") >= limit, 1).otherwise(0).alias("calibrated"),
     )
 
@@ -158,7 +166,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scores = quality_scores(docs, labels, taught(5, 0, "doc_id"))
-    return scores.drop("row").select("doc_id", (~taught(5, 0, "doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return scores.drop("row").select("doc_id", is_held_out(5, 0), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 @query("op8_pii")
@@ -198,3 +206,24 @@ def _license_sql() -> str:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence sentences and licences of every document."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_language")
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
+    docs = table(spark, sf_dir, "documents")
+    found = languages(docs, learn(docs, taught(3, 1, "doc_id")))
+    return found.select("doc_id", is_held_out(3, 1), "lang_pred", "score")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the four directions of most variance, whitened."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two public tokenizers line up in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
