@@ -1,7 +1,7 @@
 """sluicebox: profiling, cleaning, validating and reconciling messy tables as Spark plans."""
 
 from .errors import TableError
-from .session import build_session, configure_session, release_staged
+from .session import StagingScope, build_session, configure_session, release_staged
 from .table import ROW_NO, display_names, from_frame, with_display_names
 
 __all__ = [
@@ -11,6 +11,7 @@ __all__ = [
     "configure_session",
     "display_names",
     "from_frame",
+    "StagingScope",
     "release_staged",
     "with_display_names",
 ]
