@@ -1,4 +1,4 @@
-"""Connected components of a large sparse graph by hooking and pointer jumping."""
+"""Connected components of a large sparse graph by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -11,30 +11,28 @@ from .common import stage
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for links (a, b): the smallest node reachable from each node that has a link.
 
-    Every round a node and its present label take the smallest label next to the node, then labels
-    are followed once, so long chains halve. Each round is written to the shared folder, which also
-    bounds the plan. Labels are combined by ``min``, which has a map-side stage: a node with many
-    links costs one row per task. A graph without links gives no rows.
+    Every round each node takes its smallest neighbour as its parent if that is smaller, parents are followed once more, and the links go on
+    between different parents only, each once: the graph shrinks fast and a settled group costs nothing. Each round is written to the shared folder, which also
+    bounds the plan. Parents are combined by ``min``, which has a map-side stage: a node with many links costs one row per task.
+    In the end the rounds' parents are followed from the last round to the first. A graph without links gives no rows.
     """
-    both = stage(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        offers = labels.join(near, "node")
-        hooked = (
-            offers.select("node", F.least("label", "near").alias("label"))
-            .union(offers.select(F.col("label").alias("node"), F.least("label", "near")))
-            .groupBy("node")
-            .agg(F.min("label").alias("label"))
-        )
-        hooked = stage(hooked, "hooked")
-        after = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = hooked.join(after, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        moved = stage(moved, "labels")
-        if labels.join(moved.withColumnRenamed("label", "now"), "node").where("label <> now").isEmpty():
-            return moved
-        labels = moved
+    ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    edges, rounds = stage(ordered.distinct(), "edges"), []
+    while not edges.isEmpty():
+        # Ends are a < b: only b can hook to a, and a is there with itself.
+        offers = edges.select(F.col("b").alias("node"), F.col("a").alias("parent")).union(edges.select("a", "a"))
+        parents = stage(offers.groupBy("node").agg(F.min("parent").alias("parent")), "parents")
+        above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        parents = stage(parents.join(above, "parent").select("node", F.col("next").alias("parent")), "parents")
+        rounds.append(parents)
+        left = parents.select(F.col("node").alias("a"), F.col("parent").alias("x"))
+        right = parents.select(F.col("node").alias("b"), F.col("parent").alias("y"))
+        moved = edges.join(left, "a").join(right, "b").where("x <> y")
+        edges = stage(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not rounds:
+        return ordered.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+    labels = rounds.pop()
+    while rounds:
+        later = labels.select(F.col("node").alias("parent"), "label" if "label" in labels.columns else F.col("parent").alias("label"))
+        labels = stage(rounds.pop().join(later, "parent", "left").select("node", F.coalesce("label", "parent").alias("label")), "labels")
+    return labels.select("node", F.col(labels.columns[1]).alias("label"))

@@ -66,23 +66,23 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each still gives its row. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    # (key, hash) names a document without nulls, so that every join and the grouping below share one partitioning.
-    rows = pick(docs, doc_id=id_col, text=text_col).select(
-        "doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64(text, F.col("doc_id").isNull()).alias("hash")
-    )
-    keys = rows.select("doc_id", "key", "hash", F.char_length("text").alias("n_chars")).distinct()
+    # (key, hash) names a document without nulls, so that every join and the grouping below share one partitioning. The key is an expression in the
+    # joins, so both need the same columns of the rows, and the texts are shuffled once.
+    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text.alias("text"), F.xxhash64(text, F.col("doc_id").isNull()).alias("hash"))
+    key = F.coalesce("doc_id", F.lit(0))
+    keys = rows.select("doc_id", "hash", F.char_length("text").alias("n_chars")).distinct()
     order = with_position(keys, [F.col("doc_id"), F.col("hash")], [False, False])
-    order = stage(order.select("key", "hash", "n_chars", POSITION), "order")
+    order = stage(order.select(key.alias("key"), "hash", "n_chars", POSITION), "order")
     after = F.pmod(F.col(POSITION) + 1, F.lit(max(1, order.count())))
     # For each document as the next one: whose it is, and how many of its characters go there.
     takes = order.select(F.col("key").alias("to_key"), F.col("hash").alias("to_hash"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"), after.alias("at"))
-    takes = stage(order.join(takes, F.col(POSITION) == F.col("at")).select("key", "hash", "to_key", "to_hash", "need"), "takes")
-    given = rows.join(takes, ["key", "hash"]).select(
-        F.col("to_key").alias("key"), F.col("to_hash").alias("hash"),
-        F.struct("need", F.substring("text", F.lit(1), F.col("need")).alias("start"), fingerprint(F.col("text")).alias("prints")).alias("next"),
+    takes = order.join(takes, F.col(POSITION) == F.col("at")).select("key", F.col("hash").alias("own"), "to_key", "to_hash", "need")
+    takes = stage(takes, "takes")
+    given = rows.join(takes, (key == F.col("key")) & (F.col("hash") == F.col("own"))).select(
+        "to_key", "to_hash", F.struct("need", F.substring("text", F.lit(1), F.col("need")).alias("start"), fingerprint(F.col("text")).alias("prints")).alias("next"),
     )
-    given = given.groupBy("key", "hash").agg(F.any_value("next").alias("next"))
-    joined = rows.join(given, ["key", "hash"]).select(
+    given = given.groupBy("to_key", "to_hash").agg(F.any_value("next").alias("next"))
+    joined = rows.join(given, (key == F.col("to_key")) & (F.col("hash") == F.col("to_hash"))).select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("prints"),
         F.concat(F.substring("text", F.lit(1), F.char_length("text") - F.col("next.need")), F.col("next.start")).alias("edited"),
         F.col("next.prints").alias("next_prints"),

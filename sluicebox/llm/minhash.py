@@ -2,10 +2,10 @@
 
 A set's one-permutation sketch is the smallest hash in each of 255 bins. An empty bin copies the bin that
 comes first in its own fixed random order of all bins (optimal densification), so two sets agree in any bin
-with a probability equal to their resemblance. 51 bands of five bins are the buckets: a pair at resemblance
-0.75 shares none with a probability of 1e-6.
+with a probability equal to their resemblance. 51 bands of five bins are the buckets: a pair of sets of more than a few dozen shingles at resemblance
+0.75 shares none with a probability of about 1e-6. The bins of tiny sets depend on each other; of pairs of four and three shingles about 1 in 30,000 was seen lost.
 
-In each bucket only the links of a centre, a member drawn by hash, to the other members are candidates, and they
+In each bucket only the links of a centre, the member whose hash is smallest, to the other members are candidates, and they
 are confirmed on the full sets. A bucket of copies of one text is then one component, however large it is. Where a bucket
 still holds several components, its nodes outside the largest are tested against that one and each other in tiles, on the full sets, so that no
 link is lost to the star shape; only confirmed links leave a tile.
@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(sketches.where("digest is not null").groupBy("digest").agg(F.min("id").alias("node")).where("node is not null"), "classes")
     # One row of each class of equal sets stands for it; the key (digest, id) spreads a large class.
     members = sketches.join(classes.withColumn("id", F.col("node")), ["digest", "id"]).select("node", F.explode("bands").alias("bucket"))
-    drawn = F.min_by("node", F.xxhash64("bucket", "node")).alias("centre")
+    # By the node alone: the buckets of one group of near copies then mostly have the same centre, and its pairs collapse in the distinct below.
+    drawn = F.min_by("node", F.xxhash64("node")).alias("centre")
     shared = members.groupBy("bucket").agg(drawn, F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket", "centre")
     members = stage(members.join(stage(shared, "buckets"), "bucket").distinct(), "members")
     nodes = stage(members.select("node").distinct(), "nodes")

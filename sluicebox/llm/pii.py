@@ -4,18 +4,23 @@ Values are found by one pattern and validated: card numbers (Luhn), IBANs (mod 9
 (octets), phone numbers (8 to 15 digits), dates of the calendar, and e-mail addresses. Each valid value goes through a keyed Feistel network whose
 symbols keep their own ranges, so the pseudonym is a valid value of the same kind and layout, different values stay different, and equal ones equal
 in every document. Check digits are computed anew. Values that fail their test stay as they are.
+
+A phone number with a country code and the same number in a national layout are different values. Not looked for: IPv6 addresses, dates with one-digit days or
+months (3/5/2024), and bare runs of ten digits without separators.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-# The layouts of what is looked for. A run is entered at its start only, so a long run is scanned once.
+# The layouts of what is looked for. A run is entered at its start only, so a long run is scanned once. Every repeated group has a bound
+# (a domain has 127 labels at most), since the engine recurses once for each repetition of a group.
 _BETWEEN = r"[ .*#%&$!\-]{0,5}"
 # Single separators of phone numbers; two kinds of no-break space are among them.
 _GAP = "[ .\\-/\u00a0\u202f]"
@@ -30,7 +35,7 @@ _NATIONAL = "|".join([
 ])
 _ABROAD = rf"\+[0-9]{{1,3}}{_BETWEEN}\(?[0-9]{{2,4}}\)?{_BETWEEN}[0-9]{{3,4}}{_BETWEEN}[0-9]{{3,4}}"
 PATTERN = "|".join([
-    r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,24}",
+    r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,126}[A-Za-z]{2,24}",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     r"(?<![0-9])[0-9]{13,19}(?![0-9])",
     r"(?<![0-9])[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}(?![0-9])",
@@ -50,6 +55,10 @@ PATTERN = "|".join([
     r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}(?![0-9])",
     rf"(?<![0-9.\-])(?:{_NATIONAL})(?![0-9]|[.\-][0-9])",
 ])
+# Country codes of one digit, of two digits, and all others of three.
+CALLING_CODE = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: The session setting that holds the key.
+KEY_SETTING = "spark.sluicebox.pii.key"
 # Days are permuted in blocks of 2^16 that begin here: the first from it on lasts to 2099.
 FIRST_DAY = "1920-08-01"
 
@@ -61,9 +70,9 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def feistel(values: Column, ranges: Column, key: str, kind: str) -> Column:
     """The numbers ``values``, each below its range, permuted under the key: the halves of the list take turns in shifting each other."""
+    # Everything a round needs is in the state: a lambda evaluates what it names from outside anew for each element, which would make long values quadratic.
     half = (F.size(values) / 2).cast("int")
-    first, second = F.slice(values, 1, half), F.slice(values, half + 1, F.size(values))
-    limits = F.slice(ranges, 1, half), F.slice(ranges, half + 1, F.size(ranges))
+    parts = {"a": F.slice(values, 1, half), "b": F.slice(values, half + 1, F.size(values)), "of_a": F.slice(ranges, 1, half), "of_b": F.slice(ranges, half + 1, F.size(ranges))}
 
     def shifted(part: Column, limit: Column, other: Column, turn: Column) -> Column:
         digest = F.sha2(F.concat_ws(",", F.lit(f"{key}/{kind}"), turn.cast("string"), other.cast("array<string>")).cast("binary"), 512)
@@ -74,12 +83,12 @@ def feistel(values: Column, ranges: Column, key: str, kind: str) -> Column:
 
         return bound(digest, shift)
 
-    start = F.struct(first.alias("a"), second.alias("b"))
     done = F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), start,
+        F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(*[part.alias(name) for name, part in parts.items()]),
         lambda s, turn: F.struct(
-            F.when(turn % 2 == 1, shifted(s["a"], limits[0], s["b"], turn)).otherwise(s["a"]).alias("a"),
-            F.when(turn % 2 == 0, shifted(s["b"], limits[1], s["a"], turn)).otherwise(s["b"]).alias("b"),
+            F.when(turn % 2 == 1, shifted(s["a"], s["of_a"], s["b"], turn)).otherwise(s["a"]).alias("a"),
+            F.when(turn % 2 == 0, shifted(s["b"], s["of_b"], s["a"], turn)).otherwise(s["b"]).alias("b"),
+            s["of_a"].alias("of_a"), s["of_b"].alias("of_b"),
         ),
     )
     return bound(done, lambda s: F.concat(s["a"], s["b"]))
@@ -186,11 +195,14 @@ def _date(value: Column, layout: str, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The country code after + stays."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
-    rest = F.substring(value, F.length(code) + 1, F.length(value))
-    moved = bound(_permuted(_digits(rest), key, "phone"), lambda d: F.concat(code, _laid_out(rest, d)))
-    return F.when(F.length(_digits(value)).between(8, 15), moved).otherwise(value)
+    """The country code after + stays, read from the digits, so that a number has one pseudonym in every layout."""
+
+    def of(digits: Column) -> Column:
+        code = F.when(value.startswith("+"), F.regexp_extract(digits, CALLING_CODE, 0)).otherwise("")
+        moved = bound(code, lambda c: F.concat(c, _permuted(F.substring(digits, F.length(c) + 1, F.length(digits)), key, "phone")))
+        return F.when(F.length(digits).between(8, 15), _laid_out(value, moved)).otherwise(value)
+
+    return bound(_digits(value), of)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -214,7 +226,16 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = "sluicebox", text_col: str = "text", count_col: str | None = "n_replaced") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in ``KEY_SETTING``. Where that is unset, a random one is drawn and set there: one session's pseudonyms agree, and nobody can reverse them later."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_replaced") -> DataFrame:
     """``docs`` with personal data in the text replaced, and how many values were.
 
     Every other column and every row stays. A null text stays null with a count of 0. ``count_col`` replaces a column of that name.

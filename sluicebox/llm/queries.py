@@ -19,7 +19,7 @@ from .licenses import CONTAINED, PARTS, SEQUENCES, scan
 from .minhash import near_duplicates
 from .neighbours import nearest
 from .packing import pack, token_pieces
-from .pii import pseudonymised
+from .pii import pseudonymised, session_key
 from .quality import quality_scores
 from .toxicity import language_thresholds, threshold_of, toxicity_scores, train_model
 from .warc import read_records, write_archives
@@ -172,7 +172,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_pii")
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms."""
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def _license_sql() -> str:

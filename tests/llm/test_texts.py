@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from sluicebox.llm import bpe, packing
 from sluicebox.llm.licenses import MAY, PARTS, SENTENCES, scan
-from sluicebox.llm.pii import pseudonymised
+from sluicebox.llm.pii import KEY_SETTING, PATTERN, feistel, pseudonymised, session_key
 from sluicebox.llm.warc import read_records, write_archives
 
 from .conftest import TEXTS
@@ -136,10 +136,10 @@ def test_pseudonyms(spark, odd, empty):
     other = {r.doc_id: r.text for r in pseudonymised(df, "k2").collect()}
     assert all(other[i] != got[i].text for i in range(len(valid)))
     cards = spark.range(100).select(F.col("id").alias("doc_id"), F.format_string("219-09-%04d", F.col("id") + 1).alias("text"))
-    assert pseudonymised(cards).select("text").distinct().count() == 100
-    same = pseudonymised(odd)
+    assert pseudonymised(cards, "k1").select("text").distinct().count() == 100
+    same = pseudonymised(odd, "k1")
     assert sorted(map(str, same.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
-    assert set(same.columns) == {*odd.columns, "n_replaced"} and pseudonymised(empty).count() == 0
+    assert set(same.columns) == {*odd.columns, "n_replaced"} and pseudonymised(empty, "k1").count() == 0
 
 
 def test_licences(spark, odd, empty):
@@ -161,7 +161,7 @@ def test_phone_layouts(spark):
     ]
     stays = ["+12 345", "+1234567890123456", "1 234 567", "2.555.123.4567", "12 34 56 78", "0.123456"]
     texts = [f"Call {v}. Or {v}, 2024 times" for v in found] + [f"Call {v}, x" for v in stays] + ["+33 1 23 45 67 89 2024 x"]
-    got = {r.doc_id: r for r in pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k1").collect()}
     for i, value in enumerate(found):
         layout = re.sub(r"\d", r"\\d", re.escape(value))
         code = re.match(r"\+\d+", value)
@@ -171,6 +171,58 @@ def test_phone_layouts(spark):
     assert re.fullmatch(r"\+33 \d( \d\d){4} 2024 x", got[len(texts) - 1].text) and got[len(texts) - 1].n_replaced == 1
 
 
+def test_a_phone_number_has_one_pseudonym_in_every_layout(spark):
+    layouts = ["+33612345678", "+33 6 12 34 56 78", "+33.6.12.34.56.78", "+17005550123", "+1 (700) 555-0123", "+4989636480180", "+49 89 6364 80180", "+351912345678", "+351 912 345 678"]
+    rows = pseudonymised(spark.createDataFrame(list(enumerate(layouts)), "doc_id long, text string"), "k1").collect()
+    got = [re.sub(r"[^0-9]", "", r.text) for r in sorted(rows)]
+    assert got[0] == got[1] == got[2] and got[3] == got[4] and got[5] == got[6] and got[7] == got[8]
+    assert [g[: len(c)] for g, c in zip(got, "33 33 33 1 1 49 49 351 351".split(), strict=True)] == "33 33 33 1 1 49 49 351 351".split()
+    assert all(g != re.sub(r"[^0-9]", "", t) for g, t in zip(got, layouts, strict=True))
+
+
+def plain_feistel(values, ranges, key, kind):
+    """The network by hand: halves take turns in shifting each other by digits of a digest."""
+    half = len(values) // 2
+    a, b, limits = list(values[:half]), list(values[half:]), (ranges[:half], ranges[half:])
+    for turn in range(1, 9):
+        other, part, limit = (b, a, limits[0]) if turn % 2 else (a, b, limits[1])
+        digest = hashlib.sha512(",".join([f"{key}/{kind}", str(turn), *map(str, other)]).encode()).hexdigest()
+        part[:] = [(v + int(digest[i % 25 * 5 : i % 25 * 5 + 5], 16)) % n for i, (v, n) in enumerate(zip(part, limit, strict=True))]
+    return a + b
+
+
+def test_feistel_equals_plain_python(spark, draw):
+    rows = []
+    for _ in range(60):
+        ranges = [draw.choice((10, 26, 256, 1, 9999)) for _ in range(draw.randrange(2, 40))]
+        rows.append(([draw.randrange(n) for n in ranges], ranges))
+    df = spark.createDataFrame(rows, "v array<int>, r array<int>")
+    for r in df.select("v", "r", feistel(F.col("v"), F.col("r"), "secret", "card").alias("to")).collect():
+        assert r.to == plain_feistel(r.v, r.r, "secret", "card")
+
+
+def test_long_runs_of_every_layout_end(spark):
+    def runs(n):
+        return ["x@" + "a." * n + "com", "x@" + "a-" * n + ".com", "@" * n, "a@b." * n, "1" * n, "1 " * n, "1-" * n, "1." * n, "12/" * n, "+1 " * n, "+" * n, "(" * n, "1234 " * n, "GB12 " + "ABCD " * n, "A" * n, "0-0" * n,
+            "x" * n + "@a.com", "1.2.3.4." * n, "12 34 " * n, "+33 " + "1 " * n, "555-" * n, "06 " * n]
+
+    table = lambda n: spark.createDataFrame(list(enumerate(runs(n))), "doc_id long, text string").repartition(8)
+    found = table(100_000).select(F.size(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("n")).collect()
+    got = pseudonymised(table(3_000), "k1").collect()
+    assert len(found) == len(got) == len(runs(1))
+    long = pseudonymised(spark.createDataFrame([("b@" + "a-" * 100_000 + ".com",)], "text string").repartition(2), "k1").first().text
+    assert len(long) == 200_006 and long.endswith(".com") and long[:20] != "b@a-a-a-a-a-a-a-a-a-"
+
+
+def test_the_key_is_the_sessions(spark):
+    spark.conf.unset(KEY_SETTING)
+    drawn = session_key(spark)
+    assert len(drawn) == 64 and session_key(spark) == drawn
+    spark.conf.set(KEY_SETTING, "mine")
+    assert session_key(spark) == "mine"
+    spark.conf.unset(KEY_SETTING)
+
+
 NOTICES = {
     "MIT": """MIT License
 
