@@ -8,6 +8,7 @@ the table of last tokens is followed back from the end. Time is linear in the te
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from array import array
@@ -17,6 +18,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +67,7 @@ class ByteBPE:
     chunks = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
     words = regex.compile(WORDS)
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         of = byte_characters()
@@ -83,6 +85,8 @@ class ByteBPE:
                 self.made[whole], self.split[whole] = rank, pair
         self.special = {t["content"]: t["id"] for t in parts.get("added_tokens", [])}
         self.bytes_of |= {i: text.encode() for text, i in self.special.items()}
+        # The bytes of every id, and none for ids outside the vocabulary.
+        self.taken = pa.array([*[self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)], b""], pa.large_binary())
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.remembered = remembered
         self.chunk_ids, self.word_ids = Recent(remembered), Recent(remembered)
@@ -134,15 +138,16 @@ class ByteBPE:
         """The ids of one word: the last token of every prefix, then back from the end."""
         if (known := self.ids.get(data)) in self.whole:
             return [known]
-        last, fits = [-1] * (len(data) + 1), self.fits
+        last, known, done = [-1] * (len(data) + 1), self.fits.get, -1
         for end, (token, size) in self.automaton.iter(data.decode("latin-1")):
-            end += 1
-            if last[end] < 0:
-                if start := end - size:
-                    fit = fits.get(last[start] << 32 | token)
-                    if not (self.compatible(last[start], token) if fit is None else fit):
-                        continue
-                last[end] = token
+            if end == done:  # a longer suffix has been taken
+                continue
+            if start := end + 1 - size:
+                before = last[start]
+                fit = known(before << 32 | token)
+                if not (self.compatible(before, token) if fit is None else fit):
+                    continue
+            last[end + 1], done = token, end
         out, at = [], len(data)
         while at:
             out.append(last[at])
@@ -163,12 +168,20 @@ class ByteBPE:
             if part in self.special:
                 out.append(np.uint32(self.special[part]).tobytes())
             else:
-                out.extend([known(c) or self.chunk_ids.get(c) or self.chunk_ids.add(c, self._chunk(c)) for c in self.chunks.findall(part)])
+                out += [known(c) or self.chunk_ids.get(c) or self.chunk_ids.add(c, self._chunk(c)) for c in self.chunks.findall(part)]
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """Ids outside the vocabulary are left out; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of lists of ids that lie one after another; ``ends`` holds 0 and where each list ends."""
+        inside = np.where((ids >= 0) & (ids < len(self.taken) - 1), ids, len(self.taken) - 1)
+        found = self.taken.take(pa.array(inside))
+        data = memoryview(found.buffers()[2] or b"")
+        at = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[ends] if len(found) else np.zeros(len(ends), np.int64)
+        return [str(data[a:b], "utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -195,6 +208,39 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['id']}, ids array<int>")
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values, -1 for nulls, and 0 and the ends of the lists; a null list is empty."""
+    values = column.flatten()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return pc.fill_null(values, -1).to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what ``encode`` and then ``decode`` give, without moving ids or texts out of the task.
+
+    The first is of the decimal ids joined by commas, the second of the decoded text in UTF-8. Rows are treated as by ``encode``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(vocabulary)
+        shown = pa.array([f"{i}," for i in range(len(bpe.taken))], pa.large_string())
+        for batch in batches:
+            counts, of_ids, of_texts = [], [], []
+            for text in batch.column("text").to_pylist():
+                ids = np.frombuffer(bpe.encode(text) if text else b"", "<u4").astype(np.int64)
+                listed = shown.take(pa.array(ids)).buffers()[2] if len(ids) else None
+                counts.append(len(ids))
+                of_ids.append(hashlib.sha256(memoryview(listed)[:-1] if listed else b"").hexdigest())
+                of_texts.append(hashlib.sha256(bpe.decode_all(ids, np.array([0, len(ids)]))[0].encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    source = pick(docs, id=id_col, text=text_col)
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``tokens`` with the text of each list of ids; null ids give an empty text. A column of that name is replaced."""
     columns = [c for c in tokens.columns if c != text_col]
@@ -203,7 +249,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            texts = [bpe.decode(ids or []) for ids in batch.column(columns.index(ids_col)).to_pylist()]
+            texts = bpe.decode_all(*_lists(batch.column(columns.index(ids_col))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, text_col])
 
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias(text_col)).schema)

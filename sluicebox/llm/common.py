@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-__all__ = ["ascii_words", "fold", "mix64", "prepare", "pick", "shingle_set", "stage", "table", "WordHashes"]
+__all__ = ["LOWER", "ascii_words", "fold", "mix64", "prepare", "pick", "shingle_set", "stage", "table", "WordHashes"]
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,7 +32,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def ascii_words(text: str | None) -> list[bytes]:
     """A-Z lower-cased; runs of anything but space and the controls 9 to 13."""
-    return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
+    return text.encode("utf-8", "replace").translate(LOWER).split() if text else []
 
 
 class WordHashes(dict):

@@ -5,6 +5,9 @@ documents, and attention cost (the sum of squared piece lengths). All three must
 can take a piece, the rule picks the smallest weighted norm of what would remain, or the largest weighted dot product
 of demand and remainder.
 
+With the default capacities of documents and attention cost, 4,096 and the square of the tokens, these two never bind, and the rule is best fit by tokens; callers set
+them lower where they matter.
+
 Pieces are dealt by hash into shards of about ``SHARD`` pieces, whatever the size of the corpus, and each shard is packed by
 one task. Sequences that stay less full than ``FULL`` are opened again and their pieces packed in a second
 round over fewer shards, so that the shards' last sequences cost next to nothing.
@@ -13,6 +16,8 @@ round over fewer shards, so that the shards' last sequences cost next to nothing
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stage
+from .common import LOWER, pick, stage
 
 CAPACITY = 4096
 SHARD = 4096
@@ -34,18 +39,24 @@ WEIGHTS = (1.0, 0.001, 0.001)
 class WordTokenizer:
     """A vocabulary of the word kind, encoded by the tokenizers library once for each distinct run between white space.
 
-    White space separates words and is dropped, so a text's ids are those of its runs in order. Texts with controls
-    or special tokens that a run could hide go to the library whole.
+    White space separates words and is dropped, so a text's ids are those of its runs in order. The library lower-cases and cuts punctuation off letters and
+    digits itself; doing so before, in ASCII, leaves fewer distinct runs. Texts with controls or special tokens that a run could hide go to the library whole.
     """
 
     whole = re.compile(r"[\x1c-\x1f]|<\|")
+    #: A single mark after a letter or digit and before white space is a token of its own.
+    mark = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?][ \n])")
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.held = 0
@@ -54,17 +65,34 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, runs: list[str]) -> None:
-        """The ids of many runs by few calls; a token belongs to the run in which it starts."""
-        for at in range(0, len(runs), 1000):
-            part = runs[at : at + 1000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            lasts = np.cumsum([len(r) + 1 for r in part])
-            ends = np.searchsorted([start for start, _ in found.offsets], lasts) * 4
-            data, start = np.array(found.ids, "<u4").tobytes(), 0
-            for run, end in zip(part, ends.tolist(), strict=True):
-                self.known[run] = data[start:end]
-                start = end
-            self.held += int(lasts[-1])
+        """The ids of many runs by few calls. A run of letters is one word; of others, a token belongs to the run in which it starts."""
+        plain, others = [], []
+        for run in runs:
+            (plain if run.isascii() and run.isalpha() else others).append(run)
+        for run in plain:  # nothing is left to normalise or to cut
+            self.known[run] = array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
+        self.held += sum(map(len, plain))
+        words = [r for r in others if r.isalpha()]
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            self._keep(part, ids.tobytes(), ends.tolist()) if len(ends) == len(part) else self._learn_by_place(part)
+        others = [r for r in others if not r.isalpha()]
+        for at in range(0, len(others), 1000):
+            self._learn_by_place(others[at : at + 1000])
+
+    def _learn_by_place(self, part: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ends = np.searchsorted([start for start, _ in found.offsets], np.cumsum([len(r) + 1 for r in part])) * 4
+        self._keep(part, np.array(found.ids, "<u4").tobytes(), ends.tolist())
+
+    def _keep(self, part: list[str], data: bytes, ends: list[int]) -> None:
+        start = 0
+        for run, end in zip(part, ends, strict=True):
+            self.known[run] = data[start:end]
+            start = end
+        self.held += sum(map(len, part))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, a few million characters at a time."""
@@ -77,13 +105,16 @@ class WordTokenizer:
                 part, size = [], 0
         yield from self._some(part)
 
+    def _runs(self, text: str) -> list[str]:
+        return self.mark.sub(b" ", text.encode("utf-8", "replace").translate(LOWER)).decode().split()
+
     def _some(self, texts: list[str]) -> Iterator[bytes]:
         # What was found goes to an older half when it is much, and from there back when it occurs again: memory stays bounded.
         if len(self.known) > self.remembered or self.held > 40 * self.remembered:
             self.before, self.known, self.held = self.known, {}, 0
         # str.split() takes the same white space, as the controls it also takes are excluded here.
-        split = [None if self.whole.search(t) else t.split() for t in texts]
-        new = set().union(*[set(runs).difference(self.known) for runs in split if runs])
+        split = [None if self.whole.search(t) else self._runs(t) for t in texts]
+        new = set().union(*filter(None, split)).difference(self.known)
         for run in new.intersection(self.before):
             self.known[run] = self.before[run]
         self._learn(sorted(new.difference(self.before)))
@@ -97,10 +128,10 @@ def load(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and ``end_id``, cut after every ``capacity`` ids.
 
-    ``ids`` is binary, little-endian unsigned 32-bit. A null or empty text is one piece with ``end_id`` alone.
+    ``ids`` is binary, little-endian unsigned 32-bit; with ``digests`` there is (ids_crc32 long), their CRC-32, in its place. A null or empty text is one piece with ``end_id`` alone.
     """
     size = 4 * capacity
     end = np.uint32(end_id).tobytes()
@@ -118,12 +149,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: in
             at = np.array(pieces, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(at), pa.array(at.astype(np.int64) * capacity),
-                 pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids"],
+                 pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()) if digests else pa.array(ids, pa.binary())],
+                ["doc_id", "piece", "start", "length", "ids_crc32" if digests else "ids"],
             )
 
     source = pick(docs, id=id_col, text=text_col)
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['id']}, piece int, start long, length long, ids binary")
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['id']}, piece int, start long, length long, {'ids_crc32 long' if digests else 'ids binary'}")
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[float, float, float], weights=WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

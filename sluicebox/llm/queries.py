@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import staging_path
 from .alignment import align
-from .bpe import decode, encode
+from .bpe import digests
 from .common import prepare, stage, table
 from .fingerprint import as_text, edited_likeness
 from .language import languages, learn
@@ -72,18 +72,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces, packed into sequences of 4096 tokens."""
-    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+    return pack(pieces)
 
 
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's byte-level BPE ids and the text decoded from them, as digests."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = encode(table(spark, sf_dir, "documents"), path).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256")
-    )
-    return decode(tokens, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query(
