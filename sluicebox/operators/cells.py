@@ -6,6 +6,7 @@ and the same expressions serve a streaming DataFrame.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
@@ -54,10 +55,11 @@ def replaced(df: DataFrame, column: str, mapping: Mapping[str, str]) -> Cells:
     if not _texts(df, [column]):
         return {}
     folded = {key.strip().lower(): value for key, value in mapping.items()}
-    parts: list[list[Column]] = [[] for _ in range(1 + len(folded) // 4)]
+    parts: list[dict[str, str]] = [{} for _ in range(1 + len(folded) // 4)]
     for key, value in folded.items():
-        parts[zlib.crc32(key.encode()) % len(parts)] += [F.lit(key), F.lit(value)]
-    maps = F.array(*[F.create_map(*p).cast("map<string,string>") for p in parts])
+        parts[zlib.crc32(key.encode()) % len(parts)][key] = value
+    # One text, which the optimizer turns into one literal: the plan has as many nodes for a million entries as for one.
+    maps = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
     key = text.fold_key(_col(column))
     own = F.element_at(maps, (F.crc32(key.cast("binary")) % len(parts) + 1).cast("int"))
     return {column: F.coalesce(F.try_element_at(own, key), _col(column))}

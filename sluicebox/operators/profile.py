@@ -28,7 +28,7 @@ from ..table import (
     require_columns,
     text_columns,
 )
-from .rows import duplicate_groups, key_columns
+from .rows import duplicate_groups, key_columns, repeated_rows
 
 EXAMPLES = 5
 BLOCK_ROWS = 1 << 16
@@ -396,10 +396,14 @@ def repeated_row_numbers(df: DataFrame) -> DataFrame:
 
 
 def _duplicates(df: DataFrame, with_examples: bool) -> tuple[int, list[int]]:
-    count = duplicate_rows(df).first()["duplicate_count"]
+    """How many rows repeat an earlier one, and the first of them. Whole rows are compared only where digests repeat."""
+    repeated = repeated_rows(df)
+    if repeated is None:
+        return 0, []
+    count = duplicate_rows(repeated).first()["duplicate_count"]
     if not count or not with_examples or ROW_NO not in df.columns:
         return count, []
-    first = repeated_row_numbers(df).orderBy(ROW_NO).limit(EXAMPLES).collect()
+    first = repeated_row_numbers(repeated).orderBy(ROW_NO).limit(EXAMPLES).collect()
     return count, [r[ROW_NO] + FIRST_ROW_NUMBER for r in first]
 
 

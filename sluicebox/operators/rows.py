@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import invalid_action
 from ..functions.dates import canonical_date
 from ..functions.text import count_present, render_cell, stable_json, stringify
+from ..session import stage
 from ..table import ROW_NO, data_columns, dtype_of, require_columns, require_row_no
 
 
@@ -39,6 +40,26 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     return df.groupBy(*[_col(c) for c in data_columns(df)]).agg(*aggs)
 
 
+def with_digest(df: DataFrame) -> DataFrame:
+    """``df`` with 128 bits that stand for a row's content; rows of equal content have equal ones. Nulls count by their place."""
+    cells = [_col(c) for c in data_columns(df)]
+    parts = [*cells, *[c.isNull() for c in cells]]
+    return df.withColumns({"__d1": F.xxhash64(*parts), "__d2": F.xxhash64(F.lit(1), *parts)})
+
+
+def repeated_rows(df: DataFrame) -> DataFrame | None:
+    """The rows whose digest others share, staged; None where there are none. Every repeat is among them, and next to nothing else.
+
+    Only digests are grouped, so 16 bytes a row are shuffled. The digests that repeat are staged first: their size is known when the rows are
+    read again, so few of them are broadcast and many are joined by a shuffle.
+    """
+    marked = with_digest(df)
+    again = stage(marked.groupBy("__d1", "__d2").count().where("count > 1").select("__d1", "__d2"), "repeats")
+    if again.isEmpty():
+        return None
+    return stage(marked.join(again, ["__d1", "__d2"], "left_semi").select(*[_col(c) for c in df.columns]), "repeated")
+
+
 def key_columns(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     require_columns(df, keys)
     return [stringify(_col(k), dtype_of(df, k)) for k in keys]
