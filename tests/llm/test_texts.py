@@ -53,6 +53,18 @@ def test_bpe_of_odd_rows(odd, empty):
     assert bpe.decode(bpe.encode(empty, BYTE), BYTE).count() == 0
 
 
+def test_digests_are_those_of_ids(odd):
+    """What the queries return without moving ids equals digests of the ids and texts themselves."""
+    ids = packing.token_pieces(odd, WORD).select("doc_id", "piece", F.crc32("ids").alias("crc")).collect()
+    assert sorted((r.doc_id or -1, r.piece, r.crc) for r in ids) == sorted((r.doc_id or -1, r.piece, r.ids_crc32) for r in packing.token_pieces(odd, WORD, digests=True).collect())
+    library = Tokenizer.from_file(BYTE)
+    want = []
+    for i, text in TEXTS:
+        found = library.encode(text or "", add_special_tokens=False).ids
+        want.append((i or -1, len(found), hashlib.sha256(",".join(map(str, found)).encode()).hexdigest(), hashlib.sha256(library.decode(found, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(odd, BYTE).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule, draw):
     lengths = np.array([draw.choice((1, 5, 90, 700, 4096, draw.randrange(1, 4097))) for _ in range(1500)])
