@@ -13,12 +13,14 @@ from ..functions.text import stable_json, stringify
 from ..session import stage
 from ..table import ROW_NO, data_columns, dtype_of, require_row_no
 from .columns import align_columns
-from .positions import POSITION, with_position
+from .positions import POSITION, source_position, with_position
 from .rows import key_columns
 
 # Bounds of a published score and the numeric tolerance of a match.
 SCORE_MIN, SCORE_MAX = 0.01, 0.99
 NUMERIC_TOLERANCE = 1e-6
+#: Rows of a block of positions whose digests are compared, as a power of two.
+BLOCK_BITS = 10
 
 
 def _col(name: str) -> Column:
@@ -45,15 +47,52 @@ def cells_match(left: Column, left_type: T.DataType, right: Column, right_type:
     return F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= NUMERIC_TOLERANCE).otherwise(same_text)
 
 
-def _positioned(df: DataFrame, columns: Sequence[str], keys: Sequence[str] | None, tag: str) -> DataFrame:
-    aligned = align_columns(df, columns)
-    if keys is None:
-        require_row_no(aligned, "Positional comparison in source order")
-        order = [F.col(ROW_NO)]
-    else:
-        order = canonical_order(aligned, keys)
-    placed = with_position(aligned, order)
-    return placed.select(POSITION, F.lit(True).alias(f"__in_{tag}"), *[_col(c).alias(f"{tag}_{i}") for i, c in enumerate(columns)])
+def _positioned(df: DataFrame, columns: Sequence[str], order: Sequence[Column] | None) -> DataFrame:
+    """``columns`` of every row with its position under ``order``, or by row number where that is None.
+
+    The columns and the values of the order are staged first, so what made ``df`` runs once, although a sort samples its input before it
+    reads it.
+    """
+    if order is None:
+        require_row_no(df, "Positional comparison in source order")
+    keys = {f"__k{i}": c for i, c in enumerate(order or [])}
+    tie = [ROW_NO] if ROW_NO in df.columns else []
+    staged = stage(df.select(*[_col(c) for c in columns], *tie, *[c.alias(k) for k, c in keys.items()]), "compared")
+    if order is None:
+        return source_position(staged)
+    return with_position(staged, [F.col(k) for k in keys], columns=columns)
+
+
+def _block() -> Column:
+    return F.shiftright(POSITION, BLOCK_BITS).alias("__block")
+
+
+def _block_digests(df: DataFrame, cells: Sequence[Column], never: Column, tag: str) -> DataFrame:
+    """Per block of positions its rows and 128 bits that stand for its cells and their places; ``never`` marks rows that equal none."""
+    parts = [F.col(POSITION), *cells, *[c.isNull() for c in cells]]
+    return df.groupBy(_block()).agg(
+        F.struct(
+            F.bit_xor(F.xxhash64(*parts)).alias("d1"), F.bit_xor(F.xxhash64(F.lit(1), *parts)).alias("d2"), F.count("*").alias("n")
+        ).alias(f"__digest_{tag}"),
+        F.count("*").alias(f"__rows_{tag}"),
+        F.coalesce(F.bool_or(never), F.lit(False)).alias(f"__never_{tag}"),
+    )
+
+
+def differing_rows(left: DataFrame, right: DataFrame, left_cells: Sequence[Column], right_cells: Sequence[Column], never: Sequence[Column] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of both sides in blocks of positions that differ, and the number of rows in all other blocks, which agree cell by cell.
+
+    Both sides are staged and hold ``__pos``. A block of 1,024 positions is one digest a side, folded before the shuffle; only these meet.
+    Rows themselves are read again for differing blocks alone, so equal tables shuffle no row. ``never`` marks, for each side, rows that equal no row.
+    """
+    no = never or [F.lit(False), F.lit(False)]
+    met = _block_digests(left, left_cells, no[0], "a").join(_block_digests(right, right_cells, no[1], "b"), "__block", "full_outer")
+    same = (F.col("__digest_a") == F.col("__digest_b")) & ~F.col("__never_a") & ~F.col("__never_b")
+    blocks = stage(met.select("__block", F.coalesce(same, F.lit(False)).alias("__same"), F.col("__rows_a").alias("__rows")), "blocks")
+    agreed = blocks.agg(F.sum(F.when(F.col("__same"), F.col("__rows")))).first()[0] or 0
+    unequal = blocks.where(~F.col("__same")).select("__block")
+    left, right = (side.withColumn("__block", _block()).join(unequal, "__block", "left_semi").drop("__block") for side in (left, right))
+    return left, right, agreed
 
 
 def match_ratio(
@@ -66,26 +105,43 @@ def match_ratio(
     """CM-2: share of equal cells after lining both tables up by position; one row.
 
     ``keys`` is the canonical sort key, or None to keep source order. Positions are unique,
-    so the outer join cannot be skewed; a row without a partner meets blanks.
+    so the outer join cannot be skewed; a row without a partner meets blanks. Blocks of positions whose digests agree are counted without their rows.
     """
-    left = _positioned(current, columns, keys, "a")
-    right = _positioned(expected, columns, keys, "b")
+    sides = []
+    for df in (current, expected):
+        aligned = align_columns(df, columns)
+        sides.append(_positioned(aligned, columns, None if keys is None else canonical_order(aligned, keys)))
+    texts = [[stringify(_col(c), dtype_of(side, c)) for c in columns] for side in sides]
+    left, right, agreed = differing_rows(*sides, *texts, [_not_finite(side, numeric) for side in sides])
+    left, right = (
+        side.select(POSITION, F.lit(True).alias(f"__in_{tag}"), *[_col(c).alias(f"{tag}_{i}") for i, c in enumerate(columns)])
+        for side, tag in ((left, "a"), (right, "b"))
+    )
     per_row = F.lit(0)
     for i, c in enumerate(columns):
         hit = cells_match(_col(f"a_{i}"), dtype_of(left, f"a_{i}"), _col(f"b_{i}"), dtype_of(right, f"b_{i}"), c in numeric)
         per_row = per_row + hit.cast("int")
     joined = left.join(right, POSITION, "full_outer")
     out = joined.agg(
-        F.coalesce(F.sum(per_row), F.lit(0)).cast("bigint").alias("matches"),
-        (F.greatest(F.count("*"), F.lit(1)) * len(columns)).cast("bigint").alias("cells"),
-        F.count("__in_a").alias("current_rows"),
-        F.count("__in_b").alias("expected_rows"),
+        (F.coalesce(F.sum(per_row), F.lit(0)) + agreed * len(columns)).cast("bigint").alias("matches"),
+        (F.greatest(F.count("*") + agreed, F.lit(1)) * len(columns)).cast("bigint").alias("cells"),
+        (F.count("__in_a") + agreed).alias("current_rows"),
+        (F.count("__in_b") + agreed).alias("expected_rows"),
     )
     # An empty comparison is one blank row against another: every cell matches.
     matches = F.when(F.greatest("current_rows", "expected_rows") == 0, F.col("cells")).otherwise(F.col("matches"))
     return out.withColumn("matches", matches).withColumn("ratio", F.col("matches") / F.col("cells"))
 
 
+def _not_finite(df: DataFrame, numeric: Sequence[str]) -> Column:
+    """Rows with a number that equals no number, itself included: their texts may be equal, and the cells still differ."""
+    odd = F.lit(False)
+    for c in numeric:
+        number = grading_number(_col(c), dtype_of(df, c))
+        odd = odd | F.coalesce(F.isnan(number - number), F.lit(False))
+    return odd
+
+
 def clamp_score(ratio: Column) -> Column:
     """CM-4 / CM-8."""
     return F.round(F.least(F.greatest(ratio, F.lit(SCORE_MIN)), F.lit(SCORE_MAX)), 6)
@@ -101,23 +157,28 @@ def change_footprint(
     """CM-5: changed rows, exact changed-cell counts per column, and the wide column set; one row.
 
     Rows pair by position, or by source row number with ``by_row`` (no sort needed, for plans
-    that never reorder). ``columns`` lists every column of both tables as soon as one row
+    that never reorder). By position, blocks of rows whose digests agree are passed over. ``columns`` lists every column of both tables as soon as one row
     changed; ``changed_cells`` counts per column exactly.
     """
     names = list(dict.fromkeys([*data_columns(before), *data_columns(after)]))
     key = ROW_NO if by_row else POSITION
 
-    def side(df: DataFrame, order: Sequence[Column] | None, tag: str) -> DataFrame:
-        placed = df if by_row else with_position(df, order or [F.col(ROW_NO)])
-        held = set(data_columns(df))
-        cells = [
-            (stringify(_col(c), dtype_of(df, c)) if _is_float(df, c) else _col(c).cast("string")).alias(f"{tag}_{i}")
-            for i, c in enumerate(names)
-            if c in held
-        ]
-        return placed.select(key, F.lit(True).alias(f"__in_{tag}"), *cells)
-
-    left, right = side(before, before_order, "a"), side(after, after_order, "b")
+    def cells(df: DataFrame) -> list[Column]:
+        return [stringify(_col(c), dtype_of(df, c)) if _is_float(df, c) else _col(c).cast("string") for c in names if c in df.columns]
+
+    if not by_row:
+        sides = [_positioned(df, data_columns(df), order) for df, order in ((before, before_order), (after, after_order))]
+        before, after = sides
+        # Tables of other columns differ in every row.
+        if set(data_columns(before)) == set(data_columns(after)):
+            before, after, _ = differing_rows(*sides, *[cells(side) for side in sides])
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        held = [i for i, c in enumerate(names) if c in df.columns]
+        texts = [c.alias(f"{tag}_{i}") for i, c in zip(held, cells(df), strict=True)]
+        return df.select(key, F.lit(True).alias(f"__in_{tag}"), *texts)
+
+    left, right = side(before, "a"), side(after, "b")
     joined = left.join(right, key, "full_outer")
     diffs: list[Column] = []
     for i in range(len(names)):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,13 +14,15 @@ from pyspark.sql import types as T
 from ..errors import invalid_action
 from ..functions.numbers import format_calculated, numeric_value
 from ..functions.text import is_missing
+from ..session import stage
 from ..table import ROW_NO, dtype_of, replace_columns, require_columns, require_row_no
 from .cells import fill_marks, filled
 
 STRATEGIES = ("explicit", "mean", "median", "most_common")
 _NOT_NUMERIC = "A mean or median fill needs a column of numbers."
-#: Parts into which a round of the median search cuts its bracket.
-CUTS = 64
+#: Bits of an ordered number that one scan of the median search settles.
+DIGIT_BITS = 16
+_BELOW_SIGN = (1 << 63) - 1
 FILL_BLOCK_ROWS = 1 << 18
 
 
@@ -57,38 +62,43 @@ def most_common_value(df: DataFrame, column: str) -> DataFrame:
     return counts.agg(F.max_by("v", F.struct("n", -F.col("first"))).alias("fill"))
 
 
+def ordered_bits(number: Column) -> Column:
+    """A double as a long of the same order: its bits, turned over below the sign where it is negative. Both zeros are one number."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), number + F.lit(0.0)).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(_BELOW_SIGN)))
+
+
+def _number_of(ordered: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", ordered if ordered >= 0 else ordered ^ _BELOW_SIGN))[0]
+
+
 def exact_median(df: DataFrame, column: str) -> float | None:
-    """CL-9: the exact median of the numbers in a column, with a state of constant size.
+    """CL-9: the exact median of the numbers in a column, by histograms of constant size.
 
-    A bracket [low, high] of values is known to hold the wanted rank. Each round cuts it at approximate quantiles, which
-    are values of the column, counts the parts, and goes on with the smallest and largest value of the part that holds the rank. The
-    values at both ends are parts of their own, so every round gets on, and no buffer of values is ever kept.
+    The numbers are staged once as longs of the same order, 8 bytes a row. A scan counts 2^16 values of the next 16 bits among the numbers that
+    begin as the wanted one does, so four scans settle all 64 bits, whatever the numbers are. Where the two middle numbers part, one scan finds both.
     """
     values = _numeric_stats(df, column)
-    total = values.agg(
-        F.count("v").alias("n"), F.count_if(F.col("present")).alias("present"), F.min("v").alias("low"), F.max("v").alias("high")
-    ).first()
-    if not total["n"] or total["n"] != total["present"]:
-        raise invalid_action(_NOT_NUMERIC)
-    rank = (total["n"] - 1) // 2
-    low, high, before = total["low"], total["high"], 0
-    while low < high:
-        inside = values.where(F.col("v").between(low, high))
-        fractions = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-        cuts = sorted(set(inside.agg(F.percentile_approx("v", fractions, 100 * CUTS)).first()[0]) | {high})
-        part = (F.col("v") > low).cast("int")
-        for cut in cuts:
-            part = part + (F.col("v") >= cut).cast("int")
-        counts = inside.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        for r in sorted(counts.collect(), key=lambda r: r["part"]):
-            if rank < before + r["n"]:
-                low, high = r["low"], r["high"]
-                break
-            before += r["n"]
-    if total["n"] % 2:
-        return float(low)
-    after = values.agg(F.count_if(F.col("v") <= low).alias("n"), F.min(F.when(F.col("v") > low, F.col("v"))).alias("next")).first()
-    return float(low if after["n"] > rank + 1 else (low + after["next"]) / 2)
+    ordered = stage(values.where("present").select(F.when(F.col("v").isNotNull(), ordered_bits(F.col("v"))).alias("k")), "median")
+    inside, ranks = ordered, None
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        digit = F.shiftright("k", shift)
+        counts = dict(inside.groupBy(digit.alias("digit")).count().collect())
+        if ranks is None:
+            if not counts or None in counts:
+                raise invalid_action(_NOT_NUMERIC)
+            n = sum(counts.values())
+            ranks = ((n - 1) // 2, n // 2)
+        digits, skipped = sorted(counts), list(accumulate([0, *(counts[d] for d in sorted(counts))]))
+        low, high = (bisect_right(skipped, r) - 1 for r in ranks)
+        if low != high:
+            ends = inside.agg(
+                F.max(F.when(digit == digits[low], F.col("k"))).alias("low"), F.min(F.when(digit == digits[high], F.col("k"))).alias("high")
+            ).first()
+            return (_number_of(ends["low"]) + _number_of(ends["high"])) / 2
+        ranks = tuple(r - skipped[low] for r in ranks)
+        inside = ordered.where(digit == digits[low])
+    return _number_of(digits[low])
 
 
 def fill_value(df: DataFrame, column: str, strategy: str, value: str | None = None) -> Column | str:

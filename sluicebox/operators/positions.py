@@ -16,8 +16,10 @@ _SLOT_BITS = 33
 _SLOT_MASK = (1 << _SLOT_BITS) - 1
 
 
-def with_position(df: DataFrame, order: Sequence[Column], ascending: Sequence[bool] | None = None) -> DataFrame:
-    """Add ``__pos``: 0-based position of every row under ``order`` (nulls first going up, last going down).
+def with_position(
+    df: DataFrame, order: Sequence[Column], ascending: Sequence[bool] | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """``columns`` (all, unless named) and ``__pos``: 0-based position of every row under ``order`` (nulls first going up, last going down).
 
     The rows are range-partitioned and sorted by the order plus a row tie-break, so even a
     run of equal keys spreads over tasks. ``monotonically_increasing_id`` then encodes
@@ -27,13 +29,14 @@ def with_position(df: DataFrame, order: Sequence[Column], ascending: Sequence[bo
     spark = df.sparkSession
     tie = F.col(ROW_NO) if ROW_NO in df.columns else F.monotonically_increasing_id()
     names = [f"__o{i}" for i in range(len(order))]
-    keyed = df.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)], tie.alias("__tie"))
+    kept = df.columns if columns is None else list(columns)
+    keyed = df.select(*[f"`{c}`" for c in kept], *[c.alias(n) for c, n in zip(order, names, strict=True)], tie.alias("__tie"))
     up = ascending or [True] * len(order)
     sort_by = [*[F.col(n).asc() if a else F.col(n).desc() for n, a in zip(names, up, strict=True)], F.col("__tie").asc()]
     ordered = (
         keyed.repartitionByRange(*sort_by)
         .sortWithinPartitions(*sort_by)
-        .select(*[f"`{c}`" for c in df.columns], F.monotonically_increasing_id().alias("__slot"))
+        .select(*[f"`{c}`" for c in kept], F.monotonically_increasing_id().alias("__slot"))
     )
     staged = stage(ordered, "positions")
     part = F.shiftright("__slot", _SLOT_BITS)
@@ -47,5 +50,17 @@ def with_position(df: DataFrame, order: Sequence[Column], ascending: Sequence[bo
         staged.withColumn("__part", part)
         .join(F.broadcast(offsets), "__part")
         .withColumn(POSITION, F.col("__start") + F.col("__slot").bitwiseAND(F.lit(_SLOT_MASK)))
-        .select(*[f"`{c}`" for c in df.columns], POSITION)
+        .select(*[f"`{c}`" for c in kept], POSITION)
     )
+
+
+def source_position(df: DataFrame) -> DataFrame:
+    """Add ``__pos``: 0-based position of every row by its row number, which no two rows share.
+
+    ``df`` is read twice, so pass a staged table. Row numbers without gaps are positions but for their start, so nothing is sorted or moved;
+    where rows have gone the rows are sorted.
+    """
+    facts = df.agg(F.count("*").alias("n"), F.min(ROW_NO).alias("low"), F.max(ROW_NO).alias("high")).first()
+    if facts["n"] and facts["high"] - facts["low"] + 1 == facts["n"]:
+        return df.withColumn(POSITION, F.col(ROW_NO).cast("bigint") - F.lit(facts["low"]))
+    return with_position(df, [F.col(ROW_NO)])

@@ -7,6 +7,7 @@ from sluicebox.errors import TableError
 from sluicebox.operators import cells, columns, compare, fills, rows
 from sluicebox.operators.positions import POSITION, with_position
 from sluicebox.plans import actions as A
+from sluicebox.session import stage
 from sluicebox.table import ROW_NO, display_names, preview
 
 from .conftest import column
@@ -234,3 +235,17 @@ def test_fills_widen_number_columns(spark):
 def test_median_is_exact(spark, numbers):
     df = spark.createDataFrame([(x,) for x in numbers], "n double")
     assert fills.exact_median(df, "n") == statistics.median(numbers)
+
+
+@pytest.mark.parametrize("numbers", [[-0.0, 0.0], [-1e308, -5e-324, 5e-324, 1e308], [-2.5, -2.25], [3.0] * 5, [1.0, 1.0000000000000002], [-7.0, float("inf"), 2.0]])
+def test_median_of_close_and_far_numbers(spark, numbers):
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(numbers)], f"n double, {ROW_NO} bigint")
+    assert fills.exact_median(df, "n") == statistics.median(numbers)
+
+
+def test_median_stages_its_numbers_once(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(fills, "stage", lambda df, label: staged.append(label) or stage(df, label))
+    df = spark.range(0, 5000, 1, 4).select((F.col("id") * F.col("id") / 7 - 1000).alias("n"), F.col("id").alias(ROW_NO))
+    assert fills.exact_median(df, "n") == statistics.median(i * i / 7 - 1000 for i in range(5000))
+    assert staged == ["median"]

@@ -7,6 +7,7 @@ from sluicebox.errors import TableError
 from sluicebox.functions.numbers import infer_gold_text
 from sluicebox.operators import compare
 from sluicebox.operators.cells import trim_whitespace
+from sluicebox.operators.positions import source_position
 from sluicebox.plans import actions as A
 from sluicebox.plans import packs, rulepack
 from sluicebox.plans.history import TablePlan, append_audit, latest_audit, plan_metrics
@@ -167,6 +168,35 @@ def test_footprint(spark, table):
     assert compare.change_footprint(t, shorter, by_row=True).first()["row_count"] == 1
 
 
+@pytest.mark.parametrize("gap", [False, True])
+def test_match_ratio_over_many_blocks(spark, gap):
+    """Equal blocks, a changed cell, a number that equals no number, and rows beyond the end of one side."""
+    kept = f"{ROW_NO} % 1000 <> 999" if gap else "true"
+    left = spark.range(0, 6000, 1, 5).select(F.col("id").cast("string").alias("n"), (F.col("id") % 7).cast("string").alias("v"), F.col("id").alias(ROW_NO)).where(kept)
+    left = left.withColumn("n", F.when(F.col(ROW_NO) == 2100, "1e999").otherwise(F.col("n")))
+    right = left.where(f"{ROW_NO} < 5500").withColumn("v", F.when(F.col(ROW_NO) == 4200, "other").otherwise(F.col("v")))
+    rows, other = left.count(), right.count()
+    for keys in (None, ["n"]):
+        m = compare.match_ratio(left, right, ["n", "v"], keys, ["n"]).first()
+        assert (m["current_rows"], m["expected_rows"], m["cells"]) == (rows, other, 2 * rows)
+        if keys is None:
+            assert m["matches"] == 2 * other - 2
+    same = compare.match_ratio(left, left, ["v"], None).first()
+    assert (same["matches"], same["cells"]) == (rows, rows)
+
+
+def test_only_rows_of_differing_blocks_are_read_again(spark):
+    left = spark.range(0, 8192, 1, 4).select(F.col("id").cast("string").alias("v"), F.col("id").alias(ROW_NO))
+    right = left.withColumn("v", F.when(F.col(ROW_NO) == 5000, "x").otherwise(F.col("v")))
+    sides = [source_position(df) for df in (left, right)]
+    a, b, agreed = compare.differing_rows(*sides, [F.col("v")], [F.col("v")])
+    assert (a.count(), b.count(), agreed) == (1024, 1024, 7168)
+    a, b, agreed = compare.differing_rows(sides[0], sides[0], [F.col("v")], [F.col("v")])
+    assert (a.count(), b.count(), agreed) == (0, 0, 8192)
+    f = compare.change_footprint(left, right).first()
+    assert (f["row_count"], f["changed_cells"]) == (1, {"v": 1})
+
+
 def test_keyed_diff(spark):
     now = spark.createDataFrame([("1", "a", 0), ("2", "b", 1), ("4", None, 2), ("1", "z", 3)], f"k string, v string, {ROW_NO} bigint")
     was = spark.createDataFrame([("1", "old", 0), ("1", "a", 1), ("3", "c", 2), ("4", "", 3)], f"k string, v string, {ROW_NO} bigint")
