@@ -66,7 +66,19 @@ RULES = {
     "MPL-2.0": [["mpl-1"]],
     "Unlicense": [["unlicense-1"]],
 }
+# Other names that licence identifiers of files have.
+ALSO_NAMED = {"GPL-2.0": ["GPL-2.0-only"], "GPL-3.0": ["GPL-3.0-only"]}
+SPDX = {
+    f"spdx-{name.lower()}": (rule, f"SPDX {name}")
+    for rule in RULES
+    if rule != "All-Rights-Reserved"
+    for name in [rule, *ALSO_NAMED.get(rule, [])]
+}
+SENTENCES |= {name: text for name, (_, text) in SPDX.items()}
+RULES = {rule: [*ways, *[[name] for name, (r, _) in SPDX.items() if r == rule]] for rule, ways in RULES.items()}
 _ENDS = r"[.!?;:]+(\s+|$)"
+#: A line that names a licence becomes a sentence of its own, which SENTENCES holds.
+_SPDX_LINE, _SPDX_SENTENCE = "spdx-license-identifier:[ \t]*([a-z0-9.+-]+)", "\x01spdx {}\x01"
 
 
 def normalised(sentence: str) -> list[str]:
@@ -75,8 +87,8 @@ def normalised(sentence: str) -> list[str]:
     return [p for p in (re.sub("[^a-z0-9]+", " ", part).strip() for part in parts) if p]
 
 
-#: Every part holds one of these words or is the 2.0 that mpl-1 is cut at, so that other texts need no sentences.
-MAY = r"(?i)licen[sc]e|copyright|redistribut|permission|rights|domain|warrant|software|(?<![a-z0-9])2[^a-z0-9]+0(?![a-z0-9])"
+#: Every part, and every line that names a licence, holds one of these words or is the 2.0 that mpl-1 is cut at, so that other texts need no sentences.
+MAY = r"(?i)spdx|licen[sc]e|copyright|redistribut|permission|rights|domain|warrant|software|(?<![a-z0-9])2[^a-z0-9]+0(?![a-z0-9])"
 #: Identifier of every part; a sentence that is cut has its number after a dot from the second part on.
 PARTS = {part: name if i == 0 else f"{name}.{i}" for name, text in SENTENCES.items() for i, part in enumerate(normalised(text))}
 #: The identifiers that a rule asks for, with those of all parts.
@@ -88,30 +100,43 @@ CONTAINED = {
     a: [b for b in SEQUENCES if a != b and any(set(x) < set(y) for x in SEQUENCES[a] for y in SEQUENCES[b])] for a in SEQUENCES
 }
 _FLOW = "\x01"
+#: The third clause of BSD-3-Clause names a holder: up to 20 words of a name stand between its fixed words. A name with a full stop cuts the sentence, and its
+#: second half begins with ``nor the names``.
+_HOLDER = "(?:neither the|nor the|the) names? (?:[a-z0-9]+ ){1,20}used to endorse or promote products derived from this software without (?:specific )?prior written permission"
+_HELD = next(p for p in PARTS if PARTS[p] == "bsd-4")
+
+
+def _on_lines(pattern: str) -> str:
+    return re.sub(r"(?<!\[) ", r"[ \\n]", pattern)
 
 
 #: Known parts over whole lines, however they are wrapped; the longest one that begins at a line comes first.
-_WRAPPED = r"(?m)^(?:" + "|".join(p.replace(" ", r"[ \n]") for p in sorted(PARTS, key=len, reverse=True)) + ")$"
+_WRAPPED = r"(?m)^(?:" + "|".join(_on_lines(p) for p in [*sorted(PARTS, key=len, reverse=True), _HOLDER]) + ")$"
 
 
 def identifiers(text: Column) -> Column:
     """Known sentences of a text in order, as ``,a,b,``. A line break, also a blank line, ends a sentence; a sentence may also run over line breaks.
 
-    Where a run of lines is a known sentence, single lines of it that are known too are named before it.
+    Where a run of lines is a known sentence, single lines of it that are known too are named before it. The clause of a named holder counts as the one of
+    the copyright holder, and a line ``SPDX-License-Identifier: X`` as the sentence ``SPDX X``.
     """
-    ended = F.regexp_replace(F.lower(text), _ENDS, _FLOW)
+    named = F.regexp_replace(F.lower(text), _SPDX_LINE, _SPDX_SENTENCE.format("$1"))
+    ended = F.regexp_replace(named, _ENDS, _FLOW)
 
     known = F.create_map(*[F.lit(x) for item in PARTS.items() for x in item])
     flowing = F.split(ended, _FLOW)
 
+    def lookup(words: Column) -> Column:
+        return F.element_at(known, F.regexp_replace(words, f"^{_HOLDER}$", _HELD))
+
     def of_run(run: Column) -> Column:
         lines = F.when(run.contains("\n"), F.split(run, "\n")).otherwise(F.array().cast("array<string>"))
-        return F.filter(F.transform(F.concat(lines, F.array(F.translate(run, "\n", " "))), lambda x: F.element_at(known, x)), lambda x: x.isNotNull())
+        return F.filter(F.transform(F.concat(lines, F.array(F.translate(run, "\n", " "))), lookup), lambda x: x.isNotNull())
 
     def of_one(sentence: Column) -> Column:
         whole = F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
         lines = F.regexp_replace(F.regexp_replace(sentence, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
-        hit = F.element_at(known, whole)
+        hit = lookup(whole)
         runs = F.regexp_extract_all(F.trim(lines), F.lit(_WRAPPED), 0)
         return F.when(hit.isNotNull(), F.array(hit)).otherwise(F.flatten(F.transform(runs, of_run)))
 

@@ -15,7 +15,7 @@ from .bpe import digests
 from .common import prepare, stage, table
 from .fingerprint import as_text, edited_likeness
 from .language import languages, learn
-from .licenses import CONTAINED, PARTS, SEQUENCES, scan
+from .licenses import _HELD, _HOLDER, _SPDX_LINE, _WRAPPED, CONTAINED, PARTS, SEQUENCES, scan
 from .minhash import near_duplicates
 from .neighbours import nearest
 from .packing import pack, token_pieces
@@ -177,22 +177,30 @@ def _license_sql() -> str:
         r: " OR ".join(f"regexp_matches(known, '{',' + ',(?:.*,)?'.join(re.escape(i) for i in way) + ','}')" for way in ways) for r, ways in SEQUENCES.items()
     }
     names = ", ".join(f"CASE WHEN ({rule[r]}){''.join(f' AND NOT ({rule[o]})' for o in CONTAINED[r])} THEN '{r}' END" for r in SEQUENCES)
+    text = rf"regexp_replace(regexp_replace(lower(coalesce(text, '')), '{_SPDX_LINE}', chr(1) || 'spdx \1' || chr(1), 'g'), '[.!?;:]+(\s+|$)', chr(1), 'g')"
+
+    def held(words: str) -> str:
+        return f"regexp_replace({words}, '^{_HOLDER}$', '{_HELD}')"
+
     return rf"""
     WITH known(part, name) AS (VALUES {known}
     ), flowing AS (
-      SELECT doc_id, unnest(string_split(regexp_replace(lower(coalesce(text, '')), '[.!?;:]+(\s+|$)', chr(1), 'g'), chr(1))) AS s,
-        generate_subscripts(string_split(regexp_replace(lower(coalesce(text, '')), '[.!?;:]+(\s+|$)', chr(1), 'g'), chr(1)), 1) AS i
-      FROM documents
+      SELECT doc_id, unnest(string_split({text}, chr(1))) AS s, generate_subscripts(string_split({text}, chr(1)), 1) AS i FROM documents
     ), whole AS (
-      SELECT doc_id, i, s, name FROM flowing LEFT JOIN known ON part = trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))
+      SELECT doc_id, i, s, name FROM flowing LEFT JOIN known ON part = {held("trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))")}
     ), lines AS (
-      SELECT doc_id, i, unnest(string_split(s, chr(10))) AS line, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM whole WHERE name IS NULL
+      SELECT doc_id, i, trim(regexp_replace(regexp_replace(s, '[^a-z0-9\n]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS l FROM whole WHERE name IS NULL
+    ), runs AS (
+      SELECT doc_id, i, unnest(regexp_extract_all(l, '{_WRAPPED}')) AS run, generate_subscripts(regexp_extract_all(l, '{_WRAPPED}'), 1) AS j FROM lines
+    ), pieces AS (
+      SELECT doc_id, i, j, replace(run, chr(10), ' ') AS part, 1000000 AS k FROM runs
+      UNION ALL SELECT doc_id, i, j, unnest(string_split(run, chr(10))), generate_subscripts(string_split(run, chr(10)), 1) FROM runs WHERE contains(run, chr(10))
     ), found AS (
-      SELECT doc_id, i, 0 AS j, name FROM whole WHERE name IS NOT NULL
-      UNION ALL SELECT doc_id, i, j, known.name FROM lines JOIN known ON part = trim(regexp_replace(line, '[^a-z0-9]+', ' ', 'g'))
+      SELECT doc_id, i, 0 AS j, 0 AS k, name FROM whole WHERE name IS NOT NULL
+      UNION ALL SELECT doc_id, i, j, k, known.name FROM pieces JOIN known ON known.part = {held("pieces.part")}
     ), joined AS (
       SELECT d.doc_id, coalesce(sentences, '') AS sentences, ',' || coalesce(sentences, '') || ',' AS known
-      FROM documents d LEFT JOIN (SELECT doc_id, string_agg(name, ',' ORDER BY i, j) AS sentences FROM found GROUP BY doc_id) f USING (doc_id)
+      FROM documents d LEFT JOIN (SELECT doc_id, string_agg(name, ',' ORDER BY i, j, k) AS sentences FROM found GROUP BY doc_id) f USING (doc_id)
     )
     SELECT doc_id, sentences, concat_ws(',', {names}) AS licenses FROM joined
     """

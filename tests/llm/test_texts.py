@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -306,6 +307,55 @@ def test_every_part_passes_the_prefilter(spark):
     assert sorted((r.doc_id, r.sentences, r.licenses) for r in got) == sorted(con.execute(SQL["op10_licenses"]).fetchall())
 
 
+def wrapped(*names, width=60, mark=""):
+    """Sentences as a notice prints them: joined, and broken into lines."""
+    return "\n".join(mark + line for line in textwrap.wrap(" ".join(SENTENCES[n] for n in names), width))
+
+
+def clause(holder, ending="nor the names of its contributors may"):
+    return f"Neither the name of {holder} {ending} be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_notices_with_line_breaks_equal_sql(spark):
+    import duckdb
+
+    from sluicebox.llm.queries import SQL
+
+    head, mit, bsd2 = "Copyright (c) 2024 Jane Roe\n\n", wrapped("mit-1", "mit-2", "warranty-1"), wrapped("bsd-1", "bsd-2", "bsd-3")
+    listed = "\n".join(f"{i}. {wrapped(n, width=50)}" for i, n in enumerate(["bsd-2", "bsd-3"], 1))
+    notices = [
+        ("MIT License\n\n" + head + mit, "MIT"),
+        ("The MIT License (MIT)\n" + head + mit.replace("\n", "\n\n"), "MIT"),
+        (head + "All rights\nreserved.\n" + mit, "All-Rights-Reserved,MIT"),
+        (wrapped("mit-1", "mit-2", "warranty-1", mark=" * "), "MIT"),
+        (head + bsd2, "BSD-2-Clause"),
+        (head + bsd2 + "\n" + wrapped("bsd-4"), "BSD-3-Clause"),
+        (head + bsd2 + "\n\n3. " + "\n".join(textwrap.wrap(clause("Jane Roe"), 60)), "BSD-3-Clause"),
+        (head + bsd2 + "\n\n* " + clause("the University of Somewhere"), "BSD-3-Clause"),
+        (head + bsd2 + "\n" + clause("Roe, Doe & Sons, Inc."), "BSD-3-Clause"),
+        (head + bsd2 + "\n3. " + clause("X").replace("Neither the name of X nor the names of its contributors may", "The name of the author may not"), "BSD-3-Clause"),
+        (head + wrapped("bsd-1") + "\n" + listed + "\n3. " + clause("Jane Roe", "nor the names of its\ncontributors may"), "BSD-3-Clause"),
+        (head + wrapped("bsd-1") + "\n" + listed, "BSD-2-Clause"),
+        ("A title\n" + wrapped("apache-1", "apache-2", "apache-3", width=70) + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + wrapped("apache-4", "apache-5", width=70), "Apache-2.0"),
+        (wrapped("gpl-1-v2", "gpl-2", "gpl-3", mark="# "), "GPL-2.0-or-later"),
+        (wrapped("gpl-1-v3", width=40) + "\n\n" + wrapped("gpl-2", "gpl-3", width=40), "GPL-3.0-or-later"),
+        ("ISC License\n" + head + wrapped("isc-1"), "ISC"),
+        ("// SPDX-License-Identifier: MIT\nint main;", "MIT"),
+        ("# spdx-license-identifier:GPL-2.0-only", "GPL-2.0"),
+        ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later.", "GPL-3.0-or-later"),
+        ("SPDX-License-Identifier: Unknown-1.0", ""),
+        ("The name of the game is to promote products.", ""),
+    ]
+    rows = [(i, t) for i, (t, _) in enumerate(notices)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = {r.doc_id: (r.sentences, r.licenses) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(notices[i][0], got[i][1]) for i in sorted(got)] == notices
+    assert {i: (s, names) for i, s, names in con.execute(SQL["op10_licenses"]).fetchall()} == got
+
+
 @pytest.mark.parametrize("name", ["op5_warc", "op10_licenses"])
 def test_query_equals_sql(spark, name):
     from .sql import compare
