@@ -22,7 +22,7 @@ STATISTICS = 20
 FEATURES = 256
 RIDGE = 1e-4
 BINS = 512
-_TREE = 16
+_FAN = 64
 
 
 def statistics(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -72,7 +72,10 @@ def _numbers(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, of, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all rows of ``of(batch)``: in each partition, then in a tree of ``_TREE`` tasks, then here."""
+    """The sum over all rows of ``of(batch)``: in each partition, then by ``_FAN`` partitions, then by ``_FAN`` of those, then here.
+
+    A task adds up at most ``_FAN`` sums, and one sum for ``_FAN`` ** 2 partitions reaches the driver.
+    """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -84,9 +87,13 @@ def _summed(rows: DataFrame, of, shape: tuple[int, ...]) -> np.ndarray:
     def add(rows: pa.Table) -> pa.Table:
         return pa.table({"total": pa.array([np.sum([np.frombuffer(x) for x in rows.column("total").to_pylist()], axis=0).tobytes()], pa.binary())})
 
-    sums = rows.mapInArrow(parts, "total binary").withColumn("branch", F.pmod(F.monotonically_increasing_id().bitwiseXOR(F.shiftright(F.monotonically_increasing_id(), 33)), F.lit(_TREE)))
-    few = sums.groupBy("branch").applyInArrow(lambda t: add(t), "total binary")
-    return np.sum([np.frombuffer(r["total"]) for r in few.collect()] or [np.zeros(shape).ravel()], axis=0).reshape(shape)
+    def step(key: tuple, rows: pa.Table) -> pa.Table:
+        return add(rows).append_column("branch", pa.array([key[0].as_py() // _FAN], pa.int32()))
+
+    sums = rows.mapInArrow(parts, "total binary").withColumn("branch", F.floor(F.spark_partition_id() / _FAN).cast("int"))
+    for _ in range(2):
+        sums = sums.groupBy("branch").applyInArrow(step, "total binary, branch int")
+    return np.sum([np.frombuffer(r["total"]) for r in sums.select("total").collect()] or [np.zeros(shape).ravel()], axis=0).reshape(shape)
 
 
 def isotonic(positive: np.ndarray, count: np.ndarray) -> np.ndarray:

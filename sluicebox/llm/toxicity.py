@@ -170,6 +170,22 @@ class Scorer:
         return 1 / (1 + np.exp(-(self.model.logits(best).astype(float) + self.model.shift)))
 
 
+def lowest_hashes(known: DataFrame, sample: int) -> DataFrame:
+    """``known`` (id, label, lang) without rows that are certainly not among the ``sample`` lowest hashes of ids of their label and language.
+
+    Rows are counted by the length in bits of their hash, 64 counts for each group, and the least length is taken below which there are
+    ``sample`` rows. Each further bit doubles the rows, so about twice ``sample`` remain at most, and no group meets in one task.
+    """
+    order = F.xxhash64("id").bitwiseXOR(F.lit(-(2**63)))  # unsigned order of these bits is the order of the hashes
+    sized = known.withColumn("bits", F.length(F.bin(F.shiftrightunsigned(order, 1))))
+    below = F.sum("n").over(Window.partitionBy("label", "lang").orderBy("bits")) - F.col("n")
+    counts = sized.groupBy("label", "lang", "bits").agg(F.count("*").alias("n"))
+    limits = counts.withColumn("below", below).where(F.col("below") < sample).groupBy("label", "lang").agg(F.max("bits").alias("most"))
+    limits = stage(limits.select(F.col("label").alias("of_label"), F.col("lang").alias("of_lang"), "most"), "limits")
+    near = (F.col("label") == F.col("of_label")) & F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("bits") <= F.col("most"))
+    return sized.join(limits, near).select(*known.columns)
+
+
 def train_model(
     docs: DataFrame, labels: DataFrame, teach: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, lang_col: str = "lang"
 ) -> ToxicityModel:
@@ -178,6 +194,8 @@ def train_model(
     Each class takes its rows from the languages in turn (a null one is a language too), within a language by a hash of their ids, so that a rare language is
     drawn as far as it goes. Without ``lang_col`` all rows are of one language. Only rows with a document are drawn.
 
+    Languages only steer which rows teach. Before rows are ranked, ``lowest_hashes`` leaves about ``sample`` to twice as many of a class and language, however many it has.
+
     Of rows that share an id one text is taken, so the task holds at most ``2 * sample`` texts, as words: 16 bytes for each word beside the distinct
     words, so at most ``32 * sample`` bytes for each word of the longest text.
     """
@@ -186,7 +204,7 @@ def train_model(
     known = stage(known.join(docs.groupBy(F.col(f"`{id_col}`").alias("id")).agg(lang), "id"), "taught")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     turn = F.row_number().over(Window.partitionBy("label", "lang").orderBy(F.xxhash64("id"), "id"))
-    turns = known.withColumn("turn", turn).where(F.col("turn") <= sample)
+    turns = lowest_hashes(known, sample).withColumn("turn", turn).where(F.col("turn") <= sample)
     drawn = [turns.where(F.col("label") == y).orderBy("turn", F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     chosen = stage(drawn[0].union(drawn[1]).select("id", "label"), "sample")
     texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluicebox.llm.quality import isotonic, quality_scores
+from sluicebox.llm.quality import RIDGE, STATISTICS, fit, isotonic, quality_scores
 from sluicebox.llm.queries import QUERIES
-from sluicebox.llm.toxicity import ToxicityModel, language_thresholds, toxicity_scores, train_model
+from sluicebox.llm.toxicity import ToxicityModel, language_thresholds, lowest_hashes, toxicity_scores, train_model
 
 from .conftest import TEXTS
 
@@ -137,3 +137,32 @@ def test_pipeline(spark, tmp_path):
     empty = docs.limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, empty, small).count() == 0, name
+
+
+def test_the_lowest_hashes_remain(spark):
+    known = spark.range(30_000).select("id", (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") % 9 > 0, F.lit("en")).alias("lang")).union(
+        spark.createDataFrame([(-1, 1, "de"), (-2, 1, "de")], "id long, label int, lang string"))
+    left = lowest_hashes(known, 50).withColumn("h", F.xxhash64("id")).collect()
+    groups = {}
+    for r in known.withColumn("h", F.xxhash64("id")).collect():
+        groups.setdefault((r.label, r.lang), []).append((r.h, r.id))
+    for group, rows in groups.items():
+        kept = {(r.h, r.id) for r in left if (r.label, r.lang) == group}
+        assert kept >= set(sorted(rows)[:50]) and len(kept) < 300, group
+    assert lowest_hashes(known.limit(0), 50).count() == 0
+
+
+def test_weights_solve_the_dense_normal_equations(spark):
+    """The tree of partition sums against one matrix of all rows."""
+    draw = np.random.default_rng(3)
+    stats = draw.normal(size=(500, STATISTICS)).astype(np.float32)
+    labels = (stats[:, 0] + stats[:, 1] > 0).astype(int)
+    rows = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(stats, labels))], "doc_id long, stats array<float>, label int")
+    model = fit(rows.repartition(150))
+    taught = {r.doc_id for r in rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) != 0).collect()}
+    at = np.array([i in taught for i in range(500)])
+    x = stats[at].astype(float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, x.std(0))
+    z = model.features(x)
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + RIDGE * len(z) * np.eye(z.shape[1]), z.T @ labels[at]), rtol=1e-6, atol=1e-9)
+
