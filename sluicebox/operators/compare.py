@@ -214,7 +214,8 @@ def keyed_diff(current: DataFrame, baseline: DataFrame, keys: Sequence[str], rem
     Result: the key columns as text, ``status`` (new, changed, unchanged, removed) and the
     changed columns. The baseline is reduced to its last row per key and staged first, so the join is
     many-to-one between two plain shuffles, and adaptive execution splits a hot key of ``current``. Removed
-    keys come from an anti join of the staged keys.
+    keys come from an anti join of the staged keys; for them ``current`` is staged too, so that what made it runs once
+    and only its keys are read again.
     """
     columns = data_columns(current)
     shared = [c for c in columns if c in data_columns(baseline)]
@@ -227,6 +228,8 @@ def keyed_diff(current: DataFrame, baseline: DataFrame, keys: Sequence[str], rem
 
     names = [f"__k{i}" for i in range(len(keys))]
     left = keyed(current, columns, "a").drop(ROW_NO)
+    if removed:
+        left = stage(left, "current")
     base = keyed(baseline, shared, "b")
     row = F.struct(*[f"b_{i}" for i in range(len(shared))])
     pick = F.max_by(row, F.col(ROW_NO)) if ROW_NO in base.columns else F.max(row)

@@ -86,15 +86,36 @@ def export_pack(
 
 
 def publish(spark, exported: str | None, table: str, mode: str = "errorifexists") -> None:
-    """SK-4: promote an exported table to a catalog table; nothing exported, nothing published."""
+    """SK-4: promote an exported table to a catalog table; nothing exported, nothing published, nor an export that is not whole."""
     if not exported:
         raise TableError("not_exported", "Export the cleaned table before publishing it.")
+    verify_export(spark, exported)
     read_export(spark, exported).write.mode(mode).saveAsTable(table)
 
 
 def write_export(table: DataFrame, target: str) -> None:
+    """The table as JSON, its schema, and at last a manifest of its rows and their digest, read off the files just written."""
+    spark = table.sparkSession
     table.write.mode("errorifexists").option("ignoreNullFields", False).json(f"{target}/cleaned")
-    table.sparkSession.createDataFrame([(table.schema.json(),)], "schema string").coalesce(1).write.text(f"{target}/cleaned_schema")
+    spark.createDataFrame([(table.schema.json(),)], "schema string").coalesce(1).write.text(f"{target}/cleaned_schema")
+    _content(read_export(spark, target)).coalesce(1).write.json(f"{target}/manifest")
+
+
+def _content(table: DataFrame) -> DataFrame:
+    """Rows, and 128 bits that stand for them in any order: one row."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]), {"ignoreNullFields": "false"})
+    digests = [F.coalesce(F.sum(F.xxhash64(F.lit(i), row).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"digest_{i}") for i in (0, 1)]
+    return table.agg(F.count("*").alias("rows"), *digests)
+
+
+def verify_export(spark, exported: str) -> None:
+    """Raise unless the export's manifest is there and its files hold what that says."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{exported}/manifest/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise TableError("export_incomplete", "The export was not finished: it has no manifest.")
+    wanted = spark.read.schema("rows bigint, digest_0 string, digest_1 string").json(f"{exported}/manifest").first()
+    if wanted != _content(read_export(spark, exported)).first():
+        raise TableError("export_incomplete", "The files of the export are not those of its manifest.")
 
 
 def read_export(spark, exported: str) -> DataFrame:

@@ -168,6 +168,23 @@ def test_pack_export_and_publish(spark, tmp_path):
     assert spark.table("published_orders").where(F.col("order_date") == "2024-01-20").count() == 1
 
 
+def test_half_an_export_is_not_published(spark, tmp_path):
+    table = spark.range(40).select(F.col("id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("v"), F.array("id").alias("ids"))
+    whole, half, unfinished, empty = (str(tmp_path / n) for n in ("whole", "half", "unfinished", "empty"))
+    for target in (whole, half):
+        export.write_export(table.repartition(4), target)
+    next(p for p in (tmp_path / "half" / "cleaned").iterdir() if p.name.startswith("part-") and p.stat().st_size).unlink()
+    table.write.json(f"{unfinished}/cleaned")
+    export.write_export(table.limit(0), empty)
+    for broken in (half, unfinished):
+        with pytest.raises(TableError) as e:
+            export.publish(spark, broken, "never_published")
+        assert e.value.code == "export_incomplete"
+    assert not spark.catalog.tableExists("never_published")
+    export.verify_export(spark, whole)
+    export.verify_export(spark, empty)
+
+
 def test_a_field_that_only_looks_quoted_is_not_lost(spark, tmp_path):
     (tmp_path / "a.csv").write_text('h1,h2\nx,a"b,c"d\n')
     with pytest.raises(TableError, match="more fields"):

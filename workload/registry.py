@@ -793,19 +793,18 @@ _DUP_ORDERS = f"""SELECT 'duplicate_rows' AS type, CAST(count(*) AS BIGINT) AS a
   (SELECT string_agg(CAST(rn AS VARCHAR), ',' ORDER BY rn) FROM (SELECT rn FROM reps ORDER BY rn LIMIT 5)) AS example_rows FROM reps HAVING count(*) > 0"""
 
 
-@query(
-    "issues_orders",
-    " UNION ALL ".join([
-        s_issue("missing_values", _O, [(i, c, s_missing(c)) for i, c in zip(_IDS, UPLOAD_COLUMNS)], "cells"),
-        _DUP_ORDERS,
-        s_issue("whitespace", _O, [(i, c, f"{c} <> trim({c})") for i, c in zip(_IDS, UPLOAD_COLUMNS)], "values"),
-        "SELECT 'messy_column_names', CAST(1 AS BIGINT), 'columns', 'column_1', ''",
-        s_issue("numeric_text", _O, [("column_4", "amount", s_numeric("amount"))], "values"),
-        s_issue("inconsistent_dates", _O, [("column_5", "order_date", f"({s_layout('order_date')}) IS NOT NULL")], "values"),
-    ]),
-    (_O,),
-    f"reps AS (SELECT _row_no + 2 AS rn FROM {_O} QUALIFY row_number() OVER (PARTITION BY {_ALL} ORDER BY _row_no) > 1)",
-)
+_ISSUES_ORDERS = " UNION ALL ".join([
+    s_issue("missing_values", _O, [(i, c, s_missing(c)) for i, c in zip(_IDS, UPLOAD_COLUMNS)], "cells"),
+    _DUP_ORDERS,
+    s_issue("whitespace", _O, [(i, c, f"{c} <> trim({c})") for i, c in zip(_IDS, UPLOAD_COLUMNS)], "values"),
+    "SELECT 'messy_column_names', CAST(1 AS BIGINT), 'columns', 'column_1', ''",
+    s_issue("numeric_text", _O, [("column_4", "amount", s_numeric("amount"))], "values"),
+    s_issue("inconsistent_dates", _O, [("column_5", "order_date", f"({s_layout('order_date')}) IS NOT NULL")], "values"),
+])
+_REPS = f"reps AS (SELECT _row_no + 2 AS rn FROM {_O} QUALIFY row_number() OVER (PARTITION BY {_ALL} ORDER BY _row_no) > 1)"
+
+
+@query("issues_orders", _ISSUES_ORDERS, (_O,), _REPS)
 def issues_orders(spark, sf):
     return _shown_issues(profile.profile_table(_uploaded_orders(spark, sf)).issues())
 
@@ -932,12 +931,15 @@ def formula_warning(spark, sf):
 # --- Upload checks (VA-11..15) and suggestions (GV-3) --------------------------------------
 
 
+_FORMULAS = " + ".join(s_count(f"{c}[1] IN ('=', '+', '-', '@')") for c in UPLOAD_COLUMNS)
 _UPLOAD_CHECKS = f"""
+{_REPS},
+issues AS ({_ISSUES_ORDERS}), formulas AS (SELECT {_FORMULAS} AS n FROM {_O}),
 upload_checks AS (
   SELECT 'required_columns' AS check_id, 'failed' AS status, 'error' AS severity,
          {s_count(s_missing('city'))} + {s_count(s_missing('state'))} AS affected_count FROM {_O}
-  UNION ALL SELECT 'remaining_issues', 'warning', 'warning', 6
-  UNION ALL SELECT 'download_warnings', 'passed', 'info', 0
+  UNION ALL SELECT 'remaining_issues', CASE WHEN count(*) > 0 THEN 'warning' ELSE 'passed' END, CASE WHEN count(*) > 0 THEN 'warning' ELSE 'info' END, count(*) FROM issues
+  UNION ALL SELECT 'download_warnings', CASE WHEN n > 0 THEN 'warning' ELSE 'passed' END, CASE WHEN n > 0 THEN 'warning' ELSE 'info' END, n FROM formulas
 )"""
 
 
@@ -950,6 +952,49 @@ def upload_checks(spark, sf):
     return _validation(spark, sf).checks().select("check_id", "status", "severity", "affected_count")
 
 
+@query(
+    "upload_formula_checks",
+    f"""SELECT 'download_warnings' AS check_id, CASE WHEN n > 0 THEN 'warning' ELSE 'passed' END AS status, CASE WHEN n > 0 THEN 'warning' ELSE 'info' END AS severity,
+  CAST(n AS BIGINT) AS affected_count, n || ' cells may run as a formula.' AS message FROM (SELECT {_FORMULAS} AS n FROM marked)""",
+    (_O,), f"marked AS (SELECT * REPLACE (CASE WHEN _row_no % 7 = 0 THEN '=' || city ELSE city END AS city, CASE WHEN _row_no % 11 = 0 THEN '@' || state ELSE state END AS state) FROM {_O})",
+)
+def upload_formula_checks(spark, sf):
+    """Cells that a spreadsheet would run: the warning of the download."""
+    def led(c: str, sign: str, every: int):
+        return F.when(F.col(ROW_NO) % every == 0, F.concat(F.lit(sign), c)).otherwise(F.col(c)).alias(c)
+
+    marked = messy.messy_orders(spark, sf).withColumns({"city": led("city", "=", 7), "state": led("state", "@", 11)})
+    checks = validate.validate_table(profile.profile_table(marked)).checks().where("check_id = 'download_warnings'")
+    return checks.select("check_id", "status", "severity", "affected_count", "message")
+
+
+_LINE_NUMBERS = rulepack.RulePack(
+    name="line items", source_system="shop", expected_columns=("quantity", "price", "part"), required_columns=(), primary_key=(),
+    cast_columns={"quantity": "int", "price": "float", "part": "float", "gone": "float"},
+    validation_rules={"cast_columns_numeric_non_negative": "Numbers are zero or more."},
+)
+
+
+@query(
+    "checks_cast_columns",
+    """SELECT t AS kind, CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END AS status, CAST(n AS BIGINT) AS failed_count FROM (
+  SELECT 'numbers' AS t, count(*) FILTER (WHERE l_linenumber % 3 = 0) + count(*) FILTER (WHERE l_linenumber = 2) AS n FROM lineitem
+  UNION ALL SELECT 'text', count(*) FILTER (WHERE l_linenumber % 3 = 0) + count(*) FILTER (WHERE l_linenumber = 2) + count(*) FROM lineitem
+  UNION ALL SELECT 'clean', 0)""",
+)
+def checks_cast_columns(spark, sf):
+    """VA-8 on cells that are missing, below zero, and text where a number is due."""
+    l = table(spark, sf, "lineitem")
+    n = F.col("l_linenumber")
+    clean = l.select(F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("part"), n.alias("n"))
+    numbers_ = clean.withColumns({"quantity": F.when(F.col("n") % 3 != 0, F.col("quantity")), "price": F.when(F.col("n") == 2, -F.col("price")).otherwise(F.col("price"))})
+    out = None
+    for kind, df in (("clean", clean), ("numbers", numbers_), ("text", numbers_.withColumn("part", F.col("part").cast("string")))):
+        part = rulepack.run_checks(df.drop("n"), _LINE_NUMBERS).select(F.lit(kind).alias("kind"), "status", "failed_count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "upload_rollup",
     """SELECT CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'failed' ELSE 'passed' END AS status, CAST(3 AS INTEGER) AS revision,
@@ -1194,6 +1239,18 @@ def validated_bundle(spark, sf):
     return out
 
 
+@query(
+    "bundle_cleaned",
+    "SELECT " + ", ".join(f"coalesce({'trim(status)' if c == 'status' else c}, '') AS {c}" for c in UPLOAD_COLUMNS) + f", row_number() OVER (ORDER BY _row_no) - 1 AS row_no FROM {_O}", (_O,),
+)
+def bundle_cleaned(spark, sf):
+    """The bundle's table, cell by cell and in order."""
+    plan = TablePlan(_uploaded_orders(spark, sf)).add(A.TrimWhitespace(("column_3",)))
+    outcome = validate.validate_table(profile.profile_table(plan.current()), ["column_1"], plan.revision)
+    path = export.write_validated_bundle(plan.current(), outcome, plan.audit(), staging_path(spark, "bundle"), plan.revision)
+    return csv_source.read_csv(spark, f"{path}/cleaned").toDF(*UPLOAD_COLUMNS, ROW_NO).withColumnRenamed(ROW_NO, "row_no")
+
+
 @query("pack_export", "SELECT order_id, customer_name, status, amount, order_date, city, state FROM clean_orders", (_O,), CLEAN_ORDERS_SQL)
 def pack_export(spark, sf):
     o = messy.messy_orders(spark, sf)
