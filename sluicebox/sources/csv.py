@@ -77,7 +77,8 @@ def number_rows(placed: DataFrame, header_rows: int = 1) -> DataFrame:
     by_file = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("__file", F.coalesce(F.sum("__rows").over(by_file), F.lit(0)).alias("__base"))
     offsets = splits.join(files, "__file").select("__file", "__start", "__first", "__before", "__base")
-    joined = placed.join(offsets, ["__file", "__start"])
+    # One row per split of the files.
+    joined = placed.join(F.broadcast(offsets), ["__file", "__start"])
     place = F.col("__before") + F.col("__id") - F.col("__first")
     return joined.withColumn("__place", place).where(F.col("__place") >= header_rows).withColumn(
         ROW_NO, (F.col("__base") + F.col("__place") - header_rows).cast("bigint")
@@ -168,16 +169,24 @@ def _records(lines: DataFrame) -> DataFrame:
     )
 
 
+def _first_records(records: DataFrame) -> DataFrame:
+    """The first record of each file: that with the smallest id of its first split.
+
+    The ids are found first, one number per file; a minimum of texts would sort every record of the first splits.
+    """
+    begins = records.where("__start = 0")
+    ids = begins.groupBy("__file").agg(F.min("__id").alias("__id"))
+    return begins.join(F.broadcast(ids), ["__file", "__id"])
+
+
 def _header(records: DataFrame) -> list[str]:
-    """The headers; every file must begin with the same ones. A file's first record is that with the smallest id of its first split."""
-    first = F.min_by(F.regexp_replace("value", f"^{_BOM}", ""), "__id").alias("line")
-    firsts = records.where("__start = 0").groupBy("__file").agg(first)
-    found = firsts.orderBy("__file").limit(1).collect()
+    """The headers; every file must begin with the same ones."""
+    firsts = _first_records(records).select("__file", F.regexp_replace("value", f"^{_BOM}", "").alias("line"))
+    found = firsts.groupBy("line").agg(F.min("__file").alias("file")).orderBy("file").limit(2).collect()
     if not found:
         raise TableError("empty_table", "The file holds no rows.")
-    other = firsts.where(F.col("line") != found[0]["line"]).limit(1).collect()
-    if other:
-        raise invalid_file(f"The headers of {other[0]['__file']} are not those of {found[0]['__file']}.")
+    if len(found) > 1:
+        raise invalid_file(f"The headers of {found[1]['file']} are not those of {found[0]['file']}.")
     return next(pycsv.reader([found[0]["line"]]), [""]) or [""]
 
 

@@ -196,3 +196,28 @@ def test_files_with_other_headers_are_refused(spark, tmp_path):
     (tmp_path / "b.csv").write_text("b,a\n3,4\n")
     with pytest.raises(TableError, match="b.csv"):
         csv.read_csv(spark, str(tmp_path))
+
+
+def test_row_numbers_and_headers_sort_and_move_no_record(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path, b"a,b\n" + b"x,y\n" * (i + 1), f"{i}.csv")
+    lines = csv._lines(spark, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = csv.number_rows(lines)
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert [r["value"] for r in csv._first_records(lines).collect()] == ["a,b"] * 3
+        firsts = csv._first_records(lines)._jdf.queryExecution().executedPlan().toString()
+        assert column(numbered, ROW_NO) == list(range(6))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortAggregate" not in firsts
+    # The offsets of splits meet those of files by a sort; the lines meet them by a hash table.
+    assert "BroadcastHashJoin [__file" in plan and plan.count("SortMergeJoin") == 1
+
+
+def test_files_of_other_headers_are_named(spark, tmp_path):
+    write(tmp_path, b"a,b\n1,2\n", "0.csv")
+    write(tmp_path, b"a,c\n1,2\n", "1.csv")
+    with pytest.raises(TableError, match="1.csv"):
+        csv.read_csv(spark, str(tmp_path))
