@@ -14,7 +14,7 @@ from ..session import stage
 from ..table import ROW_NO, data_columns, dtype_of, require_row_no
 from .columns import align_columns
 from .positions import POSITION, source_position, with_position
-from .rows import key_columns
+from .rows import key_columns, split_by_repeats
 
 # Bounds of a published score and the numeric tolerance of a match.
 SCORE_MIN, SCORE_MAX = 0.01, 0.99
@@ -212,7 +212,7 @@ def keyed_diff(current: DataFrame, baseline: DataFrame, keys: Sequence[str], rem
     """CM-6: each current row against the baseline row of the same key.
 
     Result: the key columns as text, ``status`` (new, changed, unchanged, removed) and the
-    changed columns. The baseline is reduced to its last row per key and staged first, so the join is
+    changed columns. The baseline is staged, reduced to its last row per key, which only repeated keys are ranked for, and staged again, so the join is
     many-to-one between two plain shuffles, and adaptive execution splits a hot key of ``current``. Removed
     keys come from an anti join of the staged keys; for them ``current`` is staged too, so that what made it runs once
     and only its keys are read again.
@@ -233,7 +233,9 @@ def keyed_diff(current: DataFrame, baseline: DataFrame, keys: Sequence[str], rem
     base = keyed(baseline, shared, "b")
     row = F.struct(*[f"b_{i}" for i in range(len(shared))])
     pick = F.max_by(row, F.col(ROW_NO)) if ROW_NO in base.columns else F.max(row)
-    base = stage(base.groupBy(*names).agg(pick.alias("__base")), "baseline")
+    alone, contested = split_by_repeats(stage(base, "baseline"), [F.col(n) for n in names])
+    one = alone.select(*names, row.alias("__base")).unionByName(contested.groupBy(*names).agg(pick.alias("__base")))
+    base = stage(one, "baseline-by-key")
     joined = left.join(base, names, "left")
     tests = []
     for i, c in enumerate(columns):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,11 +60,36 @@ def repeated_rows(df: DataFrame) -> DataFrame | None:
     return stage(marked.join(again, ["__d1", "__d2"], "left_semi").select(*[_col(c) for c in df.columns]), "repeated")
 
 
+def split_by_repeats(df: DataFrame, keys: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key no other row has, and the rest; a few single rows may be among the rest.
+
+    Digests of keys are counted, 24 bytes a row and folded before the shuffle. An aggregate that picks whole rows sorts each task's rows,
+    so the rows that need no picking are kept out of it. Both parts read one shuffle of the rows by digest, in which a hot key is split.
+    """
+    digests = ["__d1", "__d2"]
+    marked = df.withColumns({"__d1": F.xxhash64(*keys), "__d2": F.xxhash64(F.lit(1), *keys)})
+    again = marked.groupBy(*digests).agg(F.count("*").alias("__n")).where("__n > 1").select(*digests)
+    alone, contested = (marked.join(again, digests, how).select(*[_col(c) for c in df.columns]) for how in ("left_anti", "left_semi"))
+    return alone, contested
+
+
 def key_columns(df: DataFrame, keys: Sequence[str]) -> list[Column]:
     require_columns(df, keys)
     return [stringify(_col(k), dtype_of(df, k)) for k in keys]
 
 
+def counted_by_key(df: DataFrame, keys: Sequence[str], counters: Mapping[str, Column]) -> DataFrame:
+    """One row: the named counts over the table, ``rows``, and ``repeats``, the rows beyond the first of each key (PR-15).
+
+    Counts of each key are added up, so the table is read once for both.
+    """
+    groups = df.groupBy(*[c.alias(f"__k{i}") for i, c in enumerate(key_columns(df, keys))]).agg(
+        F.count("*").alias("__n"), *[c.alias(n) for n, c in counters.items()]
+    )
+    sums = {"rows": F.sum("__n"), "repeats": F.sum(F.col("__n") - 1), **{n: F.sum(n) for n in counters}}
+    return groups.agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in sums.items()])
+
+
 def duplicate_key_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """PR-15: rows beyond the first of each business key."""
     groups = df.groupBy(*[c.alias(f"__k{i}") for i, c in enumerate(key_columns(df, keys))]).agg(F.count("*").alias("__n"))

@@ -249,3 +249,20 @@ def test_median_stages_its_numbers_once(spark, monkeypatch):
     df = spark.range(0, 5000, 1, 4).select((F.col("id") * F.col("id") / 7 - 1000).alias("n"), F.col("id").alias(ROW_NO))
     assert fills.exact_median(df, "n") == statistics.median(i * i / 7 - 1000 for i in range(5000))
     assert staged == ["median"]
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_rows_of_repeated_keys_are_told_apart(spark, broadcast):
+    df = spark.createDataFrame([(None if i % 50 == 0 else "hot" if i % 3 == 0 else f"k{i}", i) for i in range(400)], f"k string, {ROW_NO} bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        alone, contested = rows.split_by_repeats(df, rows.key_columns(df, ["k"]))
+        single, rest = alone.collect(), contested.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["k"] for r in rest} == {None, "hot"} and len({r["k"] for r in single}) == len(single)
+    assert sorted(r[ROW_NO] for r in single + rest) == list(range(400))
+
+
+def test_splits_of_files_are_small(spark):
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "32m"

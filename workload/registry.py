@@ -18,7 +18,7 @@ from sluicebox.plans import actions as A
 from sluicebox.plans import packs, rulepack
 from sluicebox.plans.history import TablePlan, plan_metrics, step_reports
 from sluicebox.plans.suggest import suggestions
-from sluicebox.session import staging_path
+from sluicebox.session import stage, staging_path
 from sluicebox.sources import csv as csv_source
 from sluicebox.sources import export
 from sluicebox.streaming import clean_stream
@@ -1023,9 +1023,14 @@ def suggest_fixes(spark, sf):
 # --- Compare (CM-1..8) ---------------------------------------------------------------------
 
 
-def _expected_orders(spark, sf):
+def _staged_orders(spark, sf):
+    """The clean orders, made once for both sides of a comparison."""
+    return stage(_clean_orders(spark, sf), "clean-orders")
+
+
+def _expected(clean):
     """The right orders, but every 17th is missing and every 13th has another amount."""
-    return _clean_orders(spark, sf).where(F.substring("order_id", 5, 9).cast("bigint") % 17 != 0).withColumn(
+    return clean.where(F.substring("order_id", 5, 9).cast("bigint") % 17 != 0).withColumn(
         "amount", F.col("amount") + F.when(F.substring("order_id", 5, 9).cast("bigint") % 13 == 0, 0.5).otherwise(0.0)
     )
 
@@ -1053,7 +1058,8 @@ b AS (SELECT {_GRADED}, row_number() OVER (ORDER BY order_id) AS p FROM expected
     (_O,), _EXPECTED_SQL + "," + _POSITIONAL,
 )
 def grade_positional(spark, sf):
-    return rulepack.grade(_clean_orders(spark, sf), _expected_orders(spark, sf), packs.ORDERS).select("matches", "cells", "score")
+    clean = _staged_orders(spark, sf)
+    return rulepack.grade(clean, _expected(clean), packs.ORDERS).select("matches", "cells", "score")
 
 
 @query(
@@ -1084,7 +1090,8 @@ d AS (
     (_O,), _EXPECTED_SQL + "," + _DIFF_SQL,
 )
 def keyed_diff(spark, sf):
-    d = compare.keyed_diff(_clean_orders(spark, sf), _expected_orders(spark, sf), ["order_id"])
+    clean = _staged_orders(spark, sf)
+    d = compare.keyed_diff(clean, _expected(clean), ["order_id"])
     return d.select("order_id", "status", F.array_join("changed_columns", ",").alias("changed_columns"))
 
 
@@ -1094,7 +1101,8 @@ def keyed_diff(spark, sf):
     (_O,), _EXPECTED_SQL + "," + _DIFF_SQL,
 )
 def keyed_diff_removed(spark, sf):
-    return compare.diff_summary(compare.keyed_diff(_expected_orders(spark, sf), _clean_orders(spark, sf), ["order_id"]))
+    clean = _staged_orders(spark, sf)
+    return compare.diff_summary(compare.keyed_diff(_expected(clean), clean, ["order_id"]))
 
 
 _FOOT_SQL = f"""
@@ -1269,7 +1277,8 @@ def pack_report(spark, sf):
     """The quality index that the export writes beside the table."""
     o = messy.messy_orders(spark, sf)
     audit = plan_metrics(o, rulepack.compile_pack(packs.ORDERS, data_columns(o)))
-    path = export.export_pack(_clean_orders(spark, sf), packs.ORDERS, audit, staging_path(spark, "pack-report"), gold=_expected_orders(spark, sf))
+    clean = _staged_orders(spark, sf)
+    path = export.export_pack(clean, packs.ORDERS, audit, staging_path(spark, "pack-report"), gold=_expected(clean))
     return spark.read.json(f"{path}/quality_report").select("quality_index")
 
 
