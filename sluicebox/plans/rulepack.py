@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import dates, text
 from ..operators.compare import graded, match_ratio
 from ..operators.profile import inspect_column, table_summary
-from ..operators.rows import duplicate_key_count
+from ..operators.rows import counted_by_key, duplicate_key_count
 from ..table import data_columns, dtype_of, text_columns
 from .actions import (
     Action,
@@ -155,8 +155,6 @@ def _check_count(df: DataFrame, pack: RulePack, rule: str, subject: str | None)
             if c in held:
                 total = total + F.count_if(text.is_missing(_col(c), dtype_of(df, c)))
         return total, "required cells are missing"
-    if rule == "schema_matches":
-        return F.lit(int(data_columns(df) != list(pack.expected_columns))).cast("bigint"), "schema difference found"
     if rule in ("dates_canonical", "timestamps_canonical"):
         for c, with_time in pack.date_columns.items():
             if c in held:
@@ -179,20 +177,24 @@ def _check_count(df: DataFrame, pack: RulePack, rule: str, subject: str | None)
 
 
 def run_checks(df: DataFrame, pack: RulePack) -> DataFrame:
-    """VA-1..9: one row per rule; all counters come from one aggregate (and one key grouping).
+    """VA-1..9: one row per rule; all counters come from one pass, grouped by key first where a rule counts repeated keys.
 
     A rule id may carry a column, as in ``emails_valid:contact_email``.
     """
-    counters: list[Column] = []
+    by_key = "duplicates_resolved" in {r.partition(":")[0] for r in pack.validation_rules} and bool(pack.key_fields)
+    counters: dict[str, Column] = {}
     entries: list[Column] = []
     for i, (rule_id, description) in enumerate(pack.validation_rules.items()):
         rule, _, subject = rule_id.partition(":")
         name = f"n{i}"
         if rule == "duplicates_resolved":
-            failed = duplicate_key_count(df, list(pack.key_fields)).scalar() if pack.key_fields else F.lit(0)
+            failed = F.col("repeats") if by_key else F.lit(0)
             problem, severity = "duplicate rows remain", "error"
+        elif rule == "schema_matches":
+            failed = F.lit(int(data_columns(df) != list(pack.expected_columns)))
+            problem, severity = "schema difference found", "error"
         elif (found := _check_count(df, pack, rule, subject or None)) is not None:
-            counters.append(found[0].alias(name))
+            counters[name] = found[0]
             failed, problem, severity = F.col(name), found[1], "error"
         else:
             failed, problem, severity = F.lit(0), "", "info"
@@ -207,7 +209,10 @@ def run_checks(df: DataFrame, pack: RulePack) -> DataFrame:
                 failed.cast("bigint").alias("failed_count"),
             )
         )
-    base = df.agg(*(counters or [F.count("*").alias("rows")]))
+    if by_key:
+        base = counted_by_key(df, list(pack.key_fields), counters)
+    else:
+        base = df.agg(*[c.alias(n) for n, c in counters.items()], F.count("*").alias("rows"))
     return base.select(F.inline(F.array(*entries)))
 
 
