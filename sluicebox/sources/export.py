@@ -12,6 +12,7 @@ from ..errors import TableError
 from ..functions.text import render_cell
 from ..operators.validate import Validation
 from ..plans.rulepack import RulePack, grade, rollup, run_checks
+from ..session import StagingScope, stage
 from ..table import ROW_NO, data_columns, display_names, dtype_of
 
 _BOM = "﻿"
@@ -63,7 +64,11 @@ def export_pack(
 
     The report's quality index is ``score``, or that of the table against ``gold``, the rows it should have (CM-8).
     The table is JSON with nulls kept, and its schema lies beside it, since JSON has neither the order nor the types of columns.
+    It is staged first, so that what made it runs once for the checks, the report and the file.
     """
+    scope = StagingScope(df.sparkSession)
+    with scope:
+        df = stage(df, "to-export")
     checks = run_checks(df, pack).persist()
     try:
         outcome = rollup(checks).first()
@@ -71,7 +76,8 @@ def export_pack(
             raise TableError("validation_failed", "Every check must pass before export.")
         target = f"{root}/{destination or pack.export_destination}"
         if gold is not None:
-            score = grade(df, gold, pack).first()["score"]
+            with scope:
+                score = grade(df, gold, pack).first()["score"]
         write_export(df.drop(ROW_NO), target)
         report = df.sparkSession.createDataFrame(
             [(pack.name, pack.source_system, None if score is None else round(score, 6), outcome["validation_status"])],
@@ -82,6 +88,7 @@ def export_pack(
         audit.write.json(f"{target}/audit_log")
     finally:
         checks.unpersist()
+        scope.release()
     return target
 
 
