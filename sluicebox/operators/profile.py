@@ -28,7 +28,7 @@ from ..table import (
     require_columns,
     text_columns,
 )
-from .rows import duplicate_groups, key_columns, repeated_rows
+from .rows import counted_by_key, duplicate_groups, key_columns, repeated_rows
 
 EXAMPLES = 5
 BLOCK_ROWS = 1 << 16
@@ -467,11 +467,15 @@ def table_summary(df: DataFrame, required: Sequence[str], keys: Sequence[str] =
     missing = F.lit(0).cast("bigint")
     for c in present:
         missing = missing + F.count_if(text.is_missing(_col(c), dtype_of(df, c)))
-    return df.agg(F.count("*").alias("row_count"), missing.alias("missing_required_cells")).select(
-        "row_count",
+    if keys:
+        counted = counted_by_key(df, keys, {"missing": missing})
+    else:
+        counted = df.agg(F.count("*").alias("rows"), missing.alias("missing"), F.lit(0).cast("bigint").alias("repeats"))
+    return counted.select(
+        F.col("rows").alias("row_count"),
         F.lit(len(data_columns(df))).cast("bigint").alias("column_count"),
-        "missing_required_cells",
-        _repeats(df, keys).alias("duplicate_count"),
+        F.col("missing").alias("missing_required_cells"),
+        F.col("repeats").alias("duplicate_count"),
     )
 
 

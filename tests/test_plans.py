@@ -8,9 +8,11 @@ from sluicebox.functions.numbers import infer_gold_text
 from sluicebox.operators import compare
 from sluicebox.operators.cells import trim_whitespace
 from sluicebox.operators.positions import source_position
+from sluicebox.operators.profile import table_summary
 from sluicebox.plans import actions as A
 from sluicebox.plans import packs, rulepack
 from sluicebox.plans.history import TablePlan, append_audit, latest_audit, plan_metrics
+from sluicebox.sources import export
 from sluicebox.streaming import clean_stream
 from sluicebox.table import ROW_NO, data_columns
 
@@ -260,3 +262,39 @@ def test_replay_runs_no_job(table, spark):
     assert [r["column_2"] for r in before.orderBy(ROW_NO).collect()] == [" x", "y ", "y ", "y "]
     assert [r["affected_count"] for r in audit.orderBy("change_id").collect()] == [3, 2, 1, 1, 4]
     assert all("learned" not in a.to_dict() for a in plan.actions)
+
+
+def test_checks_and_summaries_read_the_table_once(spark):
+    df = spark.createDataFrame([("ORD-1", "a", "b")] * 2 + [("ORD-2", "a", None)], "order_id string, city string, state string")
+    for counted in (rulepack.run_checks(df, packs.ORDERS), table_summary(df, ["city", "state"], ["order_id"])):
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "Subquery" not in plan and plan.count("Scan ExistingRDD") == 1
+    assert tuple(table_summary(df, ["city", "state"], ["order_id"]).first()) == (3, 3, 1, 1)
+    assert tuple(table_summary(df.limit(0), ["city"], ["order_id"]).first()) == (0, 3, 0, 0)
+    failed = {r["check_id"]: r["failed_count"] for r in rulepack.run_checks(df, packs.ORDERS).collect()}
+    assert failed["duplicates_resolved"] == 1 and failed["required_fields_present"] == 1 and failed["schema_matches"] == 1
+    assert {r["failed_count"] for r in rulepack.run_checks(df.limit(0), packs.ORDERS).collect()} == {0, 1}
+
+
+def test_export_makes_the_table_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def city(n):
+        made.add(1)
+        return f"City {n}"
+
+    n = F.col("id").cast("string")
+    df = spark.range(40).select(
+        F.concat(F.lit("ORD-"), n).alias("order_id"), n.alias("customer_name"), F.lit("shipped").alias("status"), F.lit(1.5).alias("amount"),
+        F.lit("2024-01-02").alias("order_date"), city("id").alias("city"), F.lit("x").alias("state"), F.col("id").alias(ROW_NO),
+    )
+    path = export.export_pack(df, packs.ORDERS, spark.createDataFrame([(1,)], "step int"), str(tmp_path))
+    assert made.value == 40 and export.read_export(spark, path).count() == 40
+
+
+def test_keyed_diff_takes_the_last_of_repeated_keys(spark):
+    base = spark.createDataFrame([(f"k{i % 30 if i < 60 else i}", str(i), i) for i in range(90)], f"k string, v string, {ROW_NO} bigint")
+    now = spark.createDataFrame([(f"k{i}", str(i + 30 if i < 30 else i), i) for i in range(88) if i < 30 or i >= 60], f"k string, v string, {ROW_NO} bigint")
+    found = {r["status"]: r["rows"] for r in compare.diff_summary(compare.keyed_diff(now, base, ["k"])).collect()}
+    assert found == {"unchanged": 58, "removed": 2}
