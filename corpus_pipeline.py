@@ -51,15 +51,18 @@ def _release(spark: SparkSession, docs: DataFrame | None = None) -> None:
             _BEFORE.remove(scope)
 
 
-def _decided(spark: SparkSession, decide: Callable[[], DataFrame]) -> DataFrame:
-    """The rows that ``decide`` names, staged; all else that it stages is deleted."""
+def _kept(spark: SparkSession, rows: DataFrame, decide: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that ``decide`` names by ``__row``; all else that it stages is deleted.
+
+    The numbers of the others, which are fewer, are staged, and whole rows meet these alone: where they are few, the texts are not shuffled for it.
+    """
     with StagingScope(spark) as scope:
         found = decide()
         with StagingScope(spark) as kept:
-            rows = stage(found, "kept")
+            others = stage(rows.select("__row").join(found, "__row", "left_anti"), "others")
     scope.release()
     _BEFORE[-1].paths += kept.paths
-    return rows
+    return rows.join(others, "__row", "left_anti")
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
@@ -76,8 +79,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         scores = quality_scores(rows, table(spark, sf_dir, "labels"), F.lit(True), row_col="__row")
         return scores.where(F.col("score") >= LEAST_QUALITY).select(F.col("row").alias("__row"))
 
-    kept = _decided(spark, decide)
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    return _kept(spark, rows, decide).select(*docs.columns)
 
 
 @_step
@@ -94,7 +96,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         limit = threshold_of(F.col("lang"), least)
         return rows.select("__row", "lang").join(scores, "__row").where(F.col("score") < limit).select("__row")
 
-    return rows.join(_decided(spark, decide), "__row", "left_semi").select(*docs.columns)
+    return _kept(spark, rows, decide).select(*docs.columns)
 
 
 @_step
@@ -107,7 +109,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
         return classes.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(order).select("first.__row")
 
-    return rows.join(_decided(spark, decide), "__row", "left_semi").select(*docs.columns)
+    return _kept(spark, rows, decide).select(*docs.columns)
 
 
 @_step

@@ -166,3 +166,15 @@ def test_weights_solve_the_dense_normal_equations(spark):
     z = model.features(x)
     assert np.allclose(model.weights, np.linalg.solve(z.T @ z + RIDGE * len(z) * np.eye(z.shape[1]), z.T @ labels[at]), rtol=1e-6, atol=1e-9)
 
+
+
+def test_whole_rows_meet_only_the_numbers_of_the_others(spark):
+    import corpus_pipeline as P
+
+    rows = P._with_row(spark.range(100))
+    P._BEFORE.append(P.StagingScope(spark))
+    kept = P._kept(spark, rows, lambda: rows.where("id % 10 <> 3").select("__row"))
+    others = spark.read.parquet(P._BEFORE[-1].paths[-1])
+    assert sorted(r["id"] for r in kept.collect()) == [i for i in range(100) if i % 10 != 3]
+    assert others.columns == ["__row"] and others.count() == 10
+    P._release(spark)
