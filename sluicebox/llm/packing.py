@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +37,15 @@ WEIGHTS = (1.0, 0.001, 0.001)
 
 
 class WordTokenizer:
-    """A vocabulary of the word kind, encoded by the tokenizers library once for each distinct run between white space.
+    """A vocabulary of the word kind, encoded by the tokenizers library once for each distinct run of characters.
 
     White space separates words and is dropped, so a text's ids are those of its runs in order. The library lower-cases and cuts punctuation off letters and
-    digits itself; doing so before, in ASCII, leaves fewer distinct runs. Texts with controls or special tokens that a run could hide go to the library whole.
+    digits itself; doing so before, in ASCII, leaves fewer distinct runs. Runs are cut, numbered and replaced by their ids in Arrow and numpy, many texts
+    at a time; Python sees each distinct one. Texts with special tokens go to the library whole.
     """
 
-    whole = re.compile(r"[\x1c-\x1f]|<\|")
-    #: A single mark after a letter or digit and before white space is a token of its own.
-    mark = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?][ \n])")
+    #: Runs of letters of ASCII and Latin-1, which the library only lower-cases: but for that only its model is needed.
+    latin = re.compile(r"[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
@@ -68,10 +68,13 @@ class WordTokenizer:
         """The ids of many runs by few calls. A run of letters is one word; of others, a token belongs to the run in which it starts."""
         plain, others = [], []
         for run in runs:
-            (plain if run.isascii() and run.isalpha() else others).append(run)
+            (plain if self.latin.fullmatch(run) else others).append(run)
+        ids: list[int] = []
+        ends = []
         for run in plain:  # nothing is left to normalise or to cut
-            self.known[run] = array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
-        self.held += sum(map(len, plain))
+            ids += [t.id for t in self.model.tokenize(run if run.isascii() else _byte_level(run.lower()))]
+            ends.append(4 * len(ids))
+        self._keep(plain, np.array(ids, "<u4").tobytes(), ends)
         words = [r for r in others if r.isalpha()]
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
@@ -94,33 +97,83 @@ class WordTokenizer:
             start = end
         self.held += sum(map(len, part))
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text, a few million characters at a time."""
-        part, size = [], 0
-        for text in texts:
-            part.append(text or "")
-            size += len(part[-1])
-            if size > 2_000_000:
-                yield from self._some(part)
-                part, size = [], 0
-        yield from self._some(part)
-
-    def _runs(self, text: str) -> list[str]:
-        return self.mark.sub(b" ", text.encode("utf-8", "replace").translate(LOWER)).decode().split()
-
-    def _some(self, texts: list[str]) -> Iterator[bytes]:
+    def encode_all(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
+        """The ids of each text, ``TEXT_BYTES`` at a time."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(texts):
+            so_far = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, so_far + TEXT_BYTES, "right")))
+            yield from self._some(texts.slice(first, last - first))
+            first = last
+
+    def _some(self, texts: pa.LargeStringArray) -> Iterator[bytes]:
         # What was found goes to an older half when it is much, and from there back when it occurs again: memory stays bounded.
         if len(self.known) > self.remembered or self.held > 40 * self.remembered:
             self.before, self.known, self.held = self.known, {}, 0
-        # str.split() takes the same white space, as the controls it also takes are excluded here.
-        split = [None if self.whole.search(t) else self._runs(t) for t in texts]
-        new = set().union(*filter(None, split)).difference(self.known)
-        for run in new.intersection(self.before):
-            self.known[run] = self.before[run]
-        self._learn(sorted(new.difference(self.before)))
-        ids = self.known.__getitem__
-        for text, runs in zip(texts, split, strict=True):
-            yield self._whole(text) if runs is None else b"".join(map(ids, runs))
+        special = pc.match_substring(texts, "<|")
+        whole = {i: self._whole(texts[i].as_py()) for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()}
+        split = pc.ascii_split_whitespace(_cut_runs(pc.if_else(special, "", texts) if whole else texts))
+        runs = split.flatten().dictionary_encode()
+        names = runs.dictionary.to_pylist()
+        new = [r for r in names if r not in self.known]
+        for run in new:
+            if run in self.before:
+                self.known[run] = self.before[run]
+        self._learn([r for r in new if r not in self.known])
+        ids = pa.array(map(self.known.__getitem__, names), pa.large_binary(), size=len(names)).take(runs.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        data = memoryview(ids.buffers()[2] or b"")
+        for i in range(len(texts)):
+            yield whole[i] if i in whole else bytes(data[ends[i] : ends[i + 1]])
+
+
+#: Bytes of text that are cut and looked up together; a longer text is taken alone.
+TEXT_BYTES = 8_000_000
+_OTHER, _LETTER, _DIGIT, _MARK, _QUOTE = range(5)
+
+
+def _kind(c: int) -> int:
+    if 97 <= c | 32 <= 122 and c < 128:
+        return _LETTER
+    if 48 <= c <= 57:
+        return _DIGIT
+    return _QUOTE if c == 39 else _MARK if 33 <= c <= 126 else _OTHER
+
+
+_KINDS = bytes(map(_kind, range(256)))
+#: Kinds of neighbours that are never of one token. A quote may begin one with the letters after it.
+_APART = np.zeros(64, bool)
+_APART[[8 * a + b for a, b in (
+    (_LETTER, _DIGIT), (_LETTER, _MARK), (_LETTER, _QUOTE), (_DIGIT, _LETTER), (_DIGIT, _DIGIT), (_DIGIT, _MARK), (_DIGIT, _QUOTE),
+    (_MARK, _LETTER), (_MARK, _DIGIT), (_QUOTE, _DIGIT),
+)]] = True
+
+
+def _cut_runs(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """A-Z lower-cased, and a space between neighbours that are never of one token: letters (of Latin-1), digits and marks in ASCII."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = bytes(memoryview(texts.buffers()[2] or b"")[bounds[0] : bounds[-1]]).translate(LOWER)
+    chars, kinds = np.frombuffer(data, np.uint8), np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
+    ends = np.flatnonzero(chars[:-1] == 0xC3) + 1  # second bytes of U+00C0 to U+00FF, which are letters but two
+    kinds[ends[(chars[ends] & 0xDF) != 0x97]] = _LETTER
+    gaps = np.flatnonzero(_APART[kinds[:-1] * np.uint8(8) + kinds[1:]]) + 1
+    out = np.full(len(chars) + len(gaps), 32, np.uint8)
+    place = np.ones(len(out), bool)
+    place[gaps + np.arange(len(gaps))] = False
+    out[place] = chars
+    bounds = bounds - bounds[0]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds + np.searchsorted(gaps, bounds)), pa.py_buffer(out))
+
+
+def _byte_level(word: str) -> str:
+    """The characters that stand for a word's bytes in byte-level vocabularies."""
+    return word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+
+
+#: Bytes that are no visible character of Latin-1 have characters from U+0100 on, in their order.
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 @lru_cache(maxsize=2)
@@ -128,6 +181,19 @@ def load(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until they hold ``TEXT_BYTES``, as texts share more of their runs the more there are."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= TEXT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and ``end_id``, cut after every ``capacity`` ids.
 
@@ -138,9 +204,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(vocabulary)
-        for batch in batches:
+        for batch in _together(batches):
             rows, pieces, ids = [], [], []
-            for i, data in enumerate(tokenizer.encode_all(batch.column("text").to_pylist())):
+            for i, data in enumerate(tokenizer.encode_all(batch.column("text"))):
                 data += end
                 cuts = [data[at : at + size] for at in range(0, len(data), size)] if len(data) > size else [data]
                 rows += [i] * len(cuts)

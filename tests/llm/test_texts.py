@@ -45,6 +45,18 @@ def test_word_bpe_equals_the_library(draw):
         assert np.frombuffer(got, "<u4").tolist() == ids.ids, repr(text)
 
 
+def test_words_are_learnt_once_whatever_marks_stand_by_them(draw):
+    words = ["plain", "élan", "straße", "naïve"]
+    marks = ["", ".", "***", ".%%%", ")", "'", "’s", "'s", "1", "×", "÷", "é", "\u0301", "=\u0338"]
+    texts = [" ".join(before + w.title() + after for w in words) for before in ("", "(", "2", "-'") for after in marks]
+    mine, library = packing.WordTokenizer(WORD), Tokenizer.from_file(WORD)
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in mine.encode_all([*texts, None])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    mine = packing.WordTokenizer(WORD)
+    list(mine.encode_all([w + mark for w in words for mark in ("***", ".%%%", "$!", "?")]))
+    assert set(mine.known) - {""} == {*words, "***", ".%%%", "$!", "?"}
+
+
 def test_bpe_of_odd_rows(odd, empty):
     tokens = bpe.decode(bpe.encode(odd, BYTE), BYTE).collect()
     library = Tokenizer.from_file(BYTE)
