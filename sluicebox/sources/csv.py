@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import csv as pycsv
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +22,9 @@ from ..functions.text import is_blank
 from ..session import stage
 from ..table import ROW_NO, data_columns, with_display_names
 
+# What runs in tasks is sent along whole: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _BOM = "﻿"
 _MARK = "\x02"
 
@@ -57,8 +67,8 @@ def _decoded(lines: DataFrame) -> DataFrame:
     odd = stage(odd, "csv-encodings")
     if odd.isEmpty():
         return lines
-    # One row per odd file: adaptive execution broadcasts it where its bytes are few.
-    marked = lines.join(odd, "__file", "left")
+    # One row per odd file. A broadcast leaves the lines of a task in their order.
+    marked = lines.join(F.broadcast(odd), "__file", "left")
     text = F.when(F.col("__odd"), _windows_1252(F.col("value").cast("binary"))).otherwise(F.col("value"))
     return marked.withColumn("value", text).drop("__odd")
 
@@ -89,84 +99,150 @@ def _without_return(line: Column) -> Column:
     return F.regexp_replace(line, "\r$", "")
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """Join the physical lines of records that run over line ends, however the file was split.
-
-    Whether a line starts inside quotes depends on all lines before it. Each line is a map
-    from "starts outside / inside" to "ends outside / inside": it keeps the state, swaps it,
-    or fixes it. The state before a line is therefore the last fixed state, swapped once per
-    swapping line since. Running sums give that within a split; one row per split carries it
-    over the splits of a file. Only lines of records that do span lines are then grouped.
-    """
+def _mapped(lines: DataFrame) -> DataFrame:
+    """The lines with ``__o`` and ``__i``: whether a quoted field is open after a line that starts outside quotes, or inside."""
     line = _without_return(F.col("value"))
     quoted = F.col("value").contains('"')
     from_outside = (quoted & line.rlike(_OPEN_QUOTE)).cast("int")
     after = F.regexp_replace(line, _LEAVES, "")
     from_inside = F.when(~quoted | line.rlike(_STAYS_INSIDE), 1).otherwise(after.rlike(_OPEN_QUOTE).cast("int"))
-    # Staged: the ids below must not be dealt out anew by a second read of the files.
-    mapped = stage(lines.select("*", from_outside.alias("__o"), from_inside.alias("__i")), "csv-lines")
-
-    swaps = ((F.col("__o") == 1) & (F.col("__i") == 0)).cast("int")
-    fixed = F.col("__o") == F.col("__i")
-    split = Window.partitionBy("__file", "__start").orderBy("__id")
-    so_far = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = split.rowsBetween(Window.unboundedPreceding, -1)
-    ran = mapped.withColumn("__swaps", F.sum(swaps).over(so_far)).withColumn(
-        "__fix", F.when(fixed, F.struct(F.col("__o").alias("state"), F.col("__swaps").alias("at")))
-    )
+    return lines.select("*", from_outside.alias("__o"), from_inside.alias("__i"))
 
-    def state(start: Column, fix: Column, count: Column) -> Column:
-        return F.when(fix.isNull(), start + count).otherwise(fix["state"] + count - fix["at"]) % 2
 
-    # One row per split: its end state for either start state, then the state it really starts in.
-    ends = ran.groupBy("__file", "__start").agg(
-        F.max("__swaps").alias("count"), F.max(F.when(F.col("__fix").isNotNull(), F.struct("__id", "__fix"))).getField("__fix").alias("fix")
-    )
-    order = Window.partitionBy("__file").orderBy("__start")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(
-        "__file", "__start", "count", "fix", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("total")
-    ).withColumn(
-        "seen", F.when(F.col("fix").isNotNull(), F.struct(
-            F.col("fix.state").alias("state"), (F.col("total") - F.col("count") + F.col("fix.at")).alias("at")))
-    )
-    zero = F.lit(0)
-    starts = ends.select(
-        "__file", "__start",
-        state(zero, F.last("seen", ignorenulls=True).over(before), F.coalesce(F.last("total").over(before), zero)).alias("__enters"),
-        state(zero, F.last("seen", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("total")).alias("leaves"),
-    )
-    last = starts.groupBy("__file").agg(F.max(F.struct("__start", "leaves")).getField("leaves").alias("leaves"))
-    if last.where("leaves = 1").limit(1).count():
+def _splits(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
+    """(file, split start), first row and end of every run of lines of one split. A task reads a split's lines in order."""
+    rows = batch.num_rows
+    if not rows:
+        return
+    ids = batch.column("__id").to_numpy()
+    if (np.diff(ids) <= 0).any():
+        raise ValueError("The lines of a task are out of order.")
+    starts = batch.column("__start").to_numpy()
+    cuts = {0, *(np.flatnonzero(np.diff(starts)) + 1).tolist(), *pc.run_end_encode(batch.column("__file")).run_ends.to_pylist()} - {rows}
+    for first, end in pairwise([*sorted(cuts), rows]):
+        yield (batch.column("__file")[first].as_py(), int(starts[first])), first, end
+
+
+def _states(batch: pa.RecordBatch, first: int, end: int, enters: int) -> np.ndarray:
+    """1 where a quoted field is open: before the first line, and after each.
+
+    A line keeps the state, swaps it or fixes it: the state is the last fixed one, or the first, swapped once per swapping line since.
+    """
+    o, i = (batch.column(c).to_numpy()[first:end] for c in ("__o", "__i"))
+    swaps = np.cumsum((o == 1) & (i == 0))
+    fixed = np.maximum.accumulate(np.where(o == i, np.arange(len(o)), -1))
+    after = np.where(fixed >= 0, o[fixed] + swaps - swaps[fixed], enters + swaps) % 2
+    return np.concatenate([[enters], after])
+
+
+def _split_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per split: whether a quoted field is open at its end, if none is at its start, and if one is."""
+    ends: dict[tuple[str, int], tuple[int, int]] = {}
+    for batch in batches:
+        for split, first, end in _splits(batch):
+            if split not in ends:
+                yield from _end_rows(ends)
+                ends = {split: (0, 1)}
+            after = [int(_states(batch, first, end, s)[-1]) for s in (0, 1)]
+            ends[split] = tuple(after[s] for s in ends[split])
+    yield from _end_rows(ends)
+
+
+def _end_rows(ends: dict[tuple[str, int], tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    for (file, start), (outside, inside) in ends.items():
+        yield pa.RecordBatch.from_pydict({"__file": [file], "__start": [start], "outside": [outside], "inside": [inside]})
+
+
+def _entered(mapped: DataFrame) -> dict[tuple[str, int], int]:
+    """Whether a quoted field is open where each split starts, from one small row per split."""
+    rows = mapped.select("__file", "__start", "__id", "__o", "__i").mapInArrow(_split_ends, "__file string, __start bigint, outside bigint, inside bigint").collect()
+    enters, file, state = {}, None, 0
+    for r in sorted(rows, key=lambda r: (r["__file"], r["__start"])):
+        if r["__file"] != file:
+            if state:
+                break
+            file = r["__file"]
+        enters[file, r["__start"]] = state
+        state = r["inside"] if state else r["outside"]
+    if state:
         raise invalid_file("A quoted field is never closed.")
+    return enters
 
-    inside = ran.join(starts.drop("leaves"), ["__file", "__start"]).withColumn(
-        "__inside",
-        state(F.col("__enters"), F.last("__fix", ignorenulls=True).over(earlier), F.coalesce(F.last("__swaps").over(earlier), zero)),
-    )
-    open_after = F.when(F.col("__inside") == 0, F.col("__o")).otherwise(F.col("__i"))
-    # __rank: place of a record's first line among the first lines of its split.
-    rank = F.sum((F.col("__inside") == 0).cast("bigint")).over(so_far) - 1
-    placed = inside.select("value", "__file", "__start", "__id", "__inside", open_after.alias("__open")).withColumn("__rank", rank)
-    single = placed.where("__inside = 0 AND __open = 0").select(
-        _without_return(F.col("value")).alias("value"), "__file", "__start", F.col("__rank").alias("__id")
-    )
 
-    # Lines of spanning records only. Their first line may lie in an earlier split.
-    spanning = placed.where("__inside = 1 OR __open = 1").withColumn(
-        "__head", F.last(F.when(F.col("__inside") == 0, F.struct("__start", "__rank")), ignorenulls=True).over(so_far)
-    )
-    heads = spanning.groupBy("__file", "__start").agg(
-        F.max(F.when(F.col("__inside") == 0, F.struct("__start", "__rank"))).alias("h")
-    ).select("__file", "__start", F.last("h", ignorenulls=True).over(before).alias("__carried"))
-    headed = spanning.join(heads, ["__file", "__start"]).withColumn("__head", F.coalesce("__head", "__carried"))
-    # A group is the lines of one record.
-    parts = F.array_sort(F.collect_list(F.struct("__start", "__id", "value")))
-    joined = headed.groupBy("__file", F.col("__head.__start").alias("h_start"), F.col("__head.__rank").alias("h_rank")).agg(parts.alias("parts"))
-    text = _without_return(F.array_join(F.transform("parts", lambda x: x["value"]), "\n"))
-    return single.unionByName(
-        joined.select(text.alias("value"), "__file", F.col("h_start").alias("__start"), F.col("h_rank").alias("__id"))
-    )
+_WHOLE, _BEGUN, _CONTINUED = range(3)
+
+
+def _cut(enters: dict[tuple[str, int], int]):
+    """A function that joins the lines of every record within a split.
+
+    ``__id`` is the place of a record among those that start in its split. ``__part`` tells records that are whole from a last one that goes on in a later
+    split, and from the lines at the start of a split that go on with an earlier one.
+    """
+
+    def rows(values: pa.Array, split: tuple[str, int], ids: list[int] | np.ndarray, part: int) -> pa.RecordBatch:
+        n = len(values)
+        columns = [values.cast(pa.string()), pa.repeat(pa.scalar(split[0], pa.string()), n), pa.repeat(pa.scalar(split[1], pa.int64()), n), pa.array(ids, pa.int64()), pa.repeat(pa.scalar(part, pa.int32()), n)]
+        return pa.RecordBatch.from_arrays(columns, ["value", "__file", "__start", "__id", "__part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, state, rank, head, held = None, 0, 0, -1, []  # held: the lines of the open record so far; head: its place, -1 if it started earlier
+
+        def closed(part: int) -> pa.RecordBatch:
+            text = pa.array(["\n".join(held)], pa.string())
+            return rows(text, split, [head], part if head >= 0 else _CONTINUED)
+
+        for batch in batches:
+            for own, first, end in _splits(batch):
+                if own != split:
+                    if held:
+                        yield closed(_BEGUN)
+                    if own not in enters:
+                        raise ValueError(f"The files are split in another way than when they were looked through: {own}")
+                    split, state, rank, head, held = own, enters[own], 0, -1, []
+                states = _states(batch, first, end, state)
+                lines, heads = batch.column("value").slice(first, end - first), np.flatnonzero(states[:-1] == 0)
+                state = int(states[-1])
+                before = int(heads[0]) if len(heads) else len(lines)
+                held += lines.slice(0, before).to_pylist()
+                if held and (len(heads) or not state):
+                    yield closed(_WHOLE)
+                    held = []
+                if not len(heads):
+                    continue
+                bounds = pa.array([*heads.tolist(), len(lines)], pa.int32())
+                records = pc.binary_join(pa.ListArray.from_arrays(bounds, pa.concat_arrays([lines])), "\n")
+                if state:
+                    head, held = rank + len(heads) - 1, [records[-1].as_py()]
+                    records = records.slice(0, len(records) - 1)
+                yield rows(records, split, rank + np.arange(len(records)), _WHOLE)
+                rank += len(heads)
+        if held:
+            yield closed(_BEGUN)
+
+    return run
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """The records that start and end within a split, and the parts of those that do not, however the files are split.
+
+    Whether a line starts inside quotes depends on all lines before it. A first pass over the lines finds, per split, the state at its end for either
+    state at its start; one small row per split gives the states that splits start in. A second pass joins lines in the order in which a task reads
+    them. No line is shuffled, sorted or written.
+    """
+    mapped = _mapped(lines)
+    return mapped.mapInArrow(_cut(_entered(mapped)), "value string, __file string, __start bigint, __id bigint, __part int")
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """The records that run over the ends of splits, from their parts: at most two of each split."""
+    order = Window.partitionBy("__file").orderBy("__start", F.col("__part") == _BEGUN)
+    head = F.last(F.when(F.col("__part") == _BEGUN, F.struct("__start", "__id")), ignorenulls=True)
+    headed = parts.select("__file", "__start", "value", head.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__head"), (F.col("__part") != _BEGUN).alias("__later"))
+    # A group is the parts of one record.
+    texts = F.array_sort(F.collect_list(F.struct("__start", "__later", "value")))
+    joined = headed.groupBy("__file", F.col("__head.__start").alias("h_start"), F.col("__head.__id").alias("h_id")).agg(texts.alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: x["value"]), "\n")
+    return joined.select(text.alias("value"), "__file", F.col("h_start").alias("__start"), F.col("h_id").alias("__id"))
 
 
 def _first_records(records: DataFrame) -> DataFrame:
@@ -179,9 +255,9 @@ def _first_records(records: DataFrame) -> DataFrame:
     return begins.join(F.broadcast(ids), ["__file", "__id"])
 
 
-def _header(records: DataFrame) -> list[str]:
-    """The headers; every file must begin with the same ones."""
-    firsts = _first_records(records).select("__file", F.regexp_replace("value", f"^{_BOM}", "").alias("line"))
+def _header(firsts: DataFrame) -> list[str]:
+    """The headers, of the first records; every file must begin with the same ones."""
+    firsts = firsts.select("__file", F.regexp_replace("value", f"^{_BOM}", "").alias("line"))
     found = firsts.groupBy("line").agg(F.min("__file").alias("file")).orderBy("file").limit(2).collect()
     if not found:
         raise TableError("empty_table", "The file holds no rows.")
@@ -204,12 +280,54 @@ def read_csv(
     """
     lines = _decoded(_lines(spark, path))
     line = _without_return(F.col("value"))
-    if lines.where(F.col("value").contains('"') & line.rlike(_OPEN_QUOTE)).limit(1).count():
-        records = stage(_records(lines), "csv-records")
-    else:
+    if not lines.where(_opens()).limit(1).count():
         # No line that starts outside quotes ends inside, so every line starts outside.
         records = lines.withColumn("value", line)
-    headers = _header(records)
+        headers = _header(_first_records(records))
+        return _finish(stage(_parsed(records, headers), "csv"), headers, limits)
+    with _splits_alike(spark):
+        found = _records(lines)
+        headers = _spanning_header(lines, found)
+        # Written once: the cells of whole records, and the text of the few parts.
+        text = F.when(F.col("__part") != _WHOLE, F.col("value"))
+        ended = F.when(F.col("__part") == _WHOLE, line)
+        staged = stage(_parsed(found.select(ended.alias("value"), text.alias("__text"), "__file", "__start", "__id", "__part"), headers, "__part", "__text"), "csv")
+    parts = staged.where(F.col("__part") != _WHOLE).select(F.col("__text").alias("value"), "__file", "__start", "__id", "__part")
+    joined = stage(_parsed(_joined(parts).withColumn("value", line), headers), "csv-spanning")
+    return _finish(staged.where(F.col("__part") == _WHOLE).drop("__part", "__text").unionByName(joined), headers, limits)
+
+
+@contextmanager
+def _splits_alike(spark: SparkSession) -> Iterator[None]:
+    """Every pass over the files splits them alike: the size of splits follows the number of cores, and executors may come or go meanwhile."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
+def _opens() -> Column:
+    """A line that starts outside quotes and ends inside."""
+    return F.col("value").contains('"') & _without_return(F.col("value")).rlike(_OPEN_QUOTE)
+
+
+def _spanning_header(lines: DataFrame, found: DataFrame) -> list[str]:
+    """The headers, of the files' first lines; where one of these ends inside quotes, of their first records."""
+    firsts = stage(_first_records(lines), "csv-headers")
+    if not firsts.where(_opens()).limit(1).count():
+        return _header(firsts.withColumn("value", _without_return(F.col("value"))))
+    begun = stage(found.where(F.col("__part") != _WHOLE), "csv-begun")
+    records = found.where(F.col("__part") == _WHOLE).drop("__part").unionByName(_joined(begun))
+    return _header(_first_records(records.withColumn("value", _without_return(F.col("value")))))
+
+
+def _parsed(records: DataFrame, headers: list[str], *more: str) -> DataFrame:
+    """The cells of every record, whether it is longer than the header, and its place."""
     names = [f"column_{i + 1}" for i in range(len(headers))]
     schema = ", ".join(f"{n} string" for n in [*names, "__bad"])
     options = {
@@ -217,16 +335,15 @@ def read_csv(
         "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1",
         "maxColumns": str(max(len(headers) + 1, 20480)),
     }
-    parsed = records.select(F.from_csv("value", schema, options).alias("r"), "value", "__file", "__start", "__id")
+    parsed = records.select(F.from_csv("value", schema, options).alias("r"), "value", "__file", "__start", "__id", *more)
     # A record that the parser reports is parsed again with a mark as its last field: in a long one the mark is out of reach.
     marked = F.from_csv(F.concat("value", F.lit(f",{_MARK}")), schema, options)
     reached = F.exists(F.array(*[marked[n] for n in names]), lambda x: x.eqNullSafe(F.lit(_MARK)))
-    placed = parsed.select(
+    return parsed.select(
         *[F.coalesce(F.col(f"r.{n}"), F.lit("")).alias(n) for n in names],
         F.when(F.col("r.__bad").isNotNull(), ~reached).otherwise(False).alias("__long"),
-        "__file", "__start", "__id",
+        "__file", "__start", "__id", *more,
     )
-    return _finish(stage(placed, "csv"), headers, limits)
 
 
 def _finish(staged: DataFrame, headers: list[str], limits: IngestLimits | None) -> DataFrame:

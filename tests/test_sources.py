@@ -1,6 +1,7 @@
 import glob
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from sluicebox.errors import TableError
@@ -221,3 +222,31 @@ def test_files_of_other_headers_are_named(spark, tmp_path):
     write(tmp_path, b"a,c\n1,2\n", "1.csv")
     with pytest.raises(TableError, match="1.csv"):
         csv.read_csv(spark, str(tmp_path))
+
+
+def test_records_over_lines_are_joined_without_moving_them(spark, tmp_path):
+    """Lines meet their records where they are read, also where headers and cells run over several splits."""
+    lines = [f"l\xe4ng {i} \u20ac" for i in range(40)]
+    cell = "\n".join(lines)
+    payload = f'"{cell}",b\r\n"x\ny",1\r\n,2\r\n"{cell}\n","3"\r\n5" pipe,4\n'
+    changed = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        for encoding in ("utf-8", "cp1252"):
+            path = write(tmp_path, payload.encode(encoding), f"{encoding}.csv")
+            plan = csv._records(csv._decoded(csv._lines(spark, path)))._jdf.queryExecution().executedPlan().toString()
+            assert not any(moved in plan.replace("BroadcastExchange", "") for moved in ("Exchange", "Sort", "Window"))
+            t = csv.read_named_csv(spark, path)
+            assert t.columns == [cell, "b", ROW_NO]
+            assert [tuple(r) for r in t.orderBy(ROW_NO).collect()] == [("x\ny", "1", 0), ("", "2", 1), (cell + "\n", "3", 2), ('5" pipe', "4", 3)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_files_split_in_another_way_are_refused(spark, tmp_path):
+    lines = csv._lines(spark, write(tmp_path, b'a,b\n"x\ny",1\n'))
+    with pytest.raises(PythonException, match="another way"):
+        csv._mapped(lines).mapInArrow(csv._cut({}), "value string, __file string, __start bigint, __id bigint, __part int").collect()
