@@ -122,8 +122,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @_step
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
-    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True))
 
 
 STAGES = [

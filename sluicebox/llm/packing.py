@@ -47,7 +47,7 @@ class WordTokenizer:
     #: Runs of letters of ASCII and Latin-1, which the library only lower-cases: but for that only its model is needed.
     latin = re.compile(r"[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
@@ -129,8 +129,8 @@ class WordTokenizer:
             yield whole[i] if i in whole else bytes(data[ends[i] : ends[i + 1]])
 
 
-#: Bytes of text that are cut and looked up together; a longer text is taken alone.
-TEXT_BYTES = 8_000_000
+#: Bytes of text that are cut and looked up together; a longer text is taken alone. A worker holds about ten times as much on the way.
+TEXT_BYTES = 4_000_000
 _OTHER, _LETTER, _DIGIT, _MARK, _QUOTE = range(5)
 
 
@@ -188,8 +188,9 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         size += batch.nbytes
         if size >= TEXT_BYTES:
-            yield pa.concat_batches(held)
+            whole = pa.concat_batches(held)
             held, size = [], 0
+            yield whole
     if held:
         yield pa.concat_batches(held)
 
@@ -205,19 +206,21 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(vocabulary)
         for batch in _together(batches):
-            rows, pieces, ids = [], [], []
+            rows, pieces, lengths, ids = [], [], [], []
             for i, data in enumerate(tokenizer.encode_all(batch.column("text"))):
                 data += end
                 cuts = [data[at : at + size] for at in range(0, len(data), size)] if len(data) > size else [data]
                 rows += [i] * len(cuts)
                 pieces += range(len(cuts))
-                ids += cuts
+                lengths += [len(x) // 4 for x in cuts]
+                ids += map(zlib.crc32, cuts) if digests else cuts
             at = np.array(pieces, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(at), pa.array(at.astype(np.int64) * capacity),
-                 pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()) if digests else pa.array(ids, pa.binary())],
+                 pa.array(lengths, pa.int64()), pa.array(ids, pa.int64() if digests else pa.binary())],
                 ["doc_id", "piece", "start", "length", "ids_crc32" if digests else "ids"],
             )
+            pa.default_memory_pool().release_unused()  # Arrow would keep what it has freed as long as the worker lives, which later tasks use
 
     source = pick(docs, id=id_col, text=text_col)
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['id']}, piece int, start long, length long, {'ids_crc32 long' if digests else 'ids binary'}")

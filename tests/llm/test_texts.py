@@ -3,8 +3,11 @@
 import base64
 import hashlib
 import re
+import subprocess
+import sys
 import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -57,6 +60,40 @@ def test_words_are_learnt_once_whatever_marks_stand_by_them(draw):
     assert set(mine.known) - {""} == {*words, "***", ".%%%", "$!", "?"}
 
 
+def test_a_worker_stays_small_while_it_cuts_many_distinct_words():
+    """Two workers and the JVM share an executor's memory: texts of 20 MB, with many new words, may add little to a worker's."""
+    program = """
+import random, re, sys
+import numpy as np, pandas, pyarrow as pa
+from sluicebox.llm import packing
+
+def memory(of):
+    return int(re.search(of + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+class Source:
+    dtypes = [("id", "bigint")]
+    def mapInArrow(self, run, schema):
+        return run
+
+draw = random.Random(5)
+def batches():
+    for _ in range(40):
+        words = [" ".join(f"{draw.randrange(16**5):05x}"[:draw.randrange(2, 6)] + draw.choice(["", ",", "."]) for _ in range(2000)) for _ in range(50)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(words)], ["id", "text"])
+
+packing.pick = lambda docs, **columns: Source()
+run = packing.token_pieces(None, sys.argv[1], digests=True)
+packing.load(sys.argv[1])
+begin, rows = memory("VmRSS"), 0
+for out in run(batches()):
+    rows += out.num_rows
+print(rows, memory("VmHWM") - begin, memory("VmRSS") - begin)
+"""
+    done = subprocess.run([sys.executable, "-c", program, WORD], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    rows, most, left = map(float, done.stdout.split())
+    assert rows >= 2000 and most < 160 and left < 70
+
+
 def test_bpe_of_odd_rows(odd, empty):
     tokens = bpe.decode(bpe.encode(odd, BYTE), BYTE).collect()
     library = Tokenizer.from_file(BYTE)
